@@ -8,6 +8,9 @@ wanted rank are ordered by value. No task sees a whole group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,7 +73,11 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, out: dict, wei
     buckets = buckets.withColumn(
         "_want", F.filter(ranks, lambda r: (r >= F.col("_base")) & (r < F.col("_end")))
     ).where(F.size("_want") > 0)
-    hit = counts.join(buckets.select(*keys, "_b", "_base", "_n", "_want"), [*keys, "_b"])
+    # Null-safe keys add no filter to one side only, so the counted exchange is built once and reused.
+    names = [*keys, "_b"]
+    want = buckets.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(names)], "_base", "_n", "_want")
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(names)])
+    hit = counts.join(want, on).drop(*[f"_j{i}" for i in range(len(names))])
     inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = (
         hit.withColumn("_hi", F.col("_base") + F.sum("_c").over(inner))

@@ -12,6 +12,7 @@ from fleetlens.functions import exprs as E
 from fleetlens.functions.quantiles import grouped_quantiles
 from fleetlens.operators.asof import MATCH_2H_MS, asof_next, truth_join, v1_next_arrival
 from fleetlens.operators.grain import top_n
+from fleetlens.session import materialize
 
 BUCKET_MS = 15_000
 MAX_AGE_MS = 120_000
@@ -157,24 +158,30 @@ def scorecard(preds: DataFrame, visits: DataFrame, census: DataFrame | None = No
 
 def scorecard_from(s: DataFrame) -> DataFrame:
     arrived = F.col("kind") == "arrived"
-    base = s.groupBy(*CELL).agg(
+    # One pass over the scored rows: every count per (cell, jump horizon, error value). Both the
+    # counts and the order statistics below read this one table.
+    f = materialize(s.groupBy("day", "route_id", "horizon", "jump_horizon", "surface", "err").agg(
         F.count(F.lit(1)).alias("n"), _n(F.col("kind") == "beyond").alias("beyond"),
         _n(F.col("kind") == "standing").alias("standing"), _n(F.col("kind") == "missing").alias("missing"),
         _n(arrived).alias("paired"), _n(arrived & (F.abs("err") <= 120)).alias("within120"),
         _n(arrived & (F.col("err") >= 120)).alias("pess120"), _n(arrived & (F.col("err") <= -120)).alias("opt120"),
         _n(F.col("has_iv")).alias("interval_rows"), _n(F.col("covered")).alias("covered"),
-    )
+        _n(F.col("wait")).alias("waits"), _n(F.col("strand")).alias("strands"),
+        _n(F.col("jump_pair")).alias("jump_pairs"), _n(F.col("jump")).alias("jumps"),
+    ))
+    cell = f.groupBy("day", "route_id", "horizon", "jump_horizon", "surface").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     # Waits count only in the pooled horizon, jumps in the horizon the rider was looking at.
-    waits = s.where("wait").groupBy("day", "route_id", "surface").agg(
-        F.count(F.lit(1)).alias("waits"), _n(F.col("strand")).alias("strands")
-    ).withColumn("horizon", F.lit(None).cast("string"))
-    jumps = s.where("jump_pair").groupBy("day", "route_id", F.col("jump_horizon").alias("horizon"), "surface").agg(
-        F.count(F.lit(1)).alias("jump_pairs"), _n(F.col("jump")).alias("jumps")
+    zero = F.lit(0).cast("long")
+    wait_cols, jump_cols = ("waits", "strands"), ("jump_pairs", "jumps")
+    parts = F.array(
+        F.struct(F.col("horizon").alias("h"), *[(zero if c in wait_cols + jump_cols else F.col(c)).alias(c) for c in _COUNTS]),
+        F.struct(F.lit(None).cast("string").alias("h"), *[(F.col(c) if c in wait_cols else zero).alias(c) for c in _COUNTS]),
+        F.struct(F.col("jump_horizon").alias("h"), *[(F.col(c) if c in jump_cols else zero).alias(c) for c in _COUNTS]),
     )
-    small = base.unionByName(waits, allowMissingColumns=True).unionByName(jumps, allowMissingColumns=True)
-    cells = _fan(small).groupBy(*CELL).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _COUNTS])
-    errs = s.where(arrived).groupBy(*CELL, "err").agg(F.count(F.lit(1)).alias("c"))
-    errs = _fan(errs).withColumn(
+    small = cell.withColumn("x", F.explode(parts)).select("day", "route_id", F.col("x.h").alias("horizon"), "surface",
+                                                          *[F.col(f"x.{c}").alias(c) for c in _COUNTS])
+    cells = _fan(small).groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in _COUNTS]).where(F.col("n") > 0)
+    errs = _fan(f.where(F.col("paired") > 0).select(*CELL, "err", F.col("n").alias("c"))).withColumn(
         "_m", F.explode(F.array(F.struct(F.lit("signed").alias("k"), F.col("err").alias("v")),
                                 F.struct(F.lit("abs").alias("k"), F.abs("err").alias("v"))))
     ).select(*CELL, F.col("_m.k").alias("metric"), F.col("_m.v").alias("v"), "c")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "fleetlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder; readers after it survive lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
