@@ -118,6 +118,6 @@ def hinge_scale(eta, scale, floor_sec: float = 180.0) -> Column:
 
 
 def widen(eta, low, high, k) -> tuple[Column, Column]:
-    """Stretch an interval about its point by k, floored at zero."""
+    """Stretch an interval about its point by k."""
     e, lo, hi = _c(eta), _c(low), _c(high)
-    return F.greatest(F.lit(0.0), e - (e - lo) * k), e + (hi - e) * k
+    return e - (e - lo) * k, e + (hi - e) * k

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.operators import scan
+
 MIN_MS = 60_000
 STANDING_LOOKBACK_MS = 120 * MIN_MS
 MATCH_45_MS = 45 * MIN_MS
@@ -113,3 +115,14 @@ def v1_next_arrival(preds: DataFrame, arrivals: DataFrame, keys: list[str], at:
         .where((F.col("actual_sec") <= max_sec) & (F.col("actual_sec") <= F.col(sec) * 3 + 60))
         .drop("next")
     )
+
+
+def asof_next_any(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
+                  payload: list[str], tie: str, cell_ms: int = 24 * 60 * MIN_MS, out: str = "next") -> DataFrame:
+    """First right row at or after each left row, however far: a carried scan over the tagged union."""
+    lcols = [c for c in left.columns if c not in keys]
+    l = left.select(*keys, F.col(left_time).cast("long").alias("_t"), F.lit(0).alias("_tag"), F.lit(0).cast("long").alias("_tie"), F.struct(*lcols).alias("_l"))
+    r = right.select(*keys, F.col(right_time).cast("long").alias("_t"), F.lit(1).alias("_tag"), F.col(tie).cast("long").alias("_tie"),
+                     F.struct(F.col(right_time).cast("long").alias("_rt"), *payload).alias("_r"))
+    d = scan.carried_first(l.unionByName(r, allowMissingColumns=True), keys, ["_t", "_tag", "_tie"], {"_n": "_r"}, cell_ms)
+    return d.where(F.col("_l").isNotNull()).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in lcols], F.col("_n").alias(out))

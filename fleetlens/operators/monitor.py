@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens.functions import clock
 from fleetlens.operators import scan
+from fleetlens.operators.asof import asof_next_any
+from fleetlens.session import materialize
 
 IMMINENT_SEC = 120
 CATASTROPHIC_SEC = 180
@@ -54,30 +58,26 @@ def qualifying_runs(runs: DataFrame) -> DataFrame:
 def emit_alerts(runs: DataFrame, received: str = "received_at") -> DataFrame:
     """Apply the six-hour line cooldown and the daily cap, in arrival order.
 
-    Which run alerts depends on which earlier run did, so the fold is sequential, but only over
-    (line, cooldown slot) survivors: within one slot of a line at most one run can be first, so a
-    pre-aggregate keeps per line and slot the few runs that can matter. The fold itself is per line
-    (cooldown) and then per local day (cap), both bounded lists.
+    A run alerts when it is the first on its line at least a cooldown after the last alert. Every
+    run points to the run that would follow it; the alerts are what a line's first run reaches.
+    Doubling the pointers reaches a chain of n alerts in log2(n) joins on unique keys.
     """
-    q = qualifying_runs(runs).withColumn("day", clock.local_day(received))
-    cols = ["line", "day", "id", received]
-
-    def cooldown(pdf):
-        pdf = pdf.sort_values([received, "id"])
-        keep, last = [], None
-        for t in pdf[received].to_numpy():
-            ok = last is None or t - last >= COOLDOWN_MS
-            keep.append(ok)
-            if ok:
-                last = t
-        return pdf[keep]
-
-    slot = F.floor(F.col(received) / 60_000)
-    # Runs of one line within one minute: only the first can alert, the rest fall in its cooldown.
-    first = q.groupBy("line", slot.alias("_slot")).agg(F.min_by(F.struct(*cols), F.struct(received, "id")).alias("r")).select("r.*")
-    spaced = first.groupBy("line").applyInPandas(cooldown, first.schema)
-    w = Window.partitionBy("day").orderBy(received, "id")
-    return spaced.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_PER_DAY).drop("_n")
+    q = qualifying_runs(runs).select("line", F.col("id"), F.col(received).cast("long").alias("t"))
+    nxt = asof_next_any(q.withColumn("_free", F.col("t") + COOLDOWN_MS), q, ["line"], "_free", "t", ["id"], "id")
+    ptr = materialize(nxt.select("line", "id", "t", F.col("next.id").alias("to")))
+    span = ptr.groupBy("line").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("s"))
+    bound = span.agg(F.max(F.least(F.col("n"), F.floor(F.col("s") / COOLDOWN_MS) + 1))).first()[0] or 1
+    reached = ptr.groupBy("line").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
+    hop = ptr.where(F.col("to").isNotNull()).select("line", "id", "to")
+    for _ in range(max(1, math.ceil(math.log2(bound + 1)))):
+        step = reached.join(hop, ["line", "id"]).select("line", F.col("to").alias("id"))
+        reached = materialize(reached.unionByName(step).distinct())
+        b = hop.select("line", F.col("id").alias("to"), F.col("to").alias("_to2"))
+        hop = materialize(hop.join(b, ["line", "to"]).select("line", "id", F.col("_to2").alias("to")))
+    hit = ptr.join(reached, ["line", "id"], "left_semi").withColumn("day", clock.local_day("t"))
+    w = Window.partitionBy("day").orderBy("t", "id")
+    capped = hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_PER_DAY)
+    return capped.select("line", "day", "id", F.col("t").alias(received))
 
 
 def resolve_alerts(runs: DataFrame) -> DataFrame:

@@ -110,21 +110,15 @@ def search_terms_in(terms: DataFrame, days: int, now_ms: int) -> DataFrame:
 
 
 def collapse_prefixes(terms: DataFrame) -> DataFrame:
-    """Drop a term that is a proper prefix of another kept term.
+    """Drop a term that is a proper prefix of another one.
 
-    In sorted order every extension of a term follows it directly, so the next term decides. Terms
-    are cut into ranges by their first characters; the only edge case is a term shorter than the cut,
-    which is checked against the cut groups it spans.
+    Terms are at most 60 characters, so each yields a bounded list of proper prefixes; the distinct
+    prefixes are one hash-partitioned anti join away, with no group of related terms to gather.
     """
-    cut = 3
-    t = terms.withColumn("_p", F.substring("q", 1, cut))
-    long = t.where(F.length("q") >= cut)
-    w = Window.partitionBy("_p").orderBy("q")
-    kept = long.withColumn("_next", F.lead("q").over(w)).where(~F.coalesce(F.col("_next").startswith(F.col("q")), F.lit(False)))
-    short = t.where(F.length("q") < cut)
-    heads = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(cut - 1)), lambda k: F.when(
-        F.length("q") > k, F.substring(F.col("q"), F.lit(1), k)))).alias("q")).where(F.col("q").isNotNull()).distinct()
-    return kept.drop("_next", "_p").unionByName(short.drop("_p").join(heads, "q", "left_anti"))
+    heads = terms.where(F.length("q") > 1).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - 1), lambda k: F.substring(F.col("q"), F.lit(1), k))).alias("q")
+    ).distinct()
+    return terms.join(heads, "q", "left_anti")
 
 
 def search_report(terms: DataFrame, days: int, limit: int, now_ms: int) -> DataFrame:

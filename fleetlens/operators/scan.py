@@ -89,3 +89,19 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: str, out:
     """Number runs: ``starts`` is a boolean column that opens a new run."""
     d = df.withColumn("_s", F.when(F.col(starts), 1).otherwise(0))
     return running_sum(d, keys, order, {out: "_s"}, cell_ms).drop("_s")
+
+
+def carried_first(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], cell_ms: int = DAY_MS) -> DataFrame:
+    """First non-null value strictly after each row."""
+    d = with_cell(df, order[0], cell_ms)
+    w = Window.partitionBy(*keys, CELL).orderBy(*_order(order)).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(1, Window.unboundedFollowing)
+    head = d.groupBy(*keys, CELL).agg(
+        *[F.min_by(F.col(s), F.when(F.col(s).isNotNull(), F.struct(*order))).alias(f"_h_{n}") for n, s in cols.items()]
+    )
+    for n in cols:
+        head = head.withColumn(f"_h_{n}", F.first(f"_h_{n}", ignorenulls=True).over(after))
+    d = d.join(head, [*keys, CELL], "left")
+    for n, s in cols.items():
+        d = d.withColumn(n, F.coalesce(F.first(s, ignorenulls=True).over(w), F.col(f"_h_{n}")))
+    return d.drop(*[f"_h_{n}" for n in cols], CELL)
