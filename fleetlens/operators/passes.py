@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from fleetlens.functions.geo import metres
 from fleetlens.operators import scan
 from fleetlens.operators.grain import top_n
 from fleetlens.operators.ranges import MIN_MS, positions_in_window
+from fleetlens.operators.runs import map_runs
 from fleetlens.operators.topology import next_stop
 
 SERVED_M = 75.0
@@ -81,8 +83,7 @@ def resolve_anchor_returns(visits: DataFrame, ring: DataFrame, stops: DataFrame,
     conf = w.where((F.col("closest_fix_m") <= SERVED_M) & (F.col("covered") >= 1)).select(F.col("iv_id").alias("id"), F.lit(True).alias("seen"))
     v = v.join(conf, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False))).withColumn("valid", F.coalesce("valid", F.lit(False)))
 
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["anchored_at", "id"]).to_dict("records")
+    def repair(rows: list[dict]) -> list[dict]:
         out: list[dict] = []
         near = lambda r: r["closest_m"] <= SERVED_M
         for r in rows:
@@ -102,9 +103,15 @@ def resolve_anchor_returns(visits: DataFrame, ring: DataFrame, stops: DataFrame,
                         mid = [b for b in between if adv == 2 and (b["stop_index"] - first["stop_index"]) % size == 1]
                         out[k + 1:] = [min(mid, key=lambda b: b["closest_m"])] if mid else []
             out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)[["id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m"]]
+        return out
 
-    return v.groupBy("bus_id", "route_id", "run").applyInPandas(repair, _VISIT)
+    def repair_runs(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        kept = [r for a, b in zip(starts, [*starts[1:], len(rows)]) for r in repair(rows[a:b])]
+        return pd.DataFrame(kept, columns=pdf.columns)[["id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m"]]
+
+    cols = ["id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m", "run", "n", "valid", "seen"]
+    return map_runs(v.where("n IS NOT NULL").select(*cols), ["bus_id", "route_id", "run"], ["anchored_at", "id"], repair_runs, _VISIT)
 
 
 def classify_passes(visits: DataFrame, ring: DataFrame, stops: DataFrame, pos: DataFrame, now_ms: int | None = None, hop_ms: int = HOP_MS,

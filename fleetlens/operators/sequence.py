@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import clock
-from fleetlens.functions.geo import metres
+from fleetlens.functions.geo import metres, point_to_segment
 from fleetlens.functions.quantiles import grouped_quantiles
 from fleetlens.operators import scan
 from fleetlens.operators.ranges import interval_join
+from fleetlens.operators.runs import map_runs
 from fleetlens.operators.topology import nearest_stop, ring_arrays
 
 MIN_MS = 60_000
@@ -46,23 +47,26 @@ def sessions(pos: DataFrame, keys: list[str], gap_ms: int, out: str = "session")
     return scan.islands(d, keys, T_ORDER, "_new", out, cell_ms=scan.HOUR_MS).drop("_pt", "_new")
 
 
-def still_mask(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, radius: float = 25.0, min_ms: int = 15_000) -> np.ndarray:
-    """Members of a forward ball that lasts long enough, within one hole-free stretch."""
+def still_mask(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, starts: np.ndarray, radius: float = 25.0, min_ms: int = 15_000) -> np.ndarray:
+    """Members of a forward ball that lasts long enough; a ball ends with its run."""
     n = len(t)
     out = np.zeros(n, bool)
     la, lo = np.radians(lat), np.radians(lon)
-    reach = 0
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    j = -1
     for i in range(n):
-        j = max(i, 0)
-        while j + 1 < n:
-            dx = (lo[j + 1] - lo[i]) * np.cos((la[i] + la[j + 1]) / 2)
-            dy = la[j + 1] - la[i]
-            if 6_371_000.0 * np.hypot(dx, dy) > radius:
-                break
-            j += 1
-        if t[j] - t[i] >= min_ms and j >= reach:
+        # The same coordinate again reaches exactly as far as the fix before it did.
+        if not (i > 0 and j >= i and lat[i] == lat[i - 1] and lon[i] == lon[i - 1]):
+            j, size = i, 16
+            while j + 1 < ends[i]:
+                k = np.arange(j + 1, min(ends[i], j + 1 + size))
+                far = np.flatnonzero(6_371_000.0 * np.hypot((lo[k] - lo[i]) * np.cos((la[i] + la[k]) / 2), la[k] - la[i]) > radius)
+                if len(far):
+                    j += far[0]
+                    break
+                j, size = k[-1], size * 4
+        if t[j] - t[i] >= min_ms:
             out[i:j + 1] = True
-            reach = j
     return out
 
 
@@ -70,16 +74,16 @@ def still_runs(pos: DataFrame, radius: float = 25.0, min_ms: int = 15_000, gap_m
     """Flag fixes that rest.
 
     A ball never spans a hole longer than ``gap_ms``, so each hole-free stretch of a track is its own
-    group: one vehicle's poll-rate rows of one continuous run, never a whole track.
+    run: one vehicle's poll-rate rows of one continuous drive, never a whole track.
     """
     d = sessions(pos.select("bus_name", "bus_id", "route_id", "lat", "lon", "collected_at", "ingest_seq"), TRACK, gap_ms)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(T_ORDER)
-        return pdf.assign(still=still_mask(pdf.lat.to_numpy(), pdf.lon.to_numpy(), pdf.collected_at.to_numpy(), radius, min_ms))
+    def mark(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return pdf.assign(still=still_mask(pdf.lat.to_numpy(), pdf.lon.to_numpy(), pdf.collected_at.to_numpy(), starts, radius, min_ms))
 
     fields = "bus_name string, bus_id long, route_id long, lat double, lon double, collected_at long, ingest_seq long, session long, still boolean"
-    return d.groupBy("bus_name", "session").applyInPandas(mark, fields)
+    cols = [f.split()[0] for f in fields.split(", ")[:-1]]
+    return map_runs(d.select(*cols), ["bus_name", "session"], T_ORDER, mark, fields)
 
 
 def frozen_runs(pos: DataFrame, min_ms: int = 10_000) -> DataFrame:
@@ -112,9 +116,11 @@ def stop_chains(arrivals: DataFrame, ring: DataFrame, gap_ms: int = 45 * MIN_MS,
     at = ring.groupBy("route_id", "stop_id").agg(F.array_sort(F.collect_list("stop_index")).alias("places"), F.first("ring_size").alias("n"))
     d = d.join(at, ["route_id", "stop_id"], "left").select("route_id", "bus_name", "stretch", "id", "stop_id", "arrived_at", "dwell_sec", "places", "n")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, cur, number, seq = [], None, 0, 0
-        for r in pdf.sort_values(["arrived_at", "id"]).itertuples(index=False):
+    def chain(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out, cur, number, seq, first = [], None, 0, 0, set(starts.tolist())
+        for row_no, r in enumerate(pdf.itertuples(index=False)):
+            if row_no in first:
+                cur, number, seq = None, 0, 0
             places = [] if r.places is None else list(r.places)
             nxt = None
             if cur is not None and places and r.arrived_at - cur["t"] <= gap_ms:
@@ -142,8 +148,8 @@ def stop_chains(arrivals: DataFrame, ring: DataFrame, gap_ms: int = 45 * MIN_MS,
             cur = dict(pos=pos, t=r.arrived_at, row=row)
         return pd.DataFrame(out, columns=["route_id", "bus_name", "stretch", "chain", "seq", "id", "stop_id", "stop_index", "arrived_at", "dwell_sec"])
 
-    return d.groupBy("route_id", "bus_name", "stretch").applyInPandas(
-        chain, "route_id long, bus_name string, stretch long, chain long, seq long, id long, stop_id long, stop_index long, arrived_at long, dwell_sec double")
+    return map_runs(
+        d, ["route_id", "bus_name", "stretch"], ["arrived_at", "id"], chain, "route_id long, bus_name string, stretch long, chain long, seq long, id long, stop_id long, stop_index long, arrived_at long, dwell_sec double")
 
 
 def presence_runs(pos: DataFrame, gap_sec: int = 600, censor_ms: int | None = None) -> DataFrame:
@@ -246,26 +252,31 @@ def recent_speed(pos: DataFrame, window_ms: int = 30_000, min_span_ms: int = 25_
 def proximity_arrivals(pos: DataFrame, ring: DataFrame, enter_m: float = 50.0, exit_m: float = 120.0, gap_ms: int = 60_000) -> DataFrame:
     """First entry near each stop of the route with re-arm further out; interpolated instants.
 
-    Only fixes near a stop or leaving it matter, so a fix yields a row per stop it could enter or
-    re-arm: within the exit radius plus one step. The last enter/exit flag before a row decides.
+    A fix meets the tens of stops of its route; only fixes that enter or leave are kept, and the
+    last kept flag before a row decides.
     """
-    d = scan.shifted(pos, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS)
-    linked = F.col("pt").isNotNull() & (F.col("collected_at") - F.col("pt") <= gap_ms)
-    d = d.withColumn("linked", linked).join(ring_arrays(ring), "route_id").withColumn("s", F.explode("ring")).drop("ring")
-    la0, lo0 = F.col("s.lat"), F.col("s.lon")
-    k = 111_320.0
-    cx = F.cos(F.radians(la0))
-    ax, ay = (F.col("plo") - lo0) * k * cx, (F.col("pla") - la0) * k
-    bx, by = (F.col("lon") - lo0) * k * cx, (F.col("lat") - la0) * k
-    from fleetlens.functions.geo import point_to_segment
-    sd, frac = point_to_segment(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)
-    pd_ = F.sqrt(bx * bx + by * by)
-    d = d.withColumn("near", F.when(F.col("linked"), sd).otherwise(pd_)).withColumn("far", pd_).withColumn("frac", F.when(F.col("linked"), frac).otherwise(1.0))
-    flag = F.when(F.col("near") <= enter_m, F.lit(1)).when(F.col("far") >= exit_m, F.lit(0))
-    d = d.withColumn("flag", flag).where(F.col("flag").isNotNull()).withColumn("stop_id", F.col("s.stop_id"))
-    # A fix can enter along its segment and already be past the exit radius; the exit acts on the next row.
-    d = scan.shifted(d.select("bus_name", "bus_id", "route_id", "stop_id", "collected_at", "ingest_seq", "flag", "far", "frac", "pt"), [*TRACK, "stop_id"], T_ORDER,
-                     {"_pf": "flag"}, cell_ms=scan.HOUR_MS)
+    two = scan.shifted(pos, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS)
+    two = scan.shifted(two, TRACK, T_ORDER, {"pt2": "pt", "pla2": "pla", "plo2": "plo"}, cell_ms=scan.HOUR_MS)
+    d = two.join(ring_arrays(ring), "route_id").withColumn("s", F.explode("ring")).drop("ring")
+
+    def sight(la, lo, t, pla, plo, pt):
+        """(nearest distance of the step, distance of the fix, fraction along) about the stop."""
+        k, cx = 111_320.0, F.cos(F.radians(F.col("s.lat")))
+        ax, ay = (F.col(plo) - F.col("s.lon")) * k * cx, (F.col(pla) - F.col("s.lat")) * k
+        bx, by = (F.col(lo) - F.col("s.lon")) * k * cx, (F.col(la) - F.col("s.lat")) * k
+        linked = F.coalesce(F.col(t) - F.col(pt) <= gap_ms, F.lit(False))
+        sd, frac = point_to_segment(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)
+        far = F.sqrt(bx * bx + by * by)
+        return F.when(linked, sd).otherwise(far), far, F.when(linked, frac).otherwise(1.0)
+
+    near, far, frac = sight("lat", "lon", "collected_at", "pla", "plo", "pt")
+    pnear, pfar, _ = sight("pla", "plo", "pt", "pla2", "plo2", "pt2")
+    flag = F.when(near <= enter_m, F.lit(1)).when(far >= exit_m, F.lit(0))
+    before = F.when(pnear <= enter_m, F.lit(1)).when(pfar >= exit_m, F.lit(0))
+    # A far fix after a far fix changes nothing; dropping it leaves little more than the visits.
+    d = d.withColumn("flag", flag).withColumn("frac", frac).where((F.col("flag") == 1) | ((F.col("flag") == 0) & ~F.coalesce(before == 0, F.lit(False))))
+    d = d.select("bus_name", "bus_id", "route_id", F.col("s.stop_id").alias("stop_id"), "collected_at", "ingest_seq", "flag", "frac", "pt")
+    d = scan.shifted(d, [*TRACK, "stop_id"], T_ORDER, {"_pf": "flag"}, cell_ms=scan.HOUR_MS)
     hit = d.where((F.col("flag") == 1) & F.coalesce(F.col("_pf") == 0, F.lit(True)))
     at = F.when(F.col("pt").isNotNull() & (F.col("collected_at") - F.col("pt") <= gap_ms), F.col("pt") + F.col("frac") * (F.col("collected_at") - F.col("pt"))).otherwise(F.col("collected_at"))
     return hit.select("bus_name", "bus_id", "route_id", "stop_id", at.cast("double").alias("entered_at"), "ingest_seq")
@@ -365,7 +376,6 @@ def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m
     d = d.join(arr.select("route_id", F.transform("ring", lambda s: s["lat"]).alias("sla"), F.transform("ring", lambda s: s["lon"]).alias("slo")), "route_id")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["collected_at", "ingest_seq"])
         la, lo = pdf.lat.to_numpy(), pdf.lon.to_numpy()
         sla, slo = np.asarray(pdf.sla.iloc[0], float), np.asarray(pdf.slo.iloc[0], float)
 
@@ -402,5 +412,8 @@ def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m
         path = [dict(lat=float(x), lon=float(y)) for x, y in zip(pla[keep], plo[keep])]
         return pd.DataFrame([dict(route_id=pdf.route_id.iloc[0], bus_id=pdf.bus_id.iloc[0], path=path, p90_m=p90, length_m=length)])
 
-    c = d.groupBy("route_id", "bus_id", "sday").applyInPandas(search, _SAMPLE)
+    def search_runs(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return pd.concat([search(pdf.iloc[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(pdf)])], ignore_index=True)
+
+    c = map_runs(d, ["route_id", "bus_id", "sday"], ["collected_at", "ingest_seq"], search_runs, _SAMPLE)
     return c.groupBy("route_id").agg(F.min_by(F.struct("bus_id", "path", "p90_m", "length_m"), F.struct("p90_m", "length_m", "bus_id")).alias("x")).select("route_id", "x.*")

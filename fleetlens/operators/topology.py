@@ -27,7 +27,7 @@ def nearest_stop(pos: DataFrame, ring: DataFrame, ahead: int | None = None, anch
         n = F.size("ring")
         stops = F.filter(stops, lambda s: F.pmod(s["stop_index"] - F.col(anchor), n) <= ahead)
     best = F.array_min(F.transform(stops, lambda s: F.struct(
-        dist(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("d"), s["stop_index"].alias("i"), s["stop_id"].alias("s"))))
+        F.round(dist(F.col("lat"), F.col("lon"), s["lat"], s["lon"]), 12 if v1 else 6).alias("d"), s["stop_index"].alias("i"), s["stop_id"].alias("s"))))
     return j.withColumn("_b", best).drop("ring").select(
         "*", F.col("_b.s").alias("near_stop_id"), F.col("_b.i").alias("near_index"), F.col("_b.d").alias("near_m")).drop("_b")
 

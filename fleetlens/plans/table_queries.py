@@ -174,7 +174,7 @@ def _x23(a, s):
 
 
 @R.q("a31_read_scorecard", "predictions arrivals", """WITH d AS (SELECT {LDAY(predicted_at)} AS day, route_id, CASE WHEN id%9=0 THEN NULL ELSE COUNT(*) OVER (PARTITION BY id) END n, id, predicted_at t FROM predictions)
-  SELECT day, route_id, id horizon, MIN(t) OVER (PARTITION BY day) day_scored_through, CASE WHEN id%9=0 OR id%10=0 THEN 0 ELSE 1 END n FROM d WHERE day > DATE '2024-01-30' - 7""")
+  SELECT day, route_id, id horizon, MIN(t) OVER (PARTITION BY day) day_scored_through, CASE WHEN id%9=0 OR id%10=0 THEN 0::BIGINT ELSE 1::BIGINT END n FROM d WHERE day > DATE '2024-01-30' - 7""")
 def _a31(p, a):
     m = F.when(F.col("id") % 9 == 0, F.lit(None).cast("string")).when(F.col("id") % 10 == 0, F.lit("{broken")).otherwise(F.lit('{"n":1,"paired":1,"median_abs_sec":2.5}'))
     d = p.select(clock.local_day("predicted_at").alias("day"), "route_id", F.col("id").alias("horizon"), "surface", m.alias("metrics"),
