@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Rank conventions: linear interpolation on (n-1)p; floor(p(n-1)); ceil(pn)-1; floor(pn) clipped.
-KINDS = ("linear", "floor", "ceil", "trunc")
+# Rank conventions: linear interpolation on (n-1)p; floor(p(n-1)); ceil(pn)-1; floor(pn); ceil((n+1)p)-1. All clipped.
+KINDS = ("linear", "floor", "ceil", "trunc", "conformal")
 _STEPS = 192.0
 
 
@@ -37,6 +37,8 @@ def _rank(p: float, kind: str, n: Column) -> tuple[Column, Column, Column]:
         k = F.floor((n - 1) * F.lit(float(p)))
     elif kind == "ceil":
         k = F.ceil(n * F.lit(float(p))) - 1
+    elif kind == "conformal":
+        k = F.ceil((n + 1) * F.lit(float(p))) - 1
     elif kind == "trunc":
         k = F.floor(n * F.lit(float(p)))
     else:
