@@ -14,6 +14,7 @@ from fleetlens.operators.grain import top_n
 from fleetlens.operators.ranges import MIN_MS, positions_in_window
 from fleetlens.operators.runs import map_runs
 from fleetlens.operators.topology import next_stop
+from fleetlens.session import materialize
 
 SERVED_M = 75.0
 SKIPPED_M = 150.0
@@ -127,7 +128,7 @@ def classify_passes(visits: DataFrame, ring: DataFrame, stops: DataFrame, pos: D
     n = ring.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
     v = visits.select("id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m")
     v = scan.shifted(v, keys, order, {"pi": "stop_index", "pt": "anchored_at"})
-    v = scan.shifted(v, keys, order, {"qi": "stop_index", "qt": "anchored_at"}, lead=True)
+    v = materialize(scan.shifted(v, keys, order, {"qi": "stop_index", "qt": "anchored_at"}, lead=True))
     v = v.withColumn("_near_at", F.when(F.col("closest_m") <= SERVED_M, F.col("anchored_at")))
     v = scan.carried_first(v, keys, order, {"next_near": "_near_at"}).join(n, "route_id")
     v = v.join(ring.select("route_id", "stop_index", "stop_id"), ["route_id", "stop_index", "stop_id"], "left_semi")

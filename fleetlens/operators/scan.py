@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.session import materialize
+
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
 CELL = "_cell"
@@ -86,8 +88,12 @@ def carried_last(
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: str, out: str, cell_ms: int = DAY_MS) -> DataFrame:
-    """Number runs: ``starts`` is a boolean column that opens a new run."""
-    d = df.withColumn("_s", F.when(F.col(starts), 1).otherwise(0))
+    """Number runs: ``starts`` is a boolean column that opens a new run.
+
+    The flagged rows are stored once: a scan reads its input twice (rows and cell summary), and
+    ``starts`` mostly comes from another scan, so chained scans would multiply the work.
+    """
+    d = materialize(df.withColumn("_s", F.when(F.col(starts), 1).otherwise(0)))
     return running_sum(d, keys, order, {out: "_s"}, cell_ms).drop("_s")
 
 

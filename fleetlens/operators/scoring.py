@@ -137,7 +137,7 @@ def _fan(df: DataFrame) -> DataFrame:
     """A base cell belongs to its route and all routes (0), its horizon and all, its surface and ours."""
     return (
         df.withColumn("route_id", F.explode(F.array(F.col("route_id"), F.lit(0).cast("long"))))
-        .withColumn("horizon", F.explode(F.array_compact(F.array(F.col("horizon"), F.lit("all")))))
+        .withColumn("horizon", F.explode(F.when(F.col("horizon").isNull(), F.array(F.lit("all"))).otherwise(F.array(F.col("horizon"), F.lit("all")))))
         .withColumn(
             "surface",
             F.explode(

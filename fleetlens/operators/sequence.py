@@ -14,6 +14,7 @@ from fleetlens.operators import scan
 from fleetlens.operators.ranges import interval_join
 from fleetlens.operators.runs import map_runs
 from fleetlens.operators.topology import nearest_stop, ring_arrays
+from fleetlens.session import materialize
 
 MIN_MS = 60_000
 TRACK = ["bus_name"]
@@ -88,7 +89,8 @@ def still_runs(pos: DataFrame, radius: float = 25.0, min_ms: int = 15_000, gap_m
 
 def frozen_runs(pos: DataFrame, min_ms: int = 10_000) -> DataFrame:
     """Maximal runs of one repeated coordinate."""
-    d = scan.shifted(pos, TRACK, T_ORDER, {"_la": "lat", "_lo": "lon"}, cell_ms=scan.HOUR_MS)
+    p = pos.select("bus_name", "bus_id", "lat", "lon", "collected_at", "ingest_seq")
+    d = scan.shifted(p, TRACK, T_ORDER, {"_la": "lat", "_lo": "lon"}, cell_ms=scan.HOUR_MS)
     d = d.withColumn("_new", ~(F.col("lat").eqNullSafe(F.col("_la")) & F.col("lon").eqNullSafe(F.col("_lo"))))
     d = scan.islands(d, TRACK, T_ORDER, "_new", "run", cell_ms=scan.HOUR_MS)
     g = d.groupBy("bus_name", "run").agg(F.first("bus_id").alias("bus_id"), F.min("lat").alias("lat"), F.min("lon").alias("lon"),
@@ -255,7 +257,8 @@ def proximity_arrivals(pos: DataFrame, ring: DataFrame, enter_m: float = 50.0, e
     A fix meets the tens of stops of its route; only fixes that enter or leave are kept, and the
     last kept flag before a row decides.
     """
-    two = scan.shifted(pos, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS)
+    p = pos.select("bus_name", "bus_id", "route_id", "lat", "lon", "collected_at", "ingest_seq")
+    two = materialize(scan.shifted(p, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS))
     two = scan.shifted(two, TRACK, T_ORDER, {"pt2": "pt", "pla2": "pla", "plo2": "plo"}, cell_ms=scan.HOUR_MS)
     d = two.join(ring_arrays(ring), "route_id").withColumn("s", F.explode("ring")).drop("ring")
 
@@ -276,7 +279,7 @@ def proximity_arrivals(pos: DataFrame, ring: DataFrame, enter_m: float = 50.0, e
     # A far fix after a far fix changes nothing; dropping it leaves little more than the visits.
     d = d.withColumn("flag", flag).withColumn("frac", frac).where((F.col("flag") == 1) | ((F.col("flag") == 0) & ~F.coalesce(before == 0, F.lit(False))))
     d = d.select("bus_name", "bus_id", "route_id", F.col("s.stop_id").alias("stop_id"), "collected_at", "ingest_seq", "flag", "frac", "pt")
-    d = scan.shifted(d, [*TRACK, "stop_id"], T_ORDER, {"_pf": "flag"}, cell_ms=scan.HOUR_MS)
+    d = scan.shifted(materialize(d), [*TRACK, "stop_id"], T_ORDER, {"_pf": "flag"}, cell_ms=scan.HOUR_MS)
     hit = d.where((F.col("flag") == 1) & F.coalesce(F.col("_pf") == 0, F.lit(True)))
     at = F.when(F.col("pt").isNotNull() & (F.col("collected_at") - F.col("pt") <= gap_ms), F.col("pt") + F.col("frac") * (F.col("collected_at") - F.col("pt"))).otherwise(F.col("collected_at"))
     return hit.select("bus_name", "bus_id", "route_id", "stop_id", at.cast("double").alias("entered_at"), "ingest_seq")
@@ -334,13 +337,14 @@ def approach_scores(labelled: DataFrame) -> DataFrame:
 
 def v1_transitions(pos: DataFrame, ring: DataFrame, min_dwell: int = 15, max_dwell: int = 3600, max_hops: int = 5) -> DataFrame:
     """Arrivals, dwells and segments from nearest-stop changes (T2a): islands, no per-row Python."""
-    n = nearest_stop(pos, ring, v1=True)
+    p = pos.select("bus_id", "bus_name", "route_id", "lat", "lon", "collected_at", "ingest_seq")
+    n = nearest_stop(p, ring, v1=True).drop("lat", "lon")
     d = scan.shifted(n, ["bus_id"], T_ORDER, {"_ps": "near_stop_id", "_pr": "route_id"}, cell_ms=scan.HOUR_MS)
     d = d.withColumn("_new", ~(F.col("_ps").eqNullSafe(F.col("near_stop_id")) & F.col("_pr").eqNullSafe(F.col("route_id"))))
     d = scan.islands(d, ["bus_id"], T_ORDER, "_new", "ep", cell_ms=scan.HOUR_MS)
     e = d.groupBy("bus_id", "ep").agg(F.first("bus_name").alias("bus_name"), F.first("route_id").alias("route_id"), F.first("near_stop_id").alias("stop_id"),
                                       F.first("near_index").alias("stop_index"), F.min("collected_at").alias("arrived_at"))
-    e = scan.shifted(e, ["bus_id"], ["arrived_at", "ep"], {"next_at": "arrived_at", "next_route": "route_id"}, lead=True)
+    e = scan.shifted(materialize(e), ["bus_id"], ["arrived_at", "ep"], {"next_at": "arrived_at", "next_route": "route_id"}, lead=True)
     e = scan.shifted(e, ["bus_id"], ["arrived_at", "ep"], {"from_stop_id": "stop_id", "from_index": "stop_index", "prev_at": "arrived_at", "prev_route": "route_id"})
     e = e.join(ring.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")), "route_id", "left")
     same_next = F.col("next_route") == F.col("route_id")

@@ -26,10 +26,16 @@ def nearest_stop(pos: DataFrame, ring: DataFrame, ahead: int | None = None, anch
     if ahead is not None:
         n = F.size("ring")
         stops = F.filter(stops, lambda s: F.pmod(s["stop_index"] - F.col(anchor), n) <= ahead)
-    best = F.array_min(F.transform(stops, lambda s: F.struct(
-        F.round(dist(F.col("lat"), F.col("lon"), s["lat"], s["lon"]), 12 if v1 else 6).alias("d"), s["stop_index"].alias("i"), s["stop_id"].alias("s"))))
-    return j.withColumn("_b", best).drop("ring").select(
-        "*", F.col("_b.s").alias("near_stop_id"), F.col("_b.i").alias("near_index"), F.col("_b.d").alias("near_m")).drop("_b")
+    grain = 1e12 if v1 else 1e6
+
+    def near(s):
+        d = dist(F.col("lat"), F.col("lon"), s["lat"], s["lon"])
+        # Distances compare in whole micrometres, so that an exact tie is a tie.
+        return F.struct(F.floor(d * grain + 0.5).alias("k"), s["stop_index"].alias("i"), s["stop_id"].alias("s"))
+
+    best = F.array_min(F.transform(stops, near))
+    out = j.withColumn("_b", best).drop("ring")
+    return out.select("*", F.col("_b.s").alias("near_stop_id"), F.col("_b.i").alias("near_index"), (F.col("_b.k") / grain).alias("near_m")).drop("_b")
 
 
 def _cells(lat, lon, size_m: float) -> tuple[Column, Column]:
