@@ -169,7 +169,8 @@ def berth_offsets(visits: DataFrame, pos: DataFrame, ring: DataFrame, window_m:
     runs = frozen_runs(pos).select("bus_name", F.col("lat").alias("rla"), F.col("lon").alias("rlo"), "run_from", "run_to")
     v = visits.where((F.col("outcome") == "stopped") & F.col("departed_at").isNotNull()).select(F.col("id").alias("visit_id"), "bus_name", "route_id", "stop_id", "stop_index",
                                                                                             (F.col("arrived_at") - 60_000).alias("lo"), (F.col("departed_at") + 60_000).alias("hi"))
-    j = interval_join(v, runs, ["bus_name"], "lo", "hi", "run_from", 20 * MIN_MS)
+    v = v.join(ring.select("route_id", "stop_index", F.col("lat").alias("vla"), F.col("lon").alias("vlo")), ["route_id", "stop_index"])
+    j = interval_join(v, runs, ["bus_name"], "lo", "hi", "run_from", 20 * MIN_MS).where(metres("vla", "vlo", "rla", "rlo") <= 150)
     j = j.groupBy("visit_id", "route_id", "stop_id", "stop_index").agg(F.max_by(F.struct("rla", "rlo"), F.struct("run_to", "run_from")).alias("p"))
     n = next_stop(ring).select("route_id", "stop_index", "next_index")
     a = ring.select("route_id", "stop_index", F.col("lat").alias("sla"), F.col("lon").alias("slo"))
