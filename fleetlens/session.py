@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, one process that is driver and executor at once (``local[n]``) gets a folder
+    of its own; on a cluster that is an error, as executors could not read each other's files."""
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
+        if current := sc.getCheckpointDir():
             return current
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
