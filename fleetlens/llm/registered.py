@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import mixing, packing, quality_rules
+from fleetlens.llm import mixing, packing, quality_rules, simhash, warc
 from fleetlens.llm.common import read
 from fleetlens.llm.oracles import ORACLE
 
@@ -20,10 +20,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rules")
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -32,7 +40,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
     "op9_quality_rules": op9_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
