@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import mixing, packing, quality_rules, simhash, warc
-from fleetlens.llm.common import read
+from fleetlens.llm import gam, langid, mixing, packing, quality_rules, simhash, warc
+from fleetlens.llm.common import held_out, read
 from fleetlens.llm.oracles import ORACLE
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -16,6 +16,12 @@ __all__ = ["QUERIES", "ORACLE"]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -38,11 +44,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")])
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    return gam.score(read(spark, sf_dir, "documents"), labels).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
