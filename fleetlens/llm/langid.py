@@ -21,65 +21,81 @@ TRAIN_DOCS = 4_000
 #: Bounds of the model: most frequent words of a language, and n-grams of a language and order.
 WORDS, GRAMS, LONGEST = 30_000, 20_000, 5
 UNKNOWN = "und"
-_CACHE = 300_000
+_CACHE = 600_000
 _PIECE = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
+    """Votes are rows of one matrix, row 0 for no evidence; words and n-grams name their rows."""
+
     langs: list[str]
     words: dict[str, int]
     grams: list[dict[str, int]]  # by order, from 1
-    word_votes: np.ndarray  # (words, languages): log frequency
-    gram_votes: list[np.ndarray]
+    votes: np.ndarray  # (rows, languages): log frequency
     _seen: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None  # votes and number of pieces of each token seen; row 0 is empty
-    _rows: int = 0
+    _rows: int = 1
 
-    def piece(self, p: str) -> np.ndarray:
-        """Votes of one run of letters."""
+    def hits(self, p: str) -> list[int]:
+        """The rows whose mean is the vote of one run of letters."""
         k = self.words.get(p)
         if k is not None:
-            return self.word_votes[k]
+            return [k]
         marked = f"^{p}$"
-        for n in range(min(LONGEST, len(marked)), 0, -1):
+        size = len(marked)
+        for n in range(min(LONGEST, size), 0, -1):
             known = self.grams[n - 1]
-            hits = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
-            if hits:
-                return self.gram_votes[n - 1][hits].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def _row(self, token: str) -> int:
-        """Place of a token's votes among those kept; 0 means that it has no letter."""
-        pieces = [p if p.isalpha() else "".join(filter(str.isalpha, p)) for p in _PIECE.findall(token.lower())]
-        pieces = [p for p in pieces if p]
-        k = 0
-        if pieces:
-            k, self._rows = self._rows, self._rows + 1
-            if k == len(self._table):
-                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-            self._table[k, :-1] = self.piece(pieces[0])
-            for p in pieces[1:]:
-                self._table[k, :-1] += self.piece(p)
-            self._table[k, -1] = len(pieces)
-        self._seen[token] = k
-        return k
+            if found := [known[g] for i in range(size - n + 1) if (g := marked[i : i + n]) in known]:
+                return found
+        return [0]
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Keep the votes of tokens not seen yet, all at once; row 0 is for those without a letter."""
+        flat: list[int] = []
+        segments, pieces_of = [], []
+        for token in tokens:
+            if token in self._seen:
+                continue
+            pieces = [q for p in _PIECE.findall(token.lower()) if (q := p if p.isalpha() else "".join(filter(str.isalpha, p)))]
+            if not pieces:
+                self._seen[token] = 0
+                continue
+            for p in pieces:
+                got = self.hits(p)
+                flat += got
+                segments.append(len(got))
+            self._seen[token] = self._rows + len(pieces_of)
+            pieces_of.append(len(pieces))
+        if not pieces_of:
+            return
+        lengths, counts = np.array(segments), np.array(pieces_of)
+        by_piece = np.add.reduceat(self.votes[np.array(flat)], np.cumsum(lengths) - lengths) / lengths[:, None]
+        by_token = np.add.reduceat(by_piece, np.cumsum(counts) - counts)
+        end = self._rows + len(counts)
+        if end > len(self._table):
+            self._table = np.concatenate([self._table, np.zeros((max(end, len(self._table)), self._table.shape[1]))])
+        self._table[self._rows : end, :-1] = by_token
+        self._table[self._rows : end, -1] = counts
+        self._rows = end
 
     def predict(self, text: str | None) -> tuple[str, float]:
         tokens = (text or "").split()
+        if not tokens or not self.langs:
+            return UNKNOWN, 0.0
         if len(self._seen) > _CACHE or self._table is None:
             self._seen, self._table, self._rows = {}, np.zeros((1024, len(self.langs) + 1)), 1
         get = self._seen.get
         rows = [get(t) for t in tokens]
         if None in rows:
-            rows = [self._row(t) if (k := get(t)) is None else k for t in tokens]
+            self._learn([t for t, k in zip(tokens, rows, strict=True) if k is None])
+            rows = [get(t) for t in tokens]
         total = self._table[np.array(rows, dtype=np.int64)].sum(axis=0)
-        if total[-1] == 0 or not self.langs:
+        if total[-1] == 0:
             return UNKNOWN, 0.0
         votes = total[:-1] / math.sqrt(total[-1])
-        p = np.exp(votes - votes.max())
         best = int(np.argmax(votes))
-        return self.langs[best], float(1 / p.sum())
+        return self.langs[best], float(1 / np.exp(votes - votes.max()).sum())
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
@@ -106,7 +122,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     langs = sorted(r.lang for r in share.collect())
 
-    def table(rows: list, what: str) -> tuple[dict[str, int], np.ndarray]:
+    votes, size = [np.zeros((1, len(langs)))], 1
+
+    def table(rows: list, what: str) -> dict[str, int]:
+        nonlocal size
         index: dict[str, int] = {}
         for r in rows:
             index.setdefault(r[what], len(index))
@@ -115,12 +134,14 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for r in rows:
             counts[index[r[what]], place[r.lang]] = r.n
             totals[place[r.lang]] = r.total
-        return index, np.log((counts + 0.5) / (totals + 0.5 * max(1, len(index))))
+        votes.append(np.log((counts + 0.5) / (totals + 0.5 * max(1, len(index)))))
+        first, size = size, size + len(index)
+        return {k: first + i for k, i in index.items()}
 
-    word_index, word_votes = table(top(words, ["lang"], "w", WORDS), "w")
+    word_index = table(top(words, ["lang"], "w", WORDS), "w")
     gram_rows = top(grams, ["lang", "order"], "g", GRAMS)
     by_order = [table([r for r in gram_rows if r.order == k], "g") for k in range(1, LONGEST + 1)]
-    return Model(langs, word_index, [i for i, _ in by_order], word_votes, [v for _, v in by_order])
+    return Model(langs, word_index, by_order, np.concatenate(votes))
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

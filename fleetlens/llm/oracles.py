@@ -62,6 +62,23 @@ select x.doc_id, x.size, x.source_size, x.target, (x.size * (x.certain + case wh
 from x left join t on x.doc_id = t.chosen
 """
 
-ORACLE = {"op9_quality_rules": _OP9, "op5_mixing": _OP5}
+_OP3 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as BIGINT) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as INTEGER) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+# Base32: the 160 bits of the digest in groups of five.
+_OP4 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+b as (select page_id, html, octet_length(encode(html)) as payload_bytes, unhex(sha1(html))::BIT::VARCHAR as bits,
+  max(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(1, 6), lambda k: (ascii(substr(bits, cast(5 * i + k as INTEGER), 1)) - 48) * (1 << cast(5 - k as INTEGER)))) as INTEGER), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b
+"""
+
+ORACLE = {"op3_maxscore": _OP3, "op4_warc": _OP4, "op9_quality_rules": _OP9, "op5_mixing": _OP5}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

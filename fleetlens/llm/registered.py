@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import gam, langid, mixing, packing, quality_rules, simhash, warc
+from fleetlens.llm import extract, gam, langid, maxscore, mixing, packing, quality_rules, simhash, warc
 from fleetlens.llm.common import held_out, read
 from fleetlens.llm.oracles import ORACLE
 
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    return maxscore.top_k(table, table.where(F.pmod("vec_id", F.lit(50)) == 0))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -38,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rules")
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -52,9 +61,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_maxscore": op3_maxscore,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,

@@ -215,8 +215,8 @@ def _reader(base: str, with_payload: bool):
 
 
 def scan(manifest: DataFrame, base: str, with_payload: bool = True) -> DataFrame:
-    """Rows of all records of the manifest's files; a file is read from front to back by one task."""
-    paths = manifest.select("path").repartition(F.col("path"))
+    """Rows of all records of the manifest's files; each file is read from front to back by a task of its own."""
+    paths = manifest.select("path").repartition(max(1, manifest.count()))
     return paths.mapInArrow(_reader(base, with_payload), _RECORD_DDL)
 
 
