@@ -7,8 +7,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, packing, quality_rules
+from fleetlens.llm import linededup, mixing, packing, quality_rules, simhash
 from fleetlens.session import checkpoint_dir
 
 
@@ -17,6 +18,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat lines of others; those left without a word go, for all that
+    they said is said elsewhere."""
+    out = linededup.deduplicated(docs).select(*docs.columns)
+    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull())
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    return simhash.deduplicated(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as it is taken."""
     return mixing.mixed(docs)
@@ -27,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
 #: The stages hash, sample and tokenize in ways that SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 

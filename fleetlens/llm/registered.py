@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import extract, gam, langid, maxscore, mixing, packing, quality_rules, simhash, warc
+from fleetlens.llm import extract, gam, langid, linededup, maxscore, mixing, packing, quality_rules, simhash, warc
 from fleetlens.llm.common import held_out, read
 from fleetlens.llm.oracles import ORACLE
 
@@ -43,6 +43,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicated(docs).select("doc_id", "n_lines", "dropped", "text")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
