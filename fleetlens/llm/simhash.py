@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import components, materialize, small_batches
 
 WORDS, SEED, BITS, RADIUS = 4, 42, 64, 4
-#: Variants that one task spells out for one prefix; heavier prefixes are made longer.
-GROUP_VARIANTS = 4_000_000
-#: Bits by which a heavy prefix grows.
-STEP = 8
+#: Variants behind one prefix: what prefixes are sized for on average, and from where a prefix is made longer.
+AIM_VARIANTS, GROUP_VARIANTS = 16_000_000, 64_000_000
+#: Variants that a task holds at a time; it spells out larger groups piece by piece.
+HELD_VARIANTS = 4_000_000
+#: Bits by which a heavy prefix grows, in the shuffle and inside a task.
+STEP, HELD_STEP = 8, 4
 _CHUNK = 65_536
 
 
@@ -85,53 +87,56 @@ def _weight(half: int) -> Column:
     return total
 
 
+def _pieces(fp: np.ndarray, rows: np.ndarray, spent: np.ndarray, tail: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants, owners) of the last ``tail`` bits, in pieces that share the bits before."""
+    reach = np.array([sum(comb(tail, i) for i in range(half - k + 1)) for k in range(half + 1)])
+    if len(rows) < 2:
+        return
+    if reach[spent].sum() > HELD_VARIANTS and tail > HELD_STEP:
+        nxt = (fp[rows] >> np.uint64(tail - HELD_STEP)) & np.uint64((1 << HELD_STEP) - 1)
+        for value in range(1 << HELD_STEP):
+            used = spent + np.bitwise_count(nxt ^ np.uint64(value))
+            ok = used <= half
+            yield from _pieces(fp, rows[ok], used[ok], tail - HELD_STEP, half)
+        return
+    variants, owners = [fp[rows]], [rows]
+    for k in range(1, half + 1):
+        who = rows[spent <= half - k]
+        masks = np.array([sum(1 << i for i in c) for c in combinations(range(tail), k)], dtype=np.uint64)
+        variants.append((fp[who][None, :] ^ masks[:, None]).ravel())
+        owners.append(np.tile(who, len(masks)))
+    yield np.concatenate(variants) & np.uint64((1 << tail) - 1), np.concatenate(owners)
+
+
 def _collide(radius: int):
     half = radius // 2
 
     def run(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        rep, spent = table.column("rep").to_numpy(), table.column("spent").to_numpy()
-        n, tail = len(fp), BITS - int(table.column("depth")[0].as_py())
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if n < 2:
-            return none
-        variants, owners = [fp], [np.arange(n, dtype=np.int32)]
-        for k in range(1, half + 1):
-            who = np.flatnonzero(spent <= half - k).astype(np.int32)
-            masks = np.array([sum(1 << i for i in c) for c in combinations(range(tail), k)], dtype=np.uint64)
-            variants.append((fp[who][None, :] ^ masks[:, None]).ravel())
-            owners.append(np.tile(who, len(masks)))
-        # Behind a common prefix only the tail tells variants apart.
-        keep = np.uint64((1 << tail) - 1)
-        v, o = np.concatenate(variants) & keep, np.concatenate(owners)
-        del variants, owners
-        order = np.argsort(v)
-        v = v[order]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        a, b = o[order[same]], o[order[same + 1]]
-        if not len(a):
-            return none
-        pairs = np.unique(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
-        a, b = pairs // n, pairs % n
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        a, b = a[near], b[near]
-        # Neighbours in a run chain all owners of a variant; a forest of them says as much.
+        # In the order of rep, so that a root is the least rep of its rows.
+        table = table.sort_by("rep")
+        fp, rep = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy()
+        n, tail = len(fp), BITS - table.column("depth")[0].as_py()
         root = np.arange(n)
-        by_rep = np.argsort(rep, kind="stable")
-        place = np.empty(n, dtype=np.int64)
-        place[by_rep] = np.arange(n)
-        a, b = place[a], place[b]
-        while True:
-            low = np.minimum(root[a], root[b])
-            old = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            root = root[root]
-            if np.array_equal(root, old):
-                break
-        ids = rep[by_rep]
+        for v, o in _pieces(fp, np.arange(n, dtype=np.int32), table.column("spent").to_numpy().astype(np.int64), tail, half):
+            order = np.argsort(v)
+            v = v[order]
+            same = np.flatnonzero(v[1:] == v[:-1])
+            # Neighbours in a run chain all owners of a variant.
+            a, b = o[order[same]].astype(np.int64), o[order[same + 1]].astype(np.int64)
+            pairs = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+            a, b = pairs // n, pairs % n
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            a, b = a[near], b[near]
+            while len(a):
+                old, low = root.copy(), np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                root = root[root]
+                if np.array_equal(root, old):
+                    break
+        # A forest of the links says as much as all of them.
         moved = np.flatnonzero(root != np.arange(n))
-        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[root[moved]])})
+        return pa.table({"a": pa.array(rep[moved], pa.int64()), "b": pa.array(rep[root[moved]], pa.int64())})
 
     return run
 
@@ -144,7 +149,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     group would spell out more than GROUP_VARIANTS are made longer, and so spread over more tasks."""
     half = radius // 2
     whole = distinct.count() * sum(comb(BITS, k) for k in range(half + 1))
-    bits = max(1, int(np.ceil(np.log2(max(whole, 2) / GROUP_VARIANTS)))) if whole > GROUP_VARIANTS else 1
+    bits = max(1, int(np.ceil(np.log2(max(whole, 2) / AIM_VARIANTS))))
     start = distinct.select("fp", "rep", F.lit(0).cast("long").alias("prefix"), F.lit(0).alias("depth"), F.lit(0).alias("spent"))
     todo, ready = _lengthen(start, min(bits, 24), half), None
     while True:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from fleetlens.llm import simhash
@@ -45,7 +46,8 @@ def test_all_of_the_smallest_documents(spark):
 
 def test_links_of_planted_fingerprints(spark, monkeypatch):
     """Chains, dense balls and lone ones; small groups so that prefixes grow more than once."""
-    monkeypatch.setattr(simhash, "GROUP_VARIANTS", 30_000)
+    for name, n in (("AIM_VARIANTS", 30_000), ("GROUP_VARIANTS", 60_000)):
+        monkeypatch.setattr(simhash, name, n)
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 2**63, 40)]
     centre = int(rng.integers(0, 2**63))
@@ -75,3 +77,15 @@ def test_odd_rows(spark):
     kept = simhash.deduplicated(d)
     assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["10", "3", "7", "9", "None"]
     assert simhash.near_duplicates(d.limit(0)).count() == 0 and simhash.deduplicated(d.limit(0)).count() == 0
+
+
+def test_groups_larger_than_a_task_holds(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_VARIANTS", 3_000)
+    rng = np.random.default_rng(1)
+    centre = int(rng.integers(0, 2**63))
+    fps = [int(x) for x in rng.integers(0, 2**63, 30)] + [centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (60, 2))]
+    fps = list(dict.fromkeys(fps))
+    table = pa.table({"fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), "rep": range(len(fps)), "depth": [0] * len(fps), "spent": [0] * len(fps)})
+    got = simhash._collide(4)(table).to_pydict()
+    found = dict(zip(got["a"], got["b"], strict=True))
+    assert {i: found.get(i, i) for i in range(len(fps))} == brute_components(dict(enumerate(fps)))
