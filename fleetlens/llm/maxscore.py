@@ -22,7 +22,8 @@ SCALE = 256.0
 #: Non-essential terms probed between two looks at who is still competitive.
 PROBE = 4
 _EXACT = 2.0**53
-_LONG = (1 << 63) - 1
+#: The largest double below the end of a long.
+_LONG = (1 << 63) - 1024
 
 
 def vectors(ids: pa.Array, lists: pa.Array, scale: float = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +54,12 @@ class Shard:
 
     def search(self, own: int, q: np.ndarray, score: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best of (score, found) and this shard: score descending, then id ascending."""
-        k, reach = len(score), np.maximum(np.maximum(q * self.low, q * self.high), 0)
+        with np.errstate(over="ignore"):
+            k, reach = len(score), np.maximum(np.maximum(q * self.low, q * self.high), 0)
+            exact = float(np.abs(q) @ np.maximum(self.high, -self.low)) < _EXACT
         order = np.argsort(-reach, kind="stable")
         q, reach = q[order], reach[order]
-        exact = q if float(np.abs(q) @ np.maximum(self.high, -self.low)[order]) < _EXACT else None
-        if exact is None:
+        if not exact:
             return self._slow(own, q, order, score, found)
         left = np.append(np.cumsum(reach[::-1])[::-1], 0.0)  # what terms from here on can add at most
         for a, b in ((0, SEED_ROWS), (SEED_ROWS, len(self.ids))):
@@ -79,7 +81,7 @@ class Shard:
         return score, found
 
     def _slow(self, own: int, q: np.ndarray, order: np.ndarray, score: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums too large for doubles, in whole numbers; results stop at the ends of a long."""
+        """Sums too large for doubles, in whole numbers; they are given as the nearest double and stop at the ends of a long."""
         weights = [int(v) for v in q]
         sums = [sum(w * int(v) for w, v in zip(weights, col, strict=True)) for col in self.columns[order].T]
         old = [s if not np.isfinite(s) else int(s) for s in score.tolist()]
@@ -156,7 +158,8 @@ def top_k(table: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     ``table`` is scanned once per block of queries; only a block, of bounded size, is broadcast, and a
     shard gives ``k`` rows per query. Unusable vectors (see ``vectors``) take no part. Of repeated keys
     the row with the larger score counts; of repeated queries the least vector. Fewer rows than ``k``
-    give all. An empty side gives no rows."""
+    give all. An empty side gives no rows. Scores are exact below 2**53; beyond that they are the nearest
+    double, and stop at the ends of a long."""
     spark = table.sparkSession
     d = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
