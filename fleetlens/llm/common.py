@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.session import materialize
+from fleetlens.session import checkpoint_dir, materialize
+
+__all__ = ["let", "spaced", "words_of", "held_out", "read", "small_batches", "materialize", "stored", "components"]
+
 
-__all__ = ["let", "spaced", "words_of", "held_out", "read", "small_batches", "materialize", "components"]
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, as a compressed Parquet table in the shared folder, for wider rows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

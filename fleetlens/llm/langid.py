@@ -103,9 +103,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Counting is Spark's; only the most frequent words and n-grams of each language reach the driver."""
     d = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    share = d.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("share"))
-    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
-    few = d.join(share, "lang").where(unit < F.col("share"))
+    # One number per language: the model itself has a column for each.
+    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, train_docs / counts[k])]), F.col("lang")) if langs else F.lit(0.0)
+    few = d.where(F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) < share)
     words = few.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = materialize(words)
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
@@ -120,8 +122,6 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         total = F.sum("n").over(W.partitionBy(*by))
         return counts.withColumn("rank", rank).withColumn("total", total).where(F.col("rank") <= most).collect()
 
-    langs = sorted(r.lang for r in share.collect())
-
     votes, size = [np.zeros((1, len(langs)))], 1
 
     def table(rows: list, what: str) -> dict[str, int]:
