@@ -95,11 +95,11 @@ def is_rider_surface(c) -> Column:
 ANON_ID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
-def normalize_query(c, max_len: int = 60) -> Column:
-    """Lower case, apostrophes dropped, other punctuation to single spaces."""
+def normalize_query(c, max_len: int | None = 60) -> Column:
+    """Lower case, apostrophes dropped, other punctuation to single spaces; cut at ``max_len`` unless None."""
     x = F.regexp_replace(F.lower(_c(c)), "['’]", "")
     x = F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-    return F.substring(x, 1, max_len)
+    return x if max_len is None else F.substring(x, 1, max_len)
 
 
 def countdown_bucket(token) -> Column:

@@ -9,7 +9,7 @@ from fleetlens.functions.exprs import normalize_query
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    q = normalize_query(text, 100_000)
+    q = normalize_query(text, None)
     return df.select(key, q.alias("norm")).where(F.length("norm") > 0).withColumn("tokens", F.array_distinct(F.split("norm", " ")))
 
 
@@ -20,9 +20,11 @@ def resolve_queries(queries: DataFrame, names: DataFrame, max_edits: int = 1) ->
     strings are resolved once. A name scores the share of the string's tokens it contains, exactly or
     within ``max_edits`` edits (an adjacent swap is one). Fuzzy candidates meet on a deletion
     signature: two tokens within one edit share a token or a one-letter deletion of each other, so no
-    token is compared with all others.
+    token is compared with all others. Signatures of one deletion reach one edit; more is refused.
     """
-    qs = queries.select(normalize_query("q", 100_000).alias("norm")).where(F.length("norm") > 0).distinct()
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits is 0 or 1")
+    qs = queries.select(normalize_query("q", None).alias("norm")).where(F.length("norm") > 0).distinct()
     qt = qs.withColumn("tokens", F.array_distinct(F.split("norm", " "))).withColumn("n", F.size("tokens")).select("norm", "n", F.explode("tokens").alias("t"))
     nt = _tokens(names, "name_id", "name").withColumn("m", F.size("tokens")).select("name_id", "m", F.explode("tokens").alias("nt"))
 
@@ -43,5 +45,5 @@ def resolve_queries(queries: DataFrame, names: DataFrame, max_edits: int = 1) ->
     sc = hit.groupBy("norm", "n", "name_id", "m").agg(F.count(F.lit(1)).alias("k"), F.sum("e").alias("edits"))
     score = F.col("k") / F.col("n") - 0.1 * F.col("edits") - 0.01 * (F.col("m") - F.least("k", "m"))
     best = sc.withColumn("score", F.round(score, 6)).groupBy("norm").agg(F.min_by(F.struct("name_id", "score", "edits"), F.struct(-F.col("score"), F.col("name_id"))).alias("x"))
-    q = queries.withColumn("norm", normalize_query("q", 100_000))
+    q = queries.withColumn("norm", normalize_query("q", None))
     return q.join(best, "norm", "left").select("query_id", F.col("x.name_id").alias("name_id"), F.col("x.score").alias("score"), F.col("x.edits").alias("edits"))

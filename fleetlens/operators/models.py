@@ -15,6 +15,7 @@ from fleetlens.functions import exprs as E
 from fleetlens.functions.quantiles import TEN_KNOTS, grouped_quantiles
 from fleetlens.operators import scan
 from fleetlens.operators.asof import MATCH_2H_MS, asof_next
+from fleetlens.operators.graph import components
 from fleetlens.operators.topology import next_stop
 from fleetlens.session import materialize
 
@@ -201,27 +202,14 @@ def pinball(rows: DataFrame) -> DataFrame:
                     F.when(k > 0, F.col("b") / k).alias("challenger_loss"), F.when(k > 0, (F.col("b") - F.col("a")) / k).alias("delta"))
 
 
-def identity_clusters(df: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Cluster of every (day, id) and (day, name) alias by shared rows.
+def identity_clusters(df: DataFrame) -> DataFrame:
+    """Cluster of every (day, id) and (day, name) alias by shared rows (J22): the least alias reached.
 
-    Rows shrink to distinct edges first. Each round every alias takes the least label of its
-    partners, and labels are followed one step (pointer jumping), so rounds grow with the log of the
-    longest alias chain. Labels are checkpointed.
-    """
-    e = df.select(F.concat_ws("|", F.col("day").cast("string"), F.lit("i"), F.col("bus_id").cast("string")).alias("a"),
-                  F.concat_ws("|", F.col("day").cast("string"), F.lit("n"), F.lower(E.norm_bus_name("bus_name"))).alias("b")).distinct()
-    e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = materialize(e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(max_rounds):
-        near = e.join(lab.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = lab.join(near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("_old"))
-        up = step.select(F.col("a").alias("label"), F.col("label").alias("_up"))
-        new = materialize(step.join(up, "label", "left").select("a", F.least("label", F.coalesce("_up", "label")).alias("label"), "_old"))
-        if new.where("label <> _old").isEmpty():
-            lab = new.drop("_old")
-            break
-        lab = new.drop("_old")
-    return lab.select(F.col("a").alias("alias"), F.col("label").alias("cluster"))
+    Rows shrink to distinct edges between an id and a name of a day, which are then components."""
+    day = F.col("day").cast("string")
+    e = df.select(F.concat_ws("|", day, F.lit("i"), F.col("bus_id").cast("string")).alias("a"),
+                  F.concat_ws("|", day, F.lit("n"), F.lower(E.norm_bus_name("bus_name"))).alias("b")).distinct()
+    return components(e).select(F.col("node").alias("alias"), F.col("component").alias("cluster"))
 
 
 def clustered_bootstrap(rows: DataFrame, draws: int = 2000, min_clusters: int = 30) -> DataFrame:
@@ -529,11 +517,11 @@ def fit_logistic(rows: DataFrame, l2: float = 2.0, rounds: int = 50) -> list[flo
         if np.abs(g).max() < 1e-7:
             return beta.tolist()
         step = np.linalg.solve(h, g)
-        trials = [beta - step / 2**s for s in range(8)]
+        trials = [beta - step / 2**s for s in range(24)]
         got = rows.agg(*[loss(b) for b in trials]).first()
         best = next((i for i, b in enumerate(trials) if got[i] + pen(b) <= cur + 1e-12 * abs(cur)), None)
         if best is None:
-            return beta.tolist()
+            return None
         change = np.abs(trials[best] - beta).max()
         beta, cur = trials[best], got[best] + pen(trials[best])
         if change < 1e-8:
@@ -541,18 +529,20 @@ def fit_logistic(rows: DataFrame, l2: float = 2.0, rounds: int = 50) -> list[flo
     return None
 
 
-def release_fit(visits: DataFrame, stop_id: int, before_ms: int, min_n: int = 60, min_days: int = 3) -> DataFrame:
-    """Hazard of leaving a stop by time stood, lap and quarter-hour phase (M3): one row, or none when thin.
+def release_fit(visits: DataFrame, stop_id: int, before_ms: int, min_n: int = 60, min_days: int = 3, min_laps: int = 40) -> DataFrame:
+    """Hazard of leaving a stop by time stood, lap and quarter-hour phase (M3): one row, or none when thin
+    (visits, days, usable laps) or when the fit does not converge.
 
     ``visits``: stop visits with ``loop`` material from ``lap_samples`` joined as lap (nullable).
     """
     ready = F.greatest(F.col("departed_at") + 120_000, F.coalesce("first_moved_at", "departed_at") + F.coalesce("confirm_sec", F.lit(0.0)) * 1000)
     v = visits.where((F.col("stop_id") == stop_id) & (F.col("outcome") == "stopped") & (F.col("departed_at") >= F.col("pinned_at")) & (ready < before_ms))
     o = materialize(v.select("pinned_at", ((F.col("departed_at") - F.col("pinned_at")) / 1000).alias("stand"), "lap", clock.service_day("pinned_at").alias("day")))
-    n, days = o.agg(F.count(F.lit(1)), F.count_distinct("day")).first()
-    lap = grouped_quantiles(o.where((F.col("lap") > 900) & (F.col("lap") < 7200)).withColumn("k", F.lit(1)), ["k"], "lap", {"m": (0.5, "linear")}).first()
+    usable = (F.col("lap") > 900) & (F.col("lap") < 7200)
+    n, days, laps = o.agg(F.count(F.lit(1)), F.count_distinct("day"), _n(usable)).first()
+    lap = grouped_quantiles(o.where(usable).withColumn("k", F.lit(1)), ["k"], "lap", {"m": (0.5, "linear")}).first()
     beta = None
-    if n >= min_n and days >= min_days and lap is not None:
+    if n >= min_n and days >= min_days and (laps or 0) >= min_laps and lap is not None:
         beta = fit_logistic(release_rows(o, float(lap["m"])))
     schema = "stop_id long, reference_lap double, coefficients array<double>, n long, days long"
     return visits.sparkSession.createDataFrame([(stop_id, float(lap["m"]), beta, n, days)] if beta else [], schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,29 +53,44 @@ def qualifying_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("q", vanishing_jumps(F.col("jumps"))).where(F.size("q") > 0).withColumn("worst", F.element_at("q", 1)).drop("q")
 
 
-def emit_alerts(runs: DataFrame, received: str = "received_at") -> DataFrame:
-    """Apply the six-hour line cooldown and the daily cap, in arrival order.
+def _cooled(q: DataFrame) -> DataFrame:
+    """Rows of ``q`` (line, id, t) that start on their line or come a cooldown after the last such row.
 
-    A run alerts when it is the first on its line at least a cooldown after the last alert. Every
-    run points to the run that would follow it; the alerts are what a line's first run reaches.
-    Doubling the pointers reaches a chain of n alerts in log2(n) joins on unique keys.
+    Every run points to the run that would follow it; what a line's first run reaches is found by
+    doubling the pointers, a chain of n in log2(n) joins on unique keys.
     """
-    q = qualifying_runs(runs).select("line", F.col("id"), F.col(received).cast("long").alias("t"))
     nxt = asof_next_any(q.withColumn("_free", F.col("t") + COOLDOWN_MS), q, ["line"], "_free", "t", ["id"], "id")
     ptr = materialize(nxt.select("line", "id", "t", F.col("next.id").alias("to")))
-    span = ptr.groupBy("line").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("s"))
-    bound = span.agg(F.max(F.least(F.col("n"), F.floor(F.col("s") / COOLDOWN_MS) + 1))).first()[0] or 1
     reached = ptr.groupBy("line").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
     hop = ptr.where(F.col("to").isNotNull()).select("line", "id", "to")
-    for _ in range(max(1, math.ceil(math.log2(bound + 1)))):
+    while not hop.isEmpty():
         step = reached.join(hop, ["line", "id"]).select("line", F.col("to").alias("id"))
         reached = materialize(reached.unionByName(step).distinct())
         b = hop.select("line", F.col("id").alias("to"), F.col("to").alias("_to2"))
         hop = materialize(hop.join(b, ["line", "to"]).select("line", "id", F.col("_to2").alias("to")))
-    hit = ptr.join(reached, ["line", "id"], "left_semi").withColumn("day", clock.local_day("t"))
+    return ptr.join(reached, ["line", "id"], "left_semi").select("line", "id", "t")
+
+
+def emit_alerts(runs: DataFrame, received: str = "received_at") -> DataFrame:
+    """Apply the six-hour line cooldown and the daily cap, in arrival order.
+
+    Only an alert that is sent starts a cooldown, and from a day's last allowed alert on nothing is
+    sent. Days are closed so until nothing changes: the first day is right after the first round, and
+    each day after the one before it, so this ends with the only answer that fits both rules.
+    """
+    q = materialize(qualifying_runs(runs).select("line", F.col("id"), F.col(received).cast("long").alias("t")).withColumn("day", clock.local_day("t")))
     w = Window.partitionBy("day").orderBy("t", "id")
-    capped = hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_PER_DAY)
-    return capped.select("line", "day", "id", F.col("t").alias(received))
+    closed, seen = None, None
+    while True:
+        left = q if closed is None else q.join(closed, "day", "left").where(
+            F.col("end").isNull() | (F.struct("t", "id") <= F.col("end"))).drop("end")
+        sent = materialize(_cooled(left.select("line", "id", "t")).withColumn("day", clock.local_day("t")).withColumn("_n", F.row_number().over(w)))
+        closed = materialize(sent.where(F.col("_n") == MAX_PER_DAY).select("day", F.struct("t", "id").alias("end")))
+        mark = tuple(closed.agg(F.count("*"), F.sum(F.xxhash64("day", "end").cast("decimal(38,0)"))).first())
+        if mark == seen:
+            break
+        seen = mark
+    return sent.where(F.col("_n") <= MAX_PER_DAY).select("line", "day", "id", F.col("t").alias(received))
 
 
 def resolve_alerts(runs: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,7 @@ from fleetlens.functions import clock
 from fleetlens.functions.geo import metres
 from fleetlens.operators import scan
 from fleetlens.operators.grain import top_n
-from fleetlens.operators.ranges import MIN_MS, positions_in_window
-from fleetlens.operators.runs import map_runs
+from fleetlens.operators.ranges import MIN_MS, interval_join, positions_in_window
 from fleetlens.operators.topology import next_stop
 from fleetlens.session import materialize
 
@@ -57,62 +54,52 @@ def with_loop(visits: DataFrame) -> DataFrame:
     return v.withColumn("loop_sec", loop)
 
 
-_VISIT = "id long, bus_id long, route_id long, stop_id long, stop_index long, anchored_at long, closest_m double"
+def resolve_anchor_returns(visits: DataFrame, ring: DataFrame, stops: DataFrame, pos: DataFrame, hop_ms: int = HOP_MS, gap_ms: int = FIX_GAP_MS,
+                           now_ms: int | None = None) -> DataFrame:
+    """Visits without excursions of the anchor between two near ones.
 
-
-def resolve_anchor_returns(visits: DataFrame, ring: DataFrame, stops: DataFrame, pos: DataFrame, hop_ms: int = HOP_MS) -> DataFrame:
-    """Remove an excursion of the anchor between two near visits.
-
-    Candidates look at most one hop window back, so a vehicle's visits are cut where they pause for
-    longer than it: groups stay as short as a run of service. The fixes that confirm a return are
-    summarised by an interval join first.
+    A *head* is a visit that is near, or off the ring, or of unknown distance; what follows up to the
+    next head is its tail. Where two heads in a row are near visits one or two places apart, with the
+    later place already in the tail, a route through the tail that is no plain approach but comes to
+    the same advance, and fixes without a hole lead from the first to within reach of the second, the
+    tail goes: all but, between places two apart, the closest visit of the place in between.
     """
-    v = visits.select("id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m")
-    keys = ["bus_id", "route_id"]
-    v = scan.shifted(v, keys, ["anchored_at", "id"], {"_pa": "anchored_at"})
-    v = v.withColumn("_new", F.col("_pa").isNull() | (F.col("anchored_at") - F.col("_pa") > hop_ms))
-    v = scan.islands(v, keys, ["anchored_at", "id"], "_new", "run").drop("_pa", "_new")
-    v = scan.shifted(v, keys, ["anchored_at", "id"], {"_na": "anchored_at"}, lead=True)
-    n = ring.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
-    ok = ring.select("route_id", "stop_index", "stop_id").withColumn("valid", F.lit(True))
-    v = v.join(n, "route_id", "left").join(ok, ["route_id", "stop_index", "stop_id"], "left")
-    # First fix within reach at or after each near visit, with the hole before it, inside the hop window.
-    seen = v.where(F.col("closest_m") <= SERVED_M).join(stops.select("stop_id", "lat", "lon"), "stop_id").select(
-        F.col("id").alias("iv_id"), "bus_id", F.col("anchored_at").alias("from_ms"),
-        F.least(F.col("anchored_at") + hop_ms, F.coalesce("_na", F.col("anchored_at") + hop_ms)).alias("to_ms"), "lat", "lon")
-    w = positions_in_window(seen, pos, tail_ms=0)
-    conf = w.where((F.col("closest_fix_m") <= SERVED_M) & (F.col("covered") >= 1)).select(F.col("iv_id").alias("id"), F.lit(True).alias("seen"))
-    v = v.join(conf, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False))).withColumn("valid", F.coalesce("valid", F.lit(False)))
-
-    def repair(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        near = lambda r: r["closest_m"] <= SERVED_M
-        for r in rows:
-            k = len(out) - 1
-            if near(r) and r["valid"]:
-                while k >= 0 and not near(out[k]) and out[k]["valid"] and r["anchored_at"] - out[k]["anchored_at"] <= hop_ms:
-                    k -= 1
-                size = int(r["n"])
-                if k >= 0 and near(out[k]) and out[k]["valid"] and r["anchored_at"] - out[k]["anchored_at"] <= hop_ms:
-                    first, between = out[k], out[k + 1:]
-                    adv = (r["stop_index"] - first["stop_index"]) % size
-                    path = [first, *between, r]
-                    steps = [(b["stop_index"] - a["stop_index"]) % size for a, b in zip(path, path[1:])]
-                    net = sum(s - size if s > size / 2 else s for s in steps)
-                    odd = not all(1 <= s <= 2 for s in steps)
-                    if 1 <= adv <= 2 and odd and net == adv and r["seen"] and any(b["stop_index"] == r["stop_index"] for b in between):
-                        mid = [b for b in between if adv == 2 and (b["stop_index"] - first["stop_index"]) % size == 1]
-                        out[k + 1:] = [min(mid, key=lambda b: b["closest_m"])] if mid else []
-            out.append(r)
-        return out
-
-    def repair_runs(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        kept = [r for a, b in zip(starts, [*starts[1:], len(rows)]) for r in repair(rows[a:b])]
-        return pd.DataFrame(kept, columns=pdf.columns)[["id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m"]]
-
-    cols = ["id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m", "run", "n", "valid", "seen"]
-    return map_runs(v.where("n IS NOT NULL").select(*cols), ["bus_id", "route_id", "run"], ["anchored_at", "id"], repair_runs, _VISIT)
+    keys, order = ["bus_id", "route_id"], ["anchored_at", "id"]
+    places = ring.groupBy("route_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_set(F.struct("stop_index", "stop_id")).alias("at"))
+    v = visits.select("id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m").join(places, "route_id")
+    near = F.coalesce(F.col("closest_m") <= SERVED_M, F.lit(False))
+    known = F.array_contains("at", F.struct("stop_index", "stop_id"))
+    v = v.withColumn("near", near & known).withColumn("head", near | ~known | F.col("closest_m").isNull()).drop("at")
+    v = scan.shifted(v, keys, order, {"after": "anchored_at"}, lead=True)
+    v = scan.islands(v.withColumn("head_at", F.when(F.col("head"), F.col("anchored_at"))), keys, order, "head", "stretch")
+    # Only what lies within a hop of its head can matter, so tails stay short.
+    v = scan.carried_last(v, keys, order, {"since": "head_at"}, strict=False)
+    v = materialize(v)
+    tails = v.where(~F.col("head") & (F.col("anchored_at") - F.col("since") <= hop_ms)).groupBy(*keys, "stretch").agg(
+        F.array_sort(F.collect_list(F.struct("anchored_at", "id", "stop_index", "closest_m"))).alias("tail"))
+    heads = v.where("head and near").select(*keys, "stretch", "id", "stop_id", F.col("stop_index").alias("to"), F.col("anchored_at").alias("to_at"), "after", "n")
+    firsts = v.where("head and near").select(*keys, (F.col("stretch") + 1).alias("stretch"), F.col("stop_index").alias("from"), F.col("anchored_at").alias("from_at"))
+    pair = heads.join(firsts, [*keys, "stretch"]).join(tails.withColumn("stretch", F.col("stretch") + 1), [*keys, "stretch"])
+    path = F.concat(F.array("from"), F.transform("tail", lambda t: t["stop_index"]), F.array("to"))
+    pair = pair.withColumn("path", path)
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.pmod(F.get("path", i) - F.get("path", i - 1), F.col("n")))
+    net = F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + F.when(2 * x > F.col("n"), x - F.col("n")).otherwise(x))
+    pair = pair.withColumn("steps", steps).withColumn("advance", F.pmod(F.col("to") - F.col("from"), F.col("n"))).where(
+        (F.col("to_at") - F.col("from_at") <= hop_ms) & F.col("advance").between(1, 2) & (net == F.col("advance"))
+        & F.exists("steps", lambda x: ~x.between(1, 2)) & F.exists("tail", lambda t: t["stop_index"] == F.col("to")))
+    end = F.least(F.col("from_at") + hop_ms, F.col("after"), F.lit(now_ms).cast("long"))
+    reach = interval_join(pair.join(stops.select("stop_id", "lat", "lon"), "stop_id").select("id", "bus_id", "to_at", end.alias("end"), "lat", "lon"),
+                          pos.select("bus_id", "collected_at", F.col("lat").alias("fla"), F.col("lon").alias("flo")), ["bus_id"], "to_at", "end", "collected_at", 10 * 60_000)
+    reached = reach.where(metres("fla", "flo", "lat", "lon") <= SERVED_M).groupBy("id").agg(F.min("collected_at").alias("reached_at"))
+    pair = pair.join(reached, "id")
+    seen = positions_in_window(pair.select(F.col("id").alias("iv_id"), "bus_id", F.col("from_at").alias("from_ms"), F.col("reached_at").alias("to_ms"),
+                                           F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")), pos, tail_ms=0)
+    ok = seen.where((F.col("covered") >= 2) & (F.col("max_gap_ms") <= gap_ms)).select(F.col("iv_id").alias("id"))
+    mid = F.filter("tail", lambda t: (F.col("advance") == 2) & (F.pmod(t["stop_index"] - F.col("from"), F.col("n")) == 1))
+    kept = F.array_min(F.transform(mid, lambda t: F.struct(t["closest_m"], t["anchored_at"], t["id"].alias("id"))))["id"]
+    gone = pair.join(ok, "id", "left_semi").withColumn("kept", kept).select("kept", F.explode("tail").alias("t")).where(
+        F.col("kept").isNull() | (F.col("t.id") != F.col("kept"))).select(F.col("t.id").alias("id"))
+    return visits.select("id", "bus_id", "route_id", "stop_id", "stop_index", "anchored_at", "closest_m").join(gone, "id", "left_anti")
 
 
 def classify_passes(visits: DataFrame, ring: DataFrame, stops: DataFrame, pos: DataFrame, now_ms: int | None = None, hop_ms: int = HOP_MS,

@@ -146,7 +146,7 @@ def score_official(rows: DataFrame, visits: DataFrame, pos: DataFrame, seen_ms:
     vehicle left the feed (A47). ``rows``: id, bus, route_id, stop_id, at, sec."""
     from fleetlens.operators.scoring import truth_visits
 
-    j = truth_join(rows, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at").withColumn("horizon", E.horizon("sec")).where(F.col("horizon").isNotNull())
+    j = truth_join(rows, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at", tie="visit_id").withColumn("horizon", E.horizon("sec")).where(F.col("horizon").isNotNull())
     last = asof_prev(j.where("truth = 'missing'").select("id", "bus", (F.col("at") + 45 * MIN_MS).alias("until")), pos.select(E.norm_bus_name("bus_name").alias("bus"), "collected_at"), ["bus"], "until", "collected_at",
                      seen_ms).select("id", F.col("prev").isNotNull().alias("_seen"))
     j = j.join(last, "id", "left").withColumn("err", F.when(F.col("truth") == "arrived", F.col("sec") - (F.col("actual_at") - F.col("at")) / 1000))

@@ -78,12 +78,13 @@ def scoreable(preds: DataFrame, census: DataFrame | None = None) -> DataFrame:
 
 
 def truth_visits(visits: DataFrame) -> DataFrame:
-    return visits.select(E.norm_bus_name("bus_name").alias("bus"), "route_id", "stop_id", "arrived_at", "departed_at")
+    tie = F.col("id") if "id" in visits.columns else F.xxhash64("arrived_at", "departed_at")
+    return visits.select(E.norm_bus_name("bus_name").alias("bus"), "route_id", "stop_id", "arrived_at", "departed_at", tie.cast("long").alias("visit_id"))
 
 
 def score_rows(rows: DataFrame, visits: DataFrame) -> DataFrame:
     """Each promise with its horizon, truth kind, error (promise - actual) and interval flags."""
-    j = truth_join(rows, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at")
+    j = truth_join(rows, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at", tie="visit_id")
     h = E.horizon("sec")
     kind = F.when(h.isNull(), "beyond").otherwise(F.col("truth"))
     j = j.withColumn("horizon", h).withColumn("kind", kind).withColumn(
@@ -298,7 +299,7 @@ def _arms(preds: DataFrame, visits: DataFrame) -> DataFrame:
         F.col("predicted_at").alias("at"), F.col("predicted_sec").alias("sec"),
         F.when(F.col("surface") == E.UPSTREAM, "official").otherwise("ours").alias("arm"),
     )
-    j = truth_join(p, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at")
+    j = truth_join(p, truth_visits(visits), ["bus", "route_id", "stop_id"], at="at", tie="visit_id")
     kind = F.when(F.col("sec") > E.HORIZON_CAP_SEC, "beyond").otherwise(F.col("truth"))
     err = F.when(kind == "arrived", (F.col("actual_at") - F.col("at")) / 1000 - F.col("sec"))
     return j.withColumn("kind", kind).withColumn("err", err)

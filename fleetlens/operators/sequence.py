@@ -229,26 +229,31 @@ def recent_speed(pos: DataFrame, window_ms: int = 30_000, min_span_ms: int = 25_
     """Speed over the trailing window at every fix.
 
     Segments between fixes carry their metres; the one crossing the window's edge counts in
-    proportion. A hole or an impossible step starts a new stretch. The tail of a fix is found through
-    30 s cells, so each fix meets a handful of neighbours.
+    proportion, from the point where the window begins, and the extent is the greatest distance from
+    that point. A hole or an impossible step starts a new stretch. Of fixes at one instant the first
+    received counts and the others have no speed. The tail of a fix is found through window-long
+    cells, so each fix meets a handful of neighbours.
     """
-    d = scan.shifted(pos, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS)
-    step = metres("pla", "plo", "lat", "lon")
+    one = pos.groupBy(*TRACK, "collected_at").agg(F.min_by(F.struct("ingest_seq", "lat", "lon"), "ingest_seq").alias("f")).select(*TRACK, "collected_at", "f.*")
+    d = scan.shifted(one, TRACK, T_ORDER, {"pt": "collected_at", "pla": "lat", "plo": "lon"}, cell_ms=scan.HOUR_MS)
     dt = (F.col("collected_at") - F.col("pt")) / 1000
-    d = d.withColumn("step_m", step).withColumn("_new", F.col("pt").isNull() | (dt <= 0) | (dt > max_gap_ms / 1000) | (F.col("step_m") > max_mps * dt))
+    d = d.withColumn("step_m", metres("pla", "plo", "lat", "lon"))
+    d = d.withColumn("_new", F.col("pt").isNull() | (dt > max_gap_ms / 1000) | (F.col("step_m") > max_mps * dt))
     d = scan.islands(d, TRACK, T_ORDER, "_new", "stretch", cell_ms=scan.HOUR_MS)
-    seg = d.where(~F.col("_new")).select("bus_name", "stretch", F.col("pt").alias("a"), F.col("collected_at").alias("b"), "step_m", "lat", "lon")
-    fix = d.select("bus_name", "stretch", "ingest_seq", F.col("collected_at").alias("t"), F.col("lat").alias("fla"), F.col("lon").alias("flo"))
+    seg = d.where(~F.col("_new")).select("bus_name", "stretch", F.col("pt").alias("a"), F.col("collected_at").alias("b"), "step_m", "pla", "plo", "lat", "lon")
+    fix = d.select("bus_name", "stretch", "ingest_seq", F.col("collected_at").alias("t"))
     f = fix.withColumn("_c", F.explode(F.array(F.floor(F.col("t") / window_ms), F.floor(F.col("t") / window_ms) - 1)))
     s = seg.withColumn("_c", F.floor(F.col("b") / window_ms))
     j = f.join(s, ["bus_name", "stretch", "_c"]).where((F.col("b") <= F.col("t")) & (F.col("b") > F.col("t") - window_ms))
-    lo = F.greatest(F.col("a"), F.col("t") - window_ms)
-    frac = (F.col("b") - lo) / (F.col("b") - F.col("a"))
-    g = j.groupBy("bus_name", "ingest_seq", "t").agg(F.sum(F.col("step_m") * frac).alias("m"), F.sum(F.col("b") - lo).alias("ms"), F.max(metres("fla", "flo", "lat", "lon")).alias("ext"),
-                                                     F.max(F.col("step_m") * frac).alias("big"))
-    ok = (F.col("ms") >= min_span_ms) & (F.greatest("ext", "big") >= min_extent_m)
-    return fix.select("bus_name", "ingest_seq", "t").join(g, ["bus_name", "ingest_seq", "t"], "left").select(
-        "bus_name", "ingest_seq", F.col("t").alias("collected_at"), F.when(ok, F.col("m") / (F.col("ms") / 1000)).alias("speed_mps"))
+    ms = F.col("b") - F.greatest(F.col("a"), F.col("t") - window_ms)
+    part = ms / (F.col("b") - F.col("a"))
+    begin = F.struct((F.col("lat") + (F.col("pla") - F.col("lat")) * part).alias("lat"), (F.col("lon") + (F.col("plo") - F.col("lon")) * part).alias("lon"))
+    g = j.groupBy("bus_name", "ingest_seq").agg(F.sum(F.col("step_m") * part).alias("m"), F.sum(ms).alias("ms"), F.min_by(begin, "b").alias("o"),
+                                                F.collect_list(F.struct("lat", "lon")).alias("points"))
+    extent = F.array_max(F.transform("points", lambda p: metres(F.col("o.lat"), F.col("o.lon"), p["lat"], p["lon"])))
+    ok = (F.col("ms") >= min_span_ms) & (extent >= min_extent_m)
+    speed = g.select("bus_name", "ingest_seq", F.when(ok, F.col("m") / (F.col("ms") / 1000)).alias("speed_mps"))
+    return pos.select("bus_name", "ingest_seq", "collected_at").join(speed, ["bus_name", "ingest_seq"], "left")
 
 
 def proximity_arrivals(pos: DataFrame, ring: DataFrame, enter_m: float = 50.0, exit_m: float = 120.0, gap_ms: int = 60_000) -> DataFrame:

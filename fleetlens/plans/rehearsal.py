@@ -25,7 +25,8 @@ _SPARK = {
     "LMIN": r"(hour(from_utc_timestamp(timestamp_millis(\1), 'America/New_York'))*60 + minute(from_utc_timestamp(timestamp_millis(\1), 'America/New_York')))",
     "SEQ": r"explode(sequence(0, \1 - 1))",
     "INT": r"CAST(FLOOR(\1) AS BIGINT)",
-    "SPREAD": "",
+    # Views that multiply their rows deal them out by a key first.
+    "SPREAD": r"/*+ REPARTITION(\1) */",
 }
 _DUCK = {
     "MS": r"(epoch_us(\1)//1000)",
@@ -45,8 +46,6 @@ def _fill(sql: str, rules: dict[str, str], table) -> str:
     return re.sub(r"\{t\.(\w+)\}", lambda m: table(m.group(1)), sql)
 
 
-# The broadcast hints name the stop rings, 25 rows at every scale; without them the small file size of
-# the sampled events makes the planner broadcast the multiplied side instead.
 VIEWS: dict[str, tuple[list[str], str]] = {
     "stops": ([], """SELECT CAST(n_nationkey AS BIGINT) stop_id, n_name name,
         41.30e0 + (n_nationkey % 5)*0.004e0 lat, -72.95e0 + FLOOR(n_nationkey/5)*0.005e0 lon FROM {t.nation}"""),
@@ -57,7 +56,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "ev": ([], """SELECT event_id, user_id bus_id, CONCAT('#', CAST(user_id AS STRING)) bus_name, user_id % 5 + 1 route_id,
         (event_id*7 + user_id) % 5 stop_index, {MS(ts)} at_ms, ts, event_type, value FROM {t.events}"""),
     "arrivals": (["ev", "route_stops"], """SELECT x.*, {LDOW(arrived_at)} dow, {LHOUR(arrived_at)} AS hour FROM (
-        SELECT /*+ BROADCAST(r) */ e.event_id id, e.bus_id, e.bus_name, e.route_id, r.stop_id, r.stop_index, e.at_ms arrived_at,
+        SELECT e.event_id id, e.bus_id, e.bus_name, e.route_id, r.stop_id, r.stop_index, e.at_ms arrived_at,
         CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE e.at_ms + {INT(LEAST(ABS(e.value),1800)*1000)} END departed_at,
         CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE LEAST(ABS(e.value),1800) END dwell_sec
         FROM ev e JOIN route_stops r ON r.route_id = e.route_id AND r.stop_index = e.stop_index) x"""),
@@ -72,7 +71,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         CAST(20 + (5-k)*60 + CASE WHEN (id + k) % 5 = 0 THEN 240 ELSE (id*k) % 90 END AS DOUBLE) predicted_sec,
         CAST((5-k)*40 AS DOUBLE) predicted_low_sec, CAST(120 + (5-k)*80 AS DOUBLE) predicted_high_sec,
         CASE id % 3 WHEN 0 THEN 'trip' WHEN 1 THEN 'ride' ELSE 'card' END surface,
-        CAST(NULL AS STRING) client_build FROM (SELECT a.*, {SEQ(6)} k FROM (SELECT {SPREAD()} * FROM arrivals) a) x"""),
+        CAST(NULL AS STRING) client_build FROM (SELECT a.*, {SEQ(6)} k FROM (SELECT {SPREAD(id)} * FROM arrivals) a) x"""),
     "census": (["arrivals"], """SELECT id, arrived_at - 60000*(id % 40) sampled_at,
         CASE WHEN id % 5 = 0 THEN NULL ELSE arrived_at - 60000*(id % 40) - 7000 END calc_at, stop_id,
         CASE WHEN id % 17 = 0 THEN NULL ELSE route_id END route_id, CASE WHEN id % 13 = 0 THEN NULL ELSE bus_id END bus_id,
@@ -102,12 +101,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
               WINDOW w AS (PARTITION BY bus_id ORDER BY arrived_at, id)) x
         WHERE departed_at IS NOT NULL AND arrived_at > departed_at AND (stop_index - from_index + 5) % 5 > 0"""),
     # Two-stop drives, 16 polls of 5 s: 4 at rest, 8 moving, 4 at rest at the next stop.
-    "positions": (["ev", "ring"], """SELECT /*+ BROADCAST(a, b) */ e.event_id*16 + e.k ingest_seq, e.bus_id, e.bus_name, e.route_id,
+    "positions": (["ev", "ring"], """SELECT e.event_id*16 + e.k ingest_seq, e.bus_id, e.bus_name, e.route_id,
         CASE WHEN e.k < 4 THEN a.lat WHEN e.k < 12 THEN a.lat + (b.lat - a.lat)*(e.k-3)/9.0e0 ELSE b.lat END lat,
         CASE WHEN e.k < 4 THEN a.lon WHEN e.k < 12 THEN a.lon + (b.lon - a.lon)*(e.k-3)/9.0e0 ELSE b.lon END lon,
         CAST((e.event_id*47 + e.k*5) % 360 AS DOUBLE) heading,
         CASE WHEN e.k < 12 THEN a.stop_id ELSE b.stop_id END last_stop_id, e.at_ms - 30000 + e.k*5000 collected_at
-        FROM (SELECT ev.*, {SEQ(16)} k FROM (SELECT {SPREAD()} * FROM ev) ev) e
+        FROM (SELECT ev.*, {SEQ(16)} k FROM (SELECT {SPREAD(event_id)} * FROM ev) ev) e
         JOIN ring a ON a.route_id = e.route_id AND a.stop_index = e.stop_index
         JOIN ring b ON b.route_id = e.route_id AND b.stop_index = (e.stop_index + 1) % 5"""),
     "daily_actives": (["ev"], """SELECT {LDAY(at_ms)} AS day, CONCAT('00000000-0000-4000-8000-', LPAD(CAST(bus_id AS STRING), 12, '0')) anon_id,
@@ -162,10 +161,10 @@ def _needed(names: list[str]) -> list[str]:
     return out
 
 
-def spark_sql(sf_dir: str, name: str, spread: str = "") -> str:
+def spark_sql(sf_dir: str, name: str) -> str:
     table = lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
     order = _needed([name])
-    ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n][1], {**_SPARK, 'SPREAD': spread}, table)})" for n in order)
+    ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n][1], _SPARK, table)})" for n in order)
     return f"WITH {ctes} SELECT * FROM {name}"
 
 
@@ -173,18 +172,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rehearsal view, or a base table by its name."""
     prepare(spark)
     if name in VIEWS:
-        return spark.sql(spark_sql(sf_dir, name, _spread(spark, sf_dir) if name in ("positions", "looks") else ""))
+        return spark.sql(spark_sql(sf_dir, name))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(spark: SparkSession, sf_dir: str) -> str:
-    """These views multiply their rows. An input of fewer splits than cores (one small file) is spread
-    before that; a large one is read as it is."""
-    want = spark.sparkContext.defaultParallelism
-    have = spark.read.parquet(f"{sf_dir}/events.parquet").rdd.getNumPartitions()
-    return f"/*+ REPARTITION({want}) */" if have < want else ""
-
-
 def frames(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [frame(spark, sf_dir, n) for n in names]
 

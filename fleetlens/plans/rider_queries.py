@@ -124,10 +124,11 @@ def _a27q(r):
     return M.qualifying_runs(_runs(r)).select("id", "line", F.col("worst.drift_sec").alias("drift_sec"))
 
 
-@R.q("a27_emit_alerts", "monitor_runs", """WITH RECURSIVE q AS (SELECT id, line, started_at t, {LDAY(started_at)} AS day FROM monitor_runs WHERE from_sec <= 120 AND drift_sec >= 180),
-  a AS (SELECT * FROM q WHERE (line, t, id) IN (SELECT (line, t, id) FROM q QUALIFY ROW_NUMBER() OVER (PARTITION BY line ORDER BY t, id) = 1)
-   UNION ALL SELECT n.id, n.line, n.t, n.day FROM (SELECT q.*, ROW_NUMBER() OVER (PARTITION BY q.line ORDER BY q.t, q.id) rn FROM a JOIN q ON q.line=a.line AND q.t - a.t >= 21600000) n WHERE rn=1)
-  SELECT id, line, t received_at FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY day ORDER BY t, id) <= 6""".replace("WITH RECURSIVE", "WITH"))
+@R.q("a27_emit_alerts", "monitor_runs", """WITH q AS (SELECT id, line, started_at t, {LDAY(started_at)} AS day, ROW_NUMBER() OVER (ORDER BY started_at, id) rn FROM monitor_runs WHERE from_sec <= 120 AND drift_sec >= 180),
+  f AS (SELECT 0::BIGINT rn, NULL::DATE AS day, 0 sent, MAP{''::VARCHAR: 0::BIGINT} last, NULL::BIGINT hit
+   UNION ALL SELECT q.rn, q.day, CASE WHEN q.day IS DISTINCT FROM f.day THEN 0 ELSE f.sent END + go, CASE WHEN go = 1 THEN map_concat(f.last, MAP{q.line: q.t}) ELSE f.last END, CASE WHEN go = 1 THEN q.id END
+    FROM f JOIN q ON q.rn = f.rn + 1, LATERAL (SELECT CASE WHEN (q.day IS DISTINCT FROM f.day OR f.sent < 6) AND q.t - COALESCE(f.last[q.line], q.t - 21600000) >= 21600000 THEN 1 ELSE 0 END go) x)
+  SELECT q.id, q.line, q.t received_at FROM f JOIN q ON q.id = f.hit""")
 def _a27(r):
     return M.emit_alerts(_runs(r)).select("id", "line", "received_at")
 

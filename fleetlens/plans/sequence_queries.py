@@ -104,11 +104,15 @@ def _w13(p, pos, a):
     return rounded(S.classify_jumps(p, pos, a), 6)
 
 
-@R.q("w19_recent_speed", "positions", f"""WITH t AS (SELECT *, LAG(collected_at) {_TW} pt, LAG(lat) {_TW} pla, LAG(lon) {_TW} plo FROM positions),
-  s AS (SELECT *, {_m('pla','plo','lat','lon')} st, CASE WHEN pt IS NULL OR collected_at<=pt OR collected_at-pt>20000 OR {_m('pla','plo','lat','lon')} > 50*(collected_at-pt)/1000 THEN 1 ELSE 0 END n FROM t), g AS (SELECT *, SUM(n) {_TW} gr FROM s),
-  j AS (SELECT f.ingest_seq, SUM(x.st*(x.collected_at-GREATEST(x.pt,f.collected_at-30000))/(x.collected_at-x.pt)) m, SUM(x.collected_at-GREATEST(x.pt,f.collected_at-30000)) ms, MAX({_m('f.lat','f.lon','x.lat','x.lon')}) ext, MAX(x.st*(x.collected_at-GREATEST(x.pt,f.collected_at-30000))/(x.collected_at-x.pt)) big
-    FROM g f JOIN g x ON x.bus_name=f.bus_name AND x.gr=f.gr AND x.n=0 AND x.collected_at <= f.collected_at AND x.collected_at > f.collected_at-30000 GROUP BY f.ingest_seq)
-  SELECT p.ingest_seq, CASE WHEN ms >= 25000 AND GREATEST(ext,big) >= 15 THEN ROUND(m/(ms/1000e0),5) END speed_mps FROM positions p LEFT JOIN j USING (ingest_seq)""")
+@R.q("w19_recent_speed", "positions", f"""WITH o AS (SELECT bus_name, collected_at, MIN(ingest_seq) ingest_seq, ARG_MIN(lat, ingest_seq) lat, ARG_MIN(lon, ingest_seq) lon FROM positions GROUP BY bus_name, collected_at),
+  t AS (SELECT *, LAG(collected_at) {_TW} pt, LAG(lat) {_TW} pla, LAG(lon) {_TW} plo FROM o),
+  s AS (SELECT *, {_m('pla','plo','lat','lon')} st, CASE WHEN pt IS NULL OR collected_at-pt>20000 OR {_m('pla','plo','lat','lon')} > 50*(collected_at-pt)/1000 THEN 1 ELSE 0 END n FROM t), g AS (SELECT *, SUM(n) {_TW} gr FROM s),
+  f AS (SELECT bus_name, gr, ingest_seq, collected_at ft, unnest([collected_at//30000, collected_at//30000-1]) c FROM g),
+  x AS (SELECT bus_name, gr, collected_at b, pt, st, lat, lon, pla, plo, collected_at//30000 c FROM g WHERE n=0),
+  j AS (SELECT f.ingest_seq, x.*, (b-GREATEST(pt,ft-30000)) ms, (b-GREATEST(pt,ft-30000))/(b-pt) fr FROM f JOIN x USING (bus_name, gr, c) WHERE b <= ft AND b > ft-30000),
+  k AS (SELECT ingest_seq, SUM(st*fr) m, SUM(ms) ms, ARG_MIN({{'la': lat+(pla-lat)*fr, 'lo': lon+(plo-lon)*fr}}, b) o, LIST({{'la': lat, 'lo': lon}}) pts FROM j GROUP BY ingest_seq),
+  e AS (SELECT *, list_max(list_transform(pts, lambda p: {_m('o.la','o.lo','p.la','p.lo')})) ext FROM k)
+  SELECT p.ingest_seq, CASE WHEN ms >= 25000 AND ext >= 15 THEN ROUND(m/(ms/1000e0),5) END speed_mps FROM positions p LEFT JOIN e USING (ingest_seq)""")
 def _w19(p):
     return rounded(S.recent_speed(p).select("ingest_seq", "speed_mps"), 5)
 

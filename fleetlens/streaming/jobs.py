@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -156,31 +158,30 @@ def checkpoint_clock(events: DataFrame, origin: int, release: int) -> DataFrame:
 # --- T7, T8 ---------------------------------------------------------------------------------------
 
 
+SPEED_WINDOW_MS, SPEED_GAP_MS = 30_000, 20_000
+
+
 def _fold_speed(st: list | None, row: tuple):
+    """State: the fixes of the window and one before it. A late or repeated fix changes nothing."""
     t, lat, lon = row
     tail = st or []
-    if tail:
-        pt, pla, plo = tail[-1]
-        if t <= pt:
-            return [[t, lat, lon]], [(t, None)]
-        step = EV._apart(pla, plo, lat, lon)
-        if t - pt > 20_000 or step > 50 * (t - pt) / 1000:
-            tail = []
-    tail = [*tail, [t, lat, lon]][-32:]
-    first = max((i for i, p in enumerate(tail) if p[0] <= t - 30_000), default=0)
-    tail = tail[first:]
-    metres, ms, extent = 0.0, 0.0, 0.0
-    for (a, la, lo), (b, lb, lob) in zip(tail, tail[1:]):
-        if b <= t - 30_000:
-            continue
-        cut = max(a, t - 30_000)
-        part = EV._apart(la, lo, lb, lob) * (b - cut) / (b - a)
-        metres, ms, extent = metres + part, ms + b - cut, max(extent, EV._apart(lb, lob, lat, lon), part)
+    if tail and t <= tail[-1][0]:
+        return tail, [(t, None)]
+    if tail and (t - tail[-1][0] > SPEED_GAP_MS or EV._apart(*tail[-1][1:], lat, lon) > 50 * (t - tail[-1][0]) / 1000):
+        tail = []
+    start = t - SPEED_WINDOW_MS
+    inside = [p for p in tail if p[0] > start]
+    tail = [*[p for p in tail if p[0] <= start][-1:], *inside, [t, lat, lon]]
+    origin, metres, ms, extent = None, 0.0, 0, 0.0
+    for (a, la, lo), (b, lb, ob) in zip(tail, tail[1:]):
+        part = (b - max(a, start)) / (b - a)
+        origin = origin or (lb + (la - lb) * part, ob + (lo - ob) * part)
+        metres, ms, extent = metres + EV._apart(la, lo, lb, ob) * part, ms + b - max(a, start), max(extent, EV._apart(*origin, lb, ob))
     return tail, [(t, metres / (ms / 1000) if ms >= 25_000 and extent >= 15 else None)]
 
 
 def speed_stream(pos: DataFrame) -> DataFrame:
-    """Trailing 30 s speed; a hole, an impossible step or an older fix resets it."""
+    """Trailing 30 s speed; a hole or an impossible step resets it, an older fix is ignored."""
     frame = lambda k, rows: pd.DataFrame([(k[0], *r) for r in rows], columns=["bus_name", "collected_at", "speed_mps"])
     proc = KeyedFold(_fold_speed, ["collected_at"], ["collected_at", "lat", "lon"], frame, "collected_at")
     return keyed(pos, ["bus_name"], proc, "bus_name string, collected_at long, speed_mps double")
@@ -234,18 +235,41 @@ def score_days(preds: DataFrame, visits: DataFrame, through_ms: int, path: str,
     return cells
 
 
-def score_stream(preds: DataFrame, read_preds: Callable[[list], DataFrame], read_visits: Callable[[list], DataFrame], path: str, checkpoint: str):
-    """Watch the prediction log and recompute the days each micro-batch touched.
+def open_days(spark: SparkSession, path: str) -> list:
+    """Days of the stored scorecard that are not final yet; none where nothing is stored."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing stored, or empty passes only
+            raise
+        return []
+    return [r[0] for r in stored.groupBy("day").agg(F.min("final").alias("final")).where("not final").select("day").collect()]
+
+
+def settle(spark: SparkSession, days: list, now_ms: int, read_preds: Callable[[list], DataFrame], read_visits: Callable[[list], DataFrame], path: str,
+           read_census: Callable[[list], DataFrame] | None = None) -> None:
+    """One scoring pass at the clock ``now_ms`` over ``days`` and every stored day that is not final.
+
+    Run it after the last reading too: at half past three the day before becomes final."""
+    days = sorted({*days, *open_days(spark, path)})
+    if not days:
+        return
+    p = read_preds(days).where(clock.local_day("predicted_at").isin(days))
+    c = read_census(days).where(clock.local_day("sampled_at").isin(days)) if read_census else None
+    score_days(p, read_visits(days), now_ms, path, c)
+
+
+def score_stream(preds: DataFrame, read_preds: Callable[[list], DataFrame], read_visits: Callable[[list], DataFrame], path: str, checkpoint: str,
+                 read_census: Callable[[list], DataFrame] | None = None, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)):
+    """Watch the prediction log and rescore the days that are not final.
 
-    ``read_preds(days)`` and ``read_visits(days)`` read the logs pruned to those days and neighbours.
+    What is settled goes by the clock, never by the newest reading: a promise waits for the arrivals
+    of its time. ``read_*(days)`` read the logs pruned to those days and neighbours; the census is
+    scored with them, as a day's partition is replaced whole.
     """
     def batch(df: DataFrame, _: int) -> None:
         days = [r[0] for r in df.select(clock.local_day("predicted_at").alias("d")).distinct().collect()]
-        if not days:
-            return
-        newest = df.agg(F.max("predicted_at")).first()[0]
-        p = read_preds(days).where(clock.local_day("predicted_at").isin(days))
-        score_days(p, read_visits(days), newest + SETTLE_MS + 1, path)
+        settle(df.sparkSession, days, now_ms(), read_preds, read_visits, path, read_census)
 
     return preds.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
