@@ -221,17 +221,17 @@ def clustered_bootstrap(rows: DataFrame, draws: int = 2000, min_clusters: int =
     lab = identity_clusters(rows)
     al = F.concat_ws("|", F.col("day").cast("string"), F.lit("i"), F.col("bus_id").cast("string"))
     c = rows.where(F.col("delta").isNotNull()).withColumn("alias", al).join(lab, "alias").groupBy("day", "cluster").agg(F.sum("delta").alias("d"), F.count(F.lit(1)).alias("n"))
-    by = materialize(c.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("cluster", "d", "n"))).alias("cs")).withColumn("i", F.row_number().over(Window.orderBy("day")) - 1))
-    n_days = by.count()
-    spark = rows.sparkSession
-    d = spark.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(n_days - 1, 0)))))
-    d = d.withColumn("i", F.pmod(F.xxhash64("draw", "slot", F.lit(1729)), F.lit(max(n_days, 1))).cast("int")).join(by, "i")
-    size = F.size("cs")
-    pick = F.transform(F.sequence(F.lit(1), size), lambda j: F.get(F.col("cs"), F.pmod(F.xxhash64("draw", "slot", j), size).cast("int")))
-    s = F.aggregate(pick, F.struct(F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("n")), lambda a, e: F.struct((a["d"] + e["d"]).alias("d"), (a["n"] + e["n"]).alias("n")))
-    m = d.withColumn("s", s).groupBy("draw").agg((F.sum("s.d") / F.sum("s.n")).alias("m"))
+    c = materialize(c.withColumn("j", F.row_number().over(Window.partitionBy("day").orderBy("cluster")) - 1))
+    days = c.groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("size")).withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+    days = materialize(days)
+    n_days = days.count()
+    # One row per draw and day slot, then one per draw and cluster slot; each slot picks by its own hash.
+    d = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n_days))) if n_days else F.lit(0))
+    d = d.withColumn("i", F.pmod(F.xxhash64("draw", "slot", F.lit(1729)), F.lit(max(n_days, 1))).cast("int")).join(days, "i")
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size")))).withColumn("j", F.pmod(F.xxhash64("draw", "slot", "k"), F.col("size")).cast("int"))
+    m = d.select("draw", "day", "j").join(c, ["day", "j"]).groupBy("draw").agg((F.sum("d") / F.sum("n")).alias("m"))
     q = grouped_quantiles(m.withColumn("k", F.lit(1)), ["k"], "m", {"upper95": (0.95, "trunc")})
-    k = by.agg(F.sum(F.size("cs")).alias("clusters"), F.lit(1).alias("k"))
+    k = days.agg(F.sum("size").alias("clusters"), F.lit(1).alias("k"))
     return k.join(q, "k", "left").select("clusters", "upper95", ((F.col("clusters") >= min_clusters) & (F.col("upper95") < 0)).alias("pass"))
 
 

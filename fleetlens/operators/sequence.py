@@ -105,6 +105,49 @@ def lap_ages(arrivals: DataFrame) -> DataFrame:
         "loop_sec", (F.col("departed_at") - F.col("prev_departed_at")) / 1000)
 
 
+LOST, UNCLEAR = "lost", "unclear"
+
+
+def _advance(here: int | None, places: list[int], n: int, max_hop: int) -> int | str:
+    """Places moved from ``here`` to a sighting that fits ``places`` of the ring: a number, LOST when none is
+    shortly ahead, UNCLEAR when several are and not just one of them is within two."""
+    if here is None:
+        return LOST
+    ahead = [d for d in ((p - here) % n for p in places) if d <= max_hop and 2 * d < n]
+    close = [d for d in ahead if d <= 2] if len(ahead) > 1 else ahead
+    return close[0] if len(close) == 1 else UNCLEAR if ahead else LOST
+
+
+def _links(rows: list[dict], gap_ms: int, max_hop: int) -> list[dict]:
+    """The chain links of one hole-free stretch.
+
+    sighting | state after | link
+    UNCLEAR | no place | none
+    LOST, one place | that place | opens a chain
+    LOST, none or several places | no place | none
+    0 ahead | as before, clock too | the last link takes the dwell
+    k ahead | k further | continues the chain
+    """
+    links: list[dict] = []
+    here, since, number = None, 0, 0
+    for r in rows:
+        places = [] if r["places"] is None else [int(p) for p in r["places"]]
+        fresh = here is not None and r["arrived_at"] - since <= gap_ms
+        move = _advance(here if fresh else None, places, int(r["n"] or 1) if places else 1, max_hop)
+        if move == 0:
+            links[-1]["dwell_sec"] = r["dwell_sec"]
+            continue
+        if move in (LOST, UNCLEAR):
+            here = places[0] if move == LOST and len(places) == 1 else None
+            number, seq = number + (here is not None), 0
+        else:
+            here, seq = (here + move) % int(r["n"]), links[-1]["seq"] + 1
+        if here is not None:
+            since = r["arrived_at"]
+            links.append({**{c: r[c] for c in ("route_id", "bus_name", "stretch", "id", "stop_id", "arrived_at", "dwell_sec")}, "chain": number, "seq": seq, "stop_index": here})
+    return links
+
+
 def stop_chains(arrivals: DataFrame, ring: DataFrame, gap_ms: int = 45 * MIN_MS, max_hop: int = 5) -> DataFrame:
     """Forward chains of arrivals along the ring.
 
@@ -118,40 +161,14 @@ def stop_chains(arrivals: DataFrame, ring: DataFrame, gap_ms: int = 45 * MIN_MS,
     at = ring.groupBy("route_id", "stop_id").agg(F.array_sort(F.collect_list("stop_index")).alias("places"), F.first("ring_size").alias("n"))
     d = d.join(at, ["route_id", "stop_id"], "left").select("route_id", "bus_name", "stretch", "id", "stop_id", "arrived_at", "dwell_sec", "places", "n")
 
-    def chain(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        out, cur, number, seq, first = [], None, 0, 0, set(starts.tolist())
-        for row_no, r in enumerate(pdf.itertuples(index=False)):
-            if row_no in first:
-                cur, number, seq = None, 0, 0
-            places = [] if r.places is None else list(r.places)
-            nxt = None
-            if cur is not None and places and r.arrived_at - cur["t"] <= gap_ms:
-                steps = [s for s in ((p - cur["pos"]) % r.n for p in places) if s <= max_hop and s * 2 < r.n]
-                if len(steps) > 1:
-                    near = [s for s in steps if s <= 2]
-                    if len(near) != 1:
-                        cur = None
-                        continue
-                    steps = near
-                nxt = steps[0] if steps else None
-            if nxt == 0:
-                cur["row"]["dwell_sec"] = r.dwell_sec
-                continue
-            if nxt is None:
-                cur = None
-                if len(places) != 1:
-                    continue
-                number, seq, pos = number + 1, 0, places[0]
-            else:
-                seq, pos = seq + 1, (cur["pos"] + nxt) % r.n
-            row = dict(route_id=r.route_id, bus_name=r.bus_name, stretch=r.stretch, chain=number, seq=seq, id=r.id, stop_id=r.stop_id,
-                       stop_index=int(pos), arrived_at=r.arrived_at, dwell_sec=r.dwell_sec)
-            out.append(row)
-            cur = dict(pos=pos, t=r.arrived_at, row=row)
-        return pd.DataFrame(out, columns=["route_id", "bus_name", "stretch", "chain", "seq", "id", "stop_id", "stop_index", "arrived_at", "dwell_sec"])
+    def walk(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        cols = ["route_id", "bus_name", "stretch", "chain", "seq", "id", "stop_id", "stop_index", "arrived_at", "dwell_sec"]
+        bounds = [*starts.tolist(), len(pdf)]
+        out = [link for a, b in zip(bounds, bounds[1:]) for link in _links(pdf.iloc[a:b].to_dict("records"), gap_ms, max_hop)]
+        return pd.DataFrame(out, columns=cols)
 
     return map_runs(
-        d, ["route_id", "bus_name", "stretch"], ["arrived_at", "id"], chain, "route_id long, bus_name string, stretch long, chain long, seq long, id long, stop_id long, stop_index long, arrived_at long, dwell_sec double")
+        d, ["route_id", "bus_name", "stretch"], ["arrived_at", "id"], walk, "route_id long, bus_name string, stretch long, chain long, seq long, id long, stop_id long, stop_index long, arrived_at long, dwell_sec double")
 
 
 def presence_runs(pos: DataFrame, gap_sec: int = 600, censor_ms: int | None = None) -> DataFrame:
@@ -374,55 +391,56 @@ def v1_close_arrivals(pos: DataFrame) -> DataFrame:
 _SAMPLE = "route_id long, bus_id long, path array<struct<lat:double,lon:double>>, p90_m double, length_m double"
 
 
+def _covering_lap(hit: np.ndarray) -> tuple[int, int] | None:
+    """First and last row of the shortest stretch in which every column of ``hit`` is met.
+
+    For each row the stretch that ends there begins at the stop seen longest ago."""
+    last_seen = np.maximum.accumulate(np.where(hit, np.arange(len(hit))[:, None], -1), axis=0)
+    begin = last_seen.min(axis=1)
+    length = np.where(begin >= 0, np.arange(len(hit)) - begin, len(hit))
+    end = int(np.argmin(length))
+    return (int(begin[end]), end) if begin[end] >= 0 else None
+
+
 def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m: float = 90.0, min_loop_m: float = 1500.0, max_loop_m: float = 80_000.0) -> DataFrame:
     """The route's line from the shortest stretch of a track that meets every stop.
 
-    Tracks are searched per (route, vehicle, service day): a lap never needs more, and a day of one
-    vehicle's polls is a bounded group. The best candidate per route is a reduce.
+    A track is searched per service day with the day before it, so that a lap across the cut at 04:00
+    is whole and a group stays bounded; the best candidate per route is a reduce. The ring travels
+    once per group, on its first row.
     """
-    arr = ring_arrays(ring.select("route_id", "stop_index", "stop_id", "lat", "lon"))
-    d = pos.withColumn("sday", clock.service_day("collected_at")).select("route_id", "bus_id", "sday", "collected_at", "ingest_seq", "lat", "lon")
-    d = d.join(arr.select("route_id", F.transform("ring", lambda s: s["lat"]).alias("sla"), F.transform("ring", lambda s: s["lon"]).alias("slo")), "route_id")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        la, lo = pdf.lat.to_numpy(), pdf.lon.to_numpy()
+    arr = ring_arrays(ring.select("route_id", "stop_index", "stop_id", "lat", "lon")).select(
+        "route_id", F.transform("ring", lambda s: s["lat"]).alias("sla"), F.transform("ring", lambda s: s["lon"]).alias("slo"))
+    keys = ["route_id", "bus_id", "sday"]
+    d = pos.select("route_id", "bus_id", F.explode(F.array(clock.service_day("collected_at"), F.date_add(clock.service_day("collected_at"), 1))).alias("sday"),
+                   "collected_at", "ingest_seq", "lat", "lon")
+    rings = d.select(*keys).distinct().join(arr, "route_id").withColumn("collected_at", F.lit(0).cast("long")).withColumn("ingest_seq", F.lit(-1).cast("long"))
+    d = d.join(arr.select("route_id"), "route_id", "left_semi").unionByName(rings, allowMissingColumns=True)
+
+    def search(pdf: pd.DataFrame) -> list[dict]:
         sla, slo = np.asarray(pdf.sla.iloc[0], float), np.asarray(pdf.slo.iloc[0], float)
+        la, lo = pdf.lat.to_numpy()[1:], pdf.lon.to_numpy()[1:]
 
         def dist(a, b, c, e):
             return 111_320.0 * np.hypot(c - a, (e - b) * np.cos(np.radians((a + c) / 2)))
 
-        hit = dist(la[:, None], lo[:, None], sla[None, :], slo[None, :]) <= cover_m
-        empty = pd.DataFrame(columns=["route_id", "bus_id", "path", "p90_m", "length_m"])
-        if not hit.any(axis=0).all():
-            return empty
-        need, count, have, left, best = hit.shape[1], np.zeros(hit.shape[1], int), 0, 0, None
-        rows = [np.flatnonzero(h) for h in hit]
-        for right, stops in enumerate(rows):
-            for s in stops:
-                have += count[s] == 0
-                count[s] += 1
-            while have == need:
-                if best is None or right - left < best[1] - best[0]:
-                    best = (left, right)
-                for s in rows[left]:
-                    count[s] -= 1
-                    have -= count[s] == 0
-                left += 1
-        a, b = best
-        back = np.flatnonzero(dist(la[b + 1:], lo[b + 1:], la[a], lo[a]) <= close_m)
-        end = b + 1 + back[0] if len(back) else len(la) - 1
-        pla, plo = la[a:end + 1], lo[a:end + 1]
+        lap = _covering_lap(dist(la[:, None], lo[:, None], sla[None, :], slo[None, :]) <= cover_m) if len(la) else None
+        if lap is None:
+            return []
+        a, b = lap
+        home = np.flatnonzero(dist(la[b + 1:], lo[b + 1:], la[a], lo[a]) <= close_m)
+        pla, plo = (x[a:b + 2 + home[0]] if len(home) else x[a:] for x in (la, lo))
         length = float(dist(pla[:-1], plo[:-1], pla[1:], plo[1:]).sum())
         if not min_loop_m <= length <= max_loop_m:
-            return empty
+            return []
         off = np.sort(dist(sla[:, None], slo[:, None], pla[None, :], plo[None, :]).min(axis=1))
-        p90 = float(off[min(len(off) - 1, int(0.9 * len(off)))])
-        keep = np.r_[True, (np.diff(pla) != 0) | (np.diff(plo) != 0)]
-        path = [dict(lat=float(x), lon=float(y)) for x, y in zip(pla[keep], plo[keep])]
-        return pd.DataFrame([dict(route_id=pdf.route_id.iloc[0], bus_id=pdf.bus_id.iloc[0], path=path, p90_m=p90, length_m=length)])
+        moved = np.r_[True, (np.diff(pla) != 0) | (np.diff(plo) != 0)]
+        return [dict(route_id=pdf.route_id.iloc[0], bus_id=pdf.bus_id.iloc[0], path=[dict(lat=float(x), lon=float(y)) for x, y in zip(pla[moved], plo[moved])],
+                     p90_m=float(off[min(len(off) - 1, int(0.9 * len(off)))]), length_m=length)]
 
     def search_runs(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        return pd.concat([search(pdf.iloc[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(pdf)])], ignore_index=True)
+        found = [r for a, b in zip(starts, np.r_[starts[1:], len(pdf)]) for r in search(pdf.iloc[a:b])]
+        return pd.DataFrame(found, columns=["route_id", "bus_id", "path", "p90_m", "length_m"])
 
-    c = map_runs(d, ["route_id", "bus_id", "sday"], ["collected_at", "ingest_seq"], search_runs, _SAMPLE)
+    c = map_runs(d, keys, ["collected_at", "ingest_seq"], search_runs, _SAMPLE)
     return c.groupBy("route_id").agg(F.min_by(F.struct("bus_id", "path", "p90_m", "length_m"), F.struct("p90_m", "length_m", "bus_id")).alias("x")).select("route_id", "x.*")

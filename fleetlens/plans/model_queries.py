@@ -119,10 +119,10 @@ ORACLE["j22_identity_clusters"] = "WITH RECURSIVE" + ORACLE["j22_identity_cluste
 
 @R.q("a44_clustered_bootstrap", "pairs")
 def _a44(p):
-    d = p.where("day < DATE '1995-06-01' OR day >= DATE '1995-06-01'").select(
+    d = p.select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("pair_id") % 20).cast("int")).alias("day"), (F.col("r") * 10 + F.col("pair_id") % 7).alias("bus_id"),
         F.concat(F.lit("#"), (F.col("pair_id") % 7).cast("string")).alias("bus_name"), (F.abs(F.col("eta") * 0.98 - F.col("det")) - F.abs(F.col("eta") - F.col("det"))).alias("delta"))
-    return M.clustered_bootstrap(d, draws=500)
+    return M.clustered_bootstrap(d)
 
 
 @R.q("a45_promotion", "pairs", f"""WITH {_P}, x AS (SELECT pair_id%12 dd, UNNEST(['champion','challenger']) arm, UNNEST([eta, eta*0.95e0]) e2, low, high, det, h FROM p), y AS (SELECT *, CASE WHEN e2>1800 THEN NULL ELSE 1 END k FROM x WHERE det IS NOT NULL),
@@ -183,12 +183,12 @@ def _m1(v):
 @R.q("m1_hour_stand_gate", "stop_visits")
 def _m1g(v):
     # Rehearsal stands last seconds, so the layover gate is opened.
-    return M.hour_stand_gate(v, min_visits=40, min_med=1.0, min_days=5, draws=200)
+    return M.hour_stand_gate(v, min_visits=40, min_med=1.0, min_days=5)
 
 
 @R.q("m2_lap_fits", "arrivals")
 def _m2(a):
-    return M.lap_fits(a, period=(900.0, 30.0 * 86400), min_periods=20, min_n=30, min_med=1.0, min_days=5, draws=200)
+    return M.lap_fits(a, period=(900.0, 30.0 * 86400), min_periods=20, min_n=30, min_med=1.0, min_days=5)
 
 
 @R.q("m3_release_fit", "stop_visits arrivals")

@@ -33,7 +33,7 @@ def _a32c(s, stops):
 
 @R.q("a33_hop_anatomy", "positions ring")
 def _a33(pos, ring):
-    seg = S.v1_transitions(pos, ring).where("from_stop_id IS NOT NULL AND travel_sec <= 600").select(
+    seg = S.v1_transitions(pos, ring).where("from_stop_id IS NOT NULL").select(
         F.xxhash64("bus_id", "arrived_at").alias("id"), "bus_name", "route_id", "from_stop_id", F.col("stop_id").alias("to_stop_id"), (F.col("arrived_at") - F.col("travel_sec") * 1000).cast("long").alias("started_at"), "travel_sec")
     return Q.time_budget(Q.hop_anatomy(pos, seg, ring))
 
@@ -41,7 +41,7 @@ def _a33(pos, ring):
 @R.q("a34_hold_signal", "arrivals ring")
 def _a34(a, ring):
     ch = S.stop_chains(a, ring, gap_ms=3 * D)
-    return Q.hold_signal(ch, C.dwell_stats(a, NOW, NOW_DOW, NOW_HOUR, days=40), back=1, fwd=1)
+    return Q.hold_signal(ch, C.dwell_stats(a, NOW, NOW_DOW, NOW_HOUR, days=40))
 
 
 @R.q("a35_feed_priors", "positions ring")

@@ -164,8 +164,7 @@ def _t2b(p):
 
 @R.q("w17_derive_paths", "positions ring")
 def _w17(p, ring):
-    # A rehearsal drive meets two stops, so the ring searched for is each event's pair of stops.
-    return S.derive_paths(p, ring.where("stop_index < 2"), min_loop_m=300.0).drop("path")
+    return S.derive_paths(p, ring)
 
 
 _PASS = f"""v AS (SELECT id, bus_id, route_id, stop_id, stop_index, anchored_at, closest_m, LAG(stop_index) OVER w pi, LAG(anchored_at) OVER w pt, LEAD(stop_index) OVER w qi, LEAD(anchored_at) OVER w qt,
