@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from fleetlens.plans import catalog
@@ -13,7 +14,7 @@ HEADLINE = [
     "a15_scorecard", "a16_scorecard_waits", "j7_truth_join", "a1_segment_stats", "a2_dwell_stats", "a3_stand_tables",
     "j17_expected_segment", "a14_accuracy", "a17_paired_summary", "a18_official_comparison", "a20_rider_history", "a25_search_report",
     "j10_positions_in_window", "j14_nearest_stop", "w3_still_runs", "w4_frozen_runs", "w8_classify_passes", "t2a_v1_transitions",
-    "a49_jump_stats", "p1_sanitize_positions",
+    "a49_jump_stats", "p1_sanitize_positions", "w19_recent_speed", "a27_emit_alerts",
 ]
 
 
@@ -21,7 +22,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     spark.sparkContext.setLogLevel("ERROR")
     # One untimed query starts the JVM's compilers and the Python workers.
     catalog.QUERIES["a17_paired_summary"](spark, sf_dir).collect()
