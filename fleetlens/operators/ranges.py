@@ -65,7 +65,8 @@ def match_forecasts(visits: DataFrame, preds: DataFrame, eta_sec: float, window_
     low, high = max(30.0, ref - tol), min(1800.0, ref + tol)
     keys = ["bus_name", "route_id", "stop_id"]
     v = visits.where((F.col("outcome") == "stopped") & (F.col("closest_m") <= 75) & F.col("arrived_at").isNotNull())
-    v = v.dropDuplicates([*keys, "arrived_at"]) if "id" not in v.columns else v
+    if "id" not in v.columns:
+        raise ValueError("visits need an id")
     v = scan.shifted(v, keys, ["arrived_at", "id"], {"_pd": "departed_at", "_pa": "arrived_at"}, cell_ms=scan.DAY_MS)
     after = F.coalesce(F.coalesce("_pd", "_pa") + 1, F.lit(0))
     v = v.withColumn("_from", F.greatest(F.col("arrived_at") - window_ms, after)).withColumn("_to", F.col("arrived_at") - settle_ms)

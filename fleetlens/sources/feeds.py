@@ -68,15 +68,26 @@ def explode_route_stops(routes: DataFrame) -> DataFrame:
 def explode_census(df: DataFrame, clip: int = 4000) -> DataFrame:
     """Official answers, one row per promised vehicle and a marker row when there is none (S3).
 
-    ``df``: sampled_at, stop_id, probe, etas ARRAY<MAP<STRING,STRING>>. Unknown fields stay as JSON.
+    ``df``: sampled_at, stop_id, probe, etas ARRAY<MAP<STRING,STRING>>, and where the feed gives them the
+    answer's own ``calc_at``, ``probe_route_id`` and ``extra`` MAP<STRING,STRING>. Unknown fields stay as
+    JSON; the answer's ride on its first row, or are the marker's. A marker keeps the answer's time and
+    the probed route.
     """
-    e = df.withColumn("eta", F.explode_outer("etas"))
+    whole = lambda c, t: F.col(c) if c in df.columns else F.lit(None).cast(t)
+    e = df.select("sampled_at", "stop_id", "probe", whole("calc_at", "bigint").alias("_calc"), whole("probe_route_id", "bigint").alias("_route"),
+                  whole("extra", "map<string,string>").alias("_extra"), F.posexplode_outer("etas").alias("_i", "eta"))
     known = F.array(*[F.lit(k) for k in ("calc_at", "route_id", "bus_id", "bus_name", "eta_min", "eta_sec")])
     rest = F.map_filter("eta", lambda k, v: ~F.array_contains(known, k))
-    get = lambda k, t: F.try_element_at("eta", F.lit(k)).try_cast(t).alias(k)
-    return e.select("sampled_at", "stop_id", "probe", get("calc_at", "bigint"), get("route_id", "bigint"), get("bus_id", "bigint"),
-                    get("bus_name", "string"), get("eta_min", "int"), get("eta_sec", "int"),
-                    F.when(F.size(rest) > 0, F.substring(F.to_json(rest), 1, clip)).alias("raw"))
+    own = F.when(F.size(rest) > 0, F.to_json(rest))
+    envelope = F.when(F.size("_extra") > 0, F.to_json("_extra"))
+    first = F.concat(F.coalesce(F.concat(F.expr("substring(_own, 1, length(_own) - 1)"), F.lit(",")), F.lit("{")), F.lit('"envelope":'), "_env", F.lit("}"))
+    raw = F.when(F.col("eta").isNull(), F.col("_env")).when((F.col("_i") == 0) & F.col("_env").isNotNull(), first).otherwise(F.col("_own"))
+    get = lambda k, t: F.try_element_at("eta", F.lit(k)).try_cast(t)
+    e = e.withColumn("_own", own).withColumn("_env", envelope)
+    return e.select("sampled_at", "stop_id", "probe", F.coalesce(get("calc_at", "bigint"), "_calc").alias("calc_at"),
+                    F.when(F.col("eta").isNull(), F.col("_route")).otherwise(get("route_id", "bigint")).alias("route_id"), get("bus_id", "bigint").alias("bus_id"),
+                    get("bus_name", "string").alias("bus_name"), get("eta_min", "int").alias("eta_min"), get("eta_sec", "int").alias("eta_sec"),
+                    F.substring(raw, 1, clip).alias("raw"))
 
 
 def read_archive(spark: SparkSession, root: str, table: str, days: list[str] | None = None, fmt: str = "json") -> DataFrame:
@@ -87,12 +98,13 @@ def read_archive(spark: SparkSession, root: str, table: str, days: list[str] | N
 
 
 def merge_captures(a: DataFrame, b: DataFrame, day: str, keys: tuple[str, ...] = ("bus_id", "collected_at"), time: str = "collected_at") -> DataFrame:
-    """Two captures of one local day on their shared columns; the first source wins a shared key."""
+    """Two captures of one local day on their shared columns; the first source wins a shared key, and inside
+    one source a hash of the row (S5)."""
     cols = [c for c in a.columns if c in b.columns]
     both = a.select(*cols, F.lit(0).alias("_src")).unionByName(b.select(*cols, F.lit(1).alias("_src")))
     lo, hi = clock.day_start_ms(F.lit(day).cast("date")), clock.day_end_ms(F.lit(day).cast("date"))
     both = both.where((F.col(time) >= lo) & (F.col(time) < hi))
-    return top_n(both, list(keys), [F.col("_src")], 1).drop("_src", "rank")
+    return top_n(both, list(keys), [F.col("_src"), F.xxhash64(*cols)], 1).drop("_src", "rank")
 
 
 def assemble_replay(base: DataFrame, days: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ def append_stream(df: DataFrame, path: str, time: str, checkpoint: str, trigger:
     """Micro-batches appended to day partitions; the batch id makes a retried batch overwrite itself."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         d = batch.withColumn("day", clock.local_day(time)).withColumn("batch", F.lit(batch_id))
-        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -48,8 +48,8 @@ def merge_accumulate(base: DataFrame, delta: DataFrame, keys: list[str], sums: l
 
 
 def latest_rows(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Last-wins dimension upsert."""
-    return pick(df, keys, F.col(ts))
+    """Last-wins dimension upsert; of rows at one instant a hash of the row decides."""
+    return pick(df, keys, F.struct(F.col(ts), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])))
 
 
 def overwrite_day(df: DataFrame, path: str, partitions: tuple[str, ...] = ("day", "arm_kind")) -> None:
