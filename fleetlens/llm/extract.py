@@ -49,6 +49,7 @@ class Tree:
         self.tag, self.parent, self.gone, self.names = ["#"], [-1], [False], [frozenset()]
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, in a link
         self._stack, self._block = [0], 0
+        self._link = 0  # the open a with a href, until it closes or another a opens
         at = 0
         for m in _MARKUP.finditer(page):
             if m.start() > at:
@@ -61,11 +62,13 @@ class Tree:
     def _text(self, raw: str) -> None:
         if raw:
             here = self._stack[-1]
-            self.runs.append((here, self._block, html.unescape(raw) if "&" in raw else raw, any(self.tag[i] == "a" for i in self._stack[-4:])))
+            self.runs.append((here, self._block, html.unescape(raw) if "&" in raw else raw, self._link > 0 or any(self.tag[i] == "a" for i in self._stack[-4:])))
 
     def _pop_to(self, depth: int) -> None:
         if any(self.tag[i] in BLOCKS for i in self._stack[depth:]):
             self._block += 1
+        if self._link and self._link in self._stack[depth:]:
+            self._link = 0
         del self._stack[depth:]
 
     def _end(self, names: set[str], within: set[str]) -> None:
@@ -91,8 +94,10 @@ class Tree:
         up = self._stack[-1]
         names: frozenset[str] = frozenset()
         gone = tag in DROPPED
+        link = False
         if "=" in attributes or "hidden" in attributes:
             a = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+            link = "href" in a
             names = frozenset(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}"))
             gone = gone or (tag not in SAFE and bool(names & FURNITURE)) or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (
                 "display:none" in a.get("style", "").replace(" ", ""))
@@ -106,6 +111,8 @@ class Tree:
         self.names.append(names)
         if not attributes.endswith("/") or tag in BLOCKS or tag == "a":
             self._stack.append(len(self.tag) - 1)
+            if tag == "a":
+                self._link = len(self.tag) - 1 if link else 0
 
     def _close(self, tag: str, _: str) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):

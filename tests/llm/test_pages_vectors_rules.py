@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fleetlens.llm import maxscore, quality_rules, warc
-from fleetlens.llm.extract import extract, main_text
+from fleetlens.llm.extract import Tree, extract, main_text
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -105,3 +105,13 @@ def test_rules_of_odd_rows(spark):
     kept = quality_rules.clean(d)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [5]
     assert quality_rules.clean(d.limit(0)).count() == 0
+
+
+def test_text_deep_in_a_link():
+    def linked(page):
+        return {text for _, _, text, link in Tree(page).runs if link}
+
+    assert linked('<a href="/x"><div><div><div><div><span>deep</span></div></div></div></div></a><p>after</p>') == {"deep"}
+    # An anchor that stays open is no link, and another one ends a link that was left open.
+    assert linked("<a name=top><div><div><div><div><p>text</p></div></div></div></div>") == set()
+    assert linked('<a href=x><div><div><div><div><a name=y></a><p>text</p></div></div></div></div>') == set()
