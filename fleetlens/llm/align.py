@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from fleetlens.llm.common import stored
 WORK, SPELLED = 64, 4096
 #: Characters of the texts of one block: its pairs are counted before they move. A longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
+#: Characters of new chunks that go to the tokenizers at once.
+SLICE_CHARS = 50_000
 #: Chunks that a worker keeps; then it starts anew.
 CACHE_CHUNKS = 250_000
 #: Both tokenizers start a token at a space that no space precedes and no white space follows.
@@ -78,17 +81,24 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
-        self.a_bytes = {k: bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
+        vocabulary = Tokenizer.from_file(a_path).get_vocab(with_added_tokens=True)
+        ranks = {bytes(letter[c] for c in t): k for t, k in vocabulary.items() if not t.startswith("<|") and all(c in letter for c in t)}
+        # The file's merges are in the order of their ids, so ranks say the same; this coder makes no object per token.
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max(ranks.values(), default=0) + 1)
+        for t, k in ranks.items():
+            self.a_bytes[k] = t
         self.b_bytes = [bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
                         for k in range(self.b.get_piece_size())]
+        self.lengths = [np.array([len(t) for t in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)]
         self.clear()
 
     def clear(self) -> None:
@@ -102,28 +112,50 @@ class Aligner:
     def chunks(text: str) -> list[str]:
         return text.split(" ") if _PLAIN.search(text) is None else _CUT.split(text)
 
+    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and the text by both tokenizers, or None if either does not give it back."""
+        a, b, raw = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1), b" " + text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids, B ids, the numbers of them in each chunk, and which chunks come back whole."""
+        ids, counts, good = ([], []), (np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)), np.ones(len(new), dtype=bool)
+        at = 0
+        while at < len(new):
+            end, chars = at, 0
+            # Chunks that may meet their neighbours' spaces, or hold the piece mark, are encoded by themselves; the others at one go.
+            while end < len(new) and chars < SLICE_CHARS and not ((c := new[end]) == "" or c[0].isspace() or c[-1] == " " or "▁" in c):
+                chars += len(c) + 1
+                end += 1
+            end = max(end, at + 1)
+            part = new[at:end]
+            got = self._tokens(" ".join(part))
+            parts = [(at, end, got)] if got or len(part) == 1 else [(k, k + 1, self._tokens(new[k])) for k in range(at, end)]
+            for i, k, both in parts:
+                good[i:k] = both is not None
+                if both:
+                    stops = np.cumsum([len(c.encode()) + 1 for c in new[i:k]])
+                    for side in (0, 1):
+                        ids[side].append(both[side])
+                        counts[side][i:k] = np.diff(np.searchsorted(np.cumsum(self.lengths[side][both[side]]), stops, side="right"), prepend=0)
+            at = end
+        none = [np.zeros(0, dtype=np.int64)]
+        return np.concatenate(ids[0] or none), np.concatenate(ids[1] or none), *counts, good
+
     def learn(self, new: list[str]) -> None:
         """Tokens, groups and links of chunks not known yet, all in one merge."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1)
-        good = []
-        for c, a, b in zip(new, a_ids, b_ids, strict=True):
-            raw = b" " + c.encode()
-            good.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)))
-        a_ids = [x if ok else [] for x, ok in zip(a_ids, good, strict=True)]
-        b_ids = [x if ok else [] for x, ok in zip(b_ids, good, strict=True)]
-        a_n, b_n = np.array([len(x) for x in a_ids], dtype=np.int64), np.array([len(x) for x in b_ids], dtype=np.int64)
-        a, b = (np.array([k for x in ids for k in x], dtype=np.int64) for ids in (a_ids, b_ids))
-        ends = [np.cumsum([len(table[k]) for k in ids.tolist()], dtype=np.int64) for table, ids in ((self.a_bytes, a), (self.b_bytes, b))]
-        a_group, b_group, _, _ = merge_path(*ends)
+        a, b, a_n, b_n, good = self._encoded(new)
+        a_group, b_group, _, _ = merge_path(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
         count = int(a_group[-1]) + 1 if len(a) else 0
         in_a, in_b = np.bincount(a_group, minlength=count), np.bincount(b_group, minlength=count)
         a_at, b_at = _starts(in_a), _starts(in_b)
         chunk = np.repeat(np.arange(len(new)), a_n)
-        group_chunk = chunk[a_at] if count else np.zeros(0, dtype=np.int64)
+        group_chunk = chunk[a_at]
         # Links as (chunk, pair, times): small groups spelled out, large ones by their distinct ids.
         few = in_a * in_b <= SPELLED
-        tokens = np.flatnonzero(few[a_group]) if count else np.zeros(0, dtype=np.int64)
+        tokens = np.flatnonzero(few[a_group])
         width = in_b[a_group[tokens]]
         where = [np.repeat(chunk[tokens], width)]
         pair = [np.repeat(a[tokens] << 32, width) | b[_spread(b_at[a_group[tokens]], width)]]
@@ -142,15 +174,19 @@ class Aligner:
         self.numbers = np.concatenate([self.numbers, np.column_stack([a_n, b_n, groups, links])])
         self.first, self.size = np.concatenate([self.first, len(self.pair) + _starts(sizes)]), np.concatenate([self.size, sizes])
         self.pair, self.times = np.concatenate([self.pair, pair[order]]), np.concatenate([self.times, times[order]])
-        # The text of the groups: ids of a group by commas, A and B by a bar, groups by semicolons.
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        said = [f"{','.join(a_text[i:k])}|{','.join(b_text[j:m])}" for i, k, j, m in
-                zip(a_at.tolist(), (a_at + in_a).tolist(), b_at.tolist(), (b_at + in_b).tolist(), strict=True)]
-        at = 0
-        for c, ok, k in zip(new, good, groups.tolist(), strict=True):
+        # The text of the groups: ids of a group by commas, A and B by a bar, groups by semicolons. Every id carries the mark before it.
+        turn = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        mark = np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+        mark[len(a) + b_at] = ord("|")
+        mark[a_at] = ord(";")
+        marks = pa.StringArray.from_buffers(len(mark), pa.py_buffer(np.arange(len(mark) + 1, dtype=np.int32)), pa.py_buffer(mark[turn]))
+        said = pc.binary_join_element_wise(marks, pc.cast(pa.array(np.concatenate([a, b])[turn]), pa.string()), "")
+        stops = np.frombuffer(said.buffers()[1], dtype=np.int32)[np.concatenate([[0], np.cumsum(a_n + b_n)])]
+        # A chunk's text is what lies between its first id's mark and the next chunk.
+        whole = said.buffers()[2].to_pybytes().decode() if len(mark) else ""
+        for c, ok, i, k in zip(new, good.tolist(), stops[:-1].tolist(), stops[1:].tolist(), strict=True):
             self.known[c] = len(self.groups)
-            self.groups.append(";".join(said[at : at + k]) if ok else None)
-            at += k
+            self.groups.append(whole[i + 1 : k] if ok else None)
 
     def numbered(self, texts: list[list[str]]) -> list[list[int]]:
         """The number of each chunk of each text of a block."""
