@@ -79,6 +79,51 @@ select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b
 """
 
-ORACLE = {"op3_maxscore": _OP3, "op4_warc": _OP4, "op9_quality_rules": _OP9, "op5_mixing": _OP5}
+# The program row by row: a list of (state, cost, audit, repaired rows) per conversation; states as letters.
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _best(candidates: str) -> str:
+    """The least (cost, audit) of each state of a list of candidates."""
+    return f"""list_filter(list_transform(['', 's', 'u', 'a'], lambda st: list_sort(list_filter({candidates}, lambda c: c.st = st))[1]), lambda c: c is not null)"""
+
+
+def _step(st: str, cost: str, edit: str, row: str | None) -> str:
+    """A candidate after ``e``."""
+    return f"{{'st': {st}, 'cost': e.cost + {cost}, 'audit': e.audit || '{edit}', 'fixed': " + (f"list_append(e.fixed, {row})" if row else "e.fixed") + "}"
+
+
+_INS = lambda p: _best(f"list_concat({p}, list_transform(list_filter({p}, lambda e: e.st <> 'u'), lambda e: {_step("'u'", '3', 'I', "'user:'")}))")
+_INA = lambda p: _best(f"list_concat({p}, list_transform(list_filter({p}, lambda e: e.st = 'u'), lambda e: {_step("'a'", '3', 'I', "'assistant:'")}))")
+_KEEP = "list_filter(p2, lambda e: (i = 'u' and e.st <> 'u') or (i = 'a' and e.st = 'u') or (i = 's' and e.st = ''))"
+_OP11 = f"""
+with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  list_reduce(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: ascii(c)::BIGINT),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda z: 0::BIGINT)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT) as crc from conversations),
+f as (select *, xor(crc, 4294967295) % 20 as fate from o),
+d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+  case when fate = 1 then '' when fate = 2 then translate(text, '.!?', '') else text end as text from f, unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) as u(copy)),
+r as (select *, row_number() over w as k, rtrim(text, {_WS}) as tail,
+  lag(role) over w as was from d window w as (partition by conv_id order by turn nulls first, role, text)),
+q as (select *, row_number() over (partition by conv_id, role, text order by k) as seen from r),
+g as (select conv_id, k, turn, role, text, was, left(role, 1) as i, case when tail = '' then 1 when seen > 1 then 2 when right(tail, 1) not in ('.', '!', '?') then 3 else 0 end as fault from q),
+walk(conv_id, k, p) as (
+  select distinct conv_id, 0::BIGINT, [{{'st': '', 'cost': 0, 'audit': '', 'fixed': []::VARCHAR[]}}] from g
+  union all
+  select conv_id, k, {_best(f"list_concat(list_transform(p2, lambda e: {_step('e.st', '4', 'D', None)}), case when fault in (1, 2) then [] else list_concat("
+    + "list_transform(p2, lambda e: " + _step("case when e.st = 'u' then 'a' else 'u' end", "3 + case when fault = 3 then 3 else 0 end", "R", "case when e.st = 'u' then 'assistant:' else 'user:' end || text") + "), "
+    + f"list_transform({_KEEP}, lambda e: " + _step("i", "case when fault = 3 then 3 else 0 end", "K", "role || ':' || text") + ")) end)")}
+  from (select conv_id, k, text, role, i, fault, {_INA('p1')} as p2 from (
+    select g.conv_id, g.k, g.text, g.role, g.i, g.fault, {_INS('w.p')} as p1 from walk w join g on g.conv_id is not distinct from w.conv_id and g.k = w.k + 1))),
+ends as (select conv_id, {_INA('p1')} as p from (select conv_id, {_INS('arg_max(p, k)')} as p1 from walk group by conv_id)),
+b as (select conv_id, list_sort(list_transform(list_filter(p, lambda e: e.st in ('', 'a')), lambda e: {{'cost': e.cost, 'audit': e.audit, 'fixed': e.fixed}}))[1] as z from ends),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+  count(*) filter (fault = 3) as truncated, count(*) filter (was is not null and left(was, 1) || i not in ('su', 'ua', 'au')) as illegal from g group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::BIGINT as gaps, coalesce(blank, 0)::BIGINT as blank, coalesce(duplicate, 0)::BIGINT as duplicate, coalesce(truncated, 0)::BIGINT as truncated,
+  coalesce(illegal, 0)::BIGINT as illegal, coalesce(z.cost, 0)::BIGINT as cost, coalesce(z.audit, '') as audit, sha256(coalesce(array_to_string(z.fixed, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on c.conv_id is not distinct from n.conv_id left join b on c.conv_id is not distinct from b.conv_id
+"""
+
+ORACLE = {"op11_structure_repair": _OP11, "op3_maxscore": _OP3, "op4_warc": _OP4, "op9_quality_rules": _OP9, "op5_mixing": _OP5}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import align, extract, gam, langid, linededup, maxscore, mixing, packing, quality_rules, simhash, warc
+from fleetlens.llm import align, extract, gam, langid, linededup, maxscore, mixing, packing, quality_rules, repair, simhash, toxicity, warc
 from fleetlens.llm.common import held_out, read
 from fleetlens.llm.oracles import ORACLE
 
@@ -62,6 +62,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(read(spark, sf_dir, "documents"), labels).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.edits(repair.damage(read(spark, sf_dir, "conversations"))))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.learn(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -77,6 +86,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }

@@ -274,8 +274,8 @@ def edits(rows: DataFrame) -> DataFrame:
     d = d.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"), "there")
     d = d.repartition("conv_id")
     same = W.partitionBy("conv_id", "role", "text", "there").orderBy("turn")
-    d = d.withColumn("fault", fault_of(F.col("text"), F.row_number().over(same) > 1))
-    d = d.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text", "fault", "there")
+    d = d.withColumn("copy", F.row_number().over(same)).withColumn("fault", fault_of(F.col("text"), F.col("copy") > 1))
+    d = d.sortWithinPartitions("conv_id", "turn", "role", "text", "copy").select("conv_id", "turn", "role", "text", "fault", "there")
     return d.mapInArrow(_fold, _EDITS_DDL)
 
 
