@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from fleetlens.functions import clock
 from fleetlens.operators import events as EV
 from fleetlens.operators import scoring as S
+from fleetlens.operators.fold import apart, close_name, fold_poll
 from fleetlens.sources.tables import overwrite_day
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,16 +28,22 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _plain(v: Any) -> Any:
+    """Arrays and numpy scalars as plain data, so that state is JSON."""
+    return v.tolist() if hasattr(v, "tolist") else v
+
+
 class KeyedFold(StatefulProcessor):
     """Fold rows of a key in time order; state is one JSON value, closed by an event-time timer.
 
-    ``fold(state, row) -> (state, rows)`` and ``expire(state) -> rows`` are plain functions.
+    ``fold(state, row) -> (state, rows)`` and ``expire(state) -> rows`` are plain functions. With ``poll`` (a place
+    in ``cols``) neighbouring rows that agree there are folded together, as a list.
     """
 
     def __init__(self, fold: Callable, order: list[str], cols: list[str], to_frame: Callable[[tuple, list], pd.DataFrame],
-                 time: str, idle_ms: int | None = None, expire: Callable | None = None) -> None:
+                 time: str, idle_ms: int | None = None, expire: Callable | None = None, poll: int | None = None) -> None:
         self.fold, self.order, self.cols, self.to_frame = fold, order, cols, to_frame
-        self.time, self.idle_ms, self.expire = time, idle_ms, expire
+        self.time, self.idle_ms, self.expire, self.poll = time, idle_ms, expire, poll
 
     def init(self, handle: Any) -> None:
         self.handle = handle
@@ -48,7 +55,8 @@ class KeyedFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order)
         st, out = self._get(), []
-        for r in pdf[self.cols].itertuples(index=False, name=None):
+        rows = (tuple(_plain(v) for v in r) for r in pdf[self.cols].itertuples(index=False, name=None))
+        for r in rows if self.poll is None else (list(g) for _, g in groupby(rows, key=lambda r: r[self.poll])):
             st, got = self.fold(st, r)
             out += got
         if st is None:
@@ -82,27 +90,20 @@ def keyed(stream: DataFrame, keys: list[str], proc: KeyedFold, schema: str, mode
 # --- T2 / T3 --------------------------------------------------------------------------------------
 
 
-def _fold_fix(st: dict | None, row: tuple):
-    s, out = EV.fold_fix(EV.Track(**st) if st else None, row)
-    return (asdict(s) if s else None), out
-
-
 def _events_frame(key: tuple, rows: list[dict]) -> pd.DataFrame:
-    for r in rows:
-        r["track"] = key[0]
     return EV._frame(rows)
 
 
 def detect_events_stream(pos: DataFrame, ring: DataFrame) -> DataFrame:
     """The event fold on a stream of fixes carrying ``event_time`` with a watermark.
 
-    ``pos`` needs a ``track`` key (the vehicle name unless ids clash). A track idle past the gap
-    limit is closed by its timer, as a hole closes it in batch. Restarts resume from the checkpoint.
+    The state of a key holds all vehicles of one name, so two that share it keep their own tracks, and a reissued
+    id takes its track over (T1). Rows of one poll are folded together. A name idle past the gap limit is closed
+    by its timer, as a hole closes it in batch. Restarts resume from the checkpoint.
     """
-    p = pos if "track" in pos.columns else pos.withColumn("track", F.col("bus_name"))
-    d = EV.with_distances(p, ring).select(*EV.INPUT, "event_time")
-    proc = KeyedFold(_fold_fix, ["collected_at"], EV.INPUT[1:], _events_frame, "collected_at", EV.GAP_MS, lambda st: EV.close_track(EV.Track(**st)))
-    return keyed(d, ["track"], proc, EV.EVENT)
+    d = EV.with_distances(pos, ring).select(*EV.INPUT, "ingest_seq", "event_time")
+    proc = KeyedFold(fold_poll, ["collected_at", "bus_id", "ingest_seq"], EV.INPUT, _events_frame, "collected_at", EV.GAP_MS, close_name, poll=EV.INPUT.index("collected_at"))
+    return keyed(d, ["bus_name"], proc, EV.EVENT)
 
 
 # --- T4, T5 ---------------------------------------------------------------------------------------
@@ -167,7 +168,7 @@ def _fold_speed(st: list | None, row: tuple):
     tail = st or []
     if tail and t <= tail[-1][0]:
         return tail, [(t, None)]
-    if tail and (t - tail[-1][0] > SPEED_GAP_MS or EV._apart(*tail[-1][1:], lat, lon) > 50 * (t - tail[-1][0]) / 1000):
+    if tail and (t - tail[-1][0] > SPEED_GAP_MS or apart(*tail[-1][1:], lat, lon) > 50 * (t - tail[-1][0]) / 1000):
         tail = []
     start = t - SPEED_WINDOW_MS
     inside = [p for p in tail if p[0] > start]
@@ -176,7 +177,7 @@ def _fold_speed(st: list | None, row: tuple):
     for (a, la, lo), (b, lb, ob) in zip(tail, tail[1:]):
         part = (b - max(a, start)) / (b - a)
         origin = origin or (lb + (la - lb) * part, ob + (lo - ob) * part)
-        metres, ms, extent = metres + EV._apart(la, lo, lb, ob) * part, ms + b - max(a, start), max(extent, EV._apart(*origin, lb, ob))
+        metres, ms, extent = metres + apart(la, lo, lb, ob) * part, ms + b - max(a, start), max(extent, apart(*origin, lb, ob))
     return tail, [(t, metres / (ms / 1000) if ms >= 25_000 and extent >= 15 else None)]
 
 
