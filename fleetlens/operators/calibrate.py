@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import exprs as E
 from fleetlens.functions.geo import metres
 from fleetlens.functions.quantiles import TEN_KNOTS, grouped_quantiles
+from fleetlens.operators.runs import map_runs
+from fleetlens.session import materialize
 
 
 DAY_MS = 86_400_000
@@ -299,27 +303,70 @@ def with_dwell_default(edges: DataFrame, dwell: DataFrame) -> DataFrame:
         {"dwell_sec": F.coalesce("_m", F.lit(15.0)), "dwell_sd": F.coalesce("_s", F.lit(10.0))}).drop("_m", "_s")
 
 
+#: Steps whose running histogram one task reads off.
+ASOF_CELL = 168
+
+
+def _running_medians(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """The median of the values in force at every step of a cell, for whole (hop, cell) runs.
+
+    Rows are changes of the count of a value: those at the cell's first step hold what is in force before it."""
+    route, frm, to, cell, last = (pdf[c].to_numpy(dtype=np.int64) for c in (*HOP, "cell", "last"))
+    step, value, w = pdf["step"].to_numpy(dtype=np.int64), pdf["travel_sec"].to_numpy(dtype=float), pdf["w"].to_numpy(dtype=np.int64)
+    parts = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+        values, place = np.unique(value[a:b], return_inverse=True)
+        first, end = cell[a] * ASOF_CELL, min((cell[a] + 1) * ASOF_CELL, last[a] + 1)
+        at = np.append(np.flatnonzero(np.diff(step[a:b], prepend=-1)), b - a)
+        histogram = np.zeros(len(values), dtype=np.int64)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            np.add.at(histogram, place[i:j], w[a + i : a + j])
+            run = np.cumsum(histogram)
+            n = int(run[-1])
+            begin, stop = max(first, step[a + i]), step[a + j] if j < b - a else end
+            if n and begin < stop:
+                low, high = values[np.searchsorted(run, [(n - 1) // 2 + 1, n // 2 + 1])]
+                s = np.arange(begin, stop)
+                parts.append(pd.DataFrame({HOP[0]: route[a], HOP[1]: frm[a], HOP[2]: to[a], "step": s, "prior": (low + high) / 2}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*HOP, "step")}).assign(prior=pd.Series(dtype="float64"))
+
+
 def calibrate_asof(segments: DataFrame, stops: DataFrame, step_ms: int = 3_600_000, days: int = 30, k: int = 1) -> DataFrame:
-    """The hop table as it stood at every step (M6): only samples completed by then count.
+    """The hop table as it stood at every step (M6): only samples completed by then, and begun in the days before, count.
 
-    Samples equal in hop, value and both step bins are counted once before they are spread over the
-    steps they serve, so the spread is at most ``days * day / step`` per distinct sample.
+    A sample is two changes of a count: it comes in at one step and goes out at another; equal changes are added up
+    first. The weekly slice of a step is read off running sums per (hop, weekday, hour); the median of all values
+    off running histograms, which are cut into cells of a week of steps: what is in force at a cell's start is a
+    running sum per (hop, value) over cells, so cells are read independently of each other.
     """
     s = plausible_travel(segments, stops).withColumn("done", F.col("started_at") + F.greatest(F.lit(0.0), F.col("travel_sec")) * 1000)
-    s = s.withColumn("lo", F.ceil(F.col("done") / step_ms).cast("long")).withColumn(
-        "hi", F.floor((F.col("started_at") + days * DAY_MS) / step_ms).cast("long"))
-    pre = s.groupBy(*HOP, "travel_sec", "dow", "hour", "lo", "hi").agg(F.count(F.lit(1)).alias("w"))
     last = segments.agg(F.max("started_at").alias("m")).select(F.ceil(F.col("m") / step_ms).cast("long")).scalar()
-    e = pre.withColumn("step", F.explode(F.when(F.least(F.col("hi"), last) >= F.col("lo"), F.sequence(F.col("lo"), F.least(F.col("hi"), last)))))
-    keys = [*HOP, "as_of"]
-    e = e.withColumn("as_of", F.col("step") * step_ms)
-    local = F.from_utc_timestamp(F.timestamp_millis("as_of"), "America/New_York")
-    in_slice = (F.col("dow") == F.dayofweek(local) - 1) & E.in_hour_window("hour", F.hour(local), k)
-    prior = grouped_quantiles(e, keys, "travel_sec", {"prior": (0.5, "linear")}, weight="w")
-    x, w = F.col("travel_sec"), F.when(in_slice, F.col("w"))
-    st = e.groupBy(*keys).agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"))
+    s = s.withColumn("lo", F.ceil(F.col("done") / step_ms).cast("long")).withColumn("hi", F.least(F.floor((F.col("started_at") + days * DAY_MS) / step_ms).cast("long"), last))
+    s = s.where("lo <= hi").withColumn("_e", F.explode(F.array(F.struct(F.col("lo").alias("step"), F.lit(1).alias("w")), F.struct((F.col("hi") + 1).alias("step"), F.lit(-1).alias("w")))))
+    ev = materialize(s.groupBy(*HOP, "travel_sec", "dow", "hour", F.col("_e.step").alias("step")).agg(F.sum("_e.w").alias("w")).where("w <> 0"))
+
+    # What is in force: changes by cell, and before each cell the sum of all earlier ones.
+    by_value = ev.groupBy(*HOP, "travel_sec", "step").agg(F.sum("w").alias("w")).where("w <> 0").withColumn("cell", F.floor(F.col("step") / ASOF_CELL).cast("long"))
+    run = Window.partitionBy(*HOP, "travel_sec").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    net = by_value.groupBy(*HOP, "travel_sec", "cell").agg(F.sum("w").alias("w")).withColumn("w", F.sum("w").over(run))
+    until = F.lead("cell").over(Window.partitionBy(*HOP, "travel_sec").orderBy("cell"))
+    base = net.withColumn("_to", F.coalesce(until, F.floor(last / ASOF_CELL).cast("long"))).where("w <> 0").withColumn("cell", F.explode(F.when(F.col("_to") > F.col("cell"), F.sequence(F.col("cell") + 1, F.col("_to")))))
+    changes = by_value.unionByName(base.select(*HOP, "travel_sec", (F.col("cell") * ASOF_CELL).alias("step"), "w", "cell")).withColumn("last", last)
+    medians = materialize(map_runs(changes, [*HOP, "cell"], ["step"], _running_medians, f"{', '.join(f'{c} long' for c in HOP)}, step long, prior double"))
+
+    # The slice of a step: its weekday, its hour and the k hours around it.
+    as_of = (F.col("step") * step_ms).cast("long")
+    local = F.from_utc_timestamp(F.timestamp_millis(as_of), "America/New_York")
+    wanted = medians.select(*HOP, "step", (F.dayofweek(local) - 1).cast("int").alias("dow"), F.explode(F.array(*[F.pmod(F.hour(local) + o, F.lit(24)).cast("int") for o in range(-k, k + 1)])).alias("hour"))
+    x = F.col("travel_sec")
+    sums = ev.groupBy(*HOP, F.col("dow").cast("int").alias("dow"), F.col("hour").cast("int").alias("hour"), "step").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * x).alias("sx"), F.sum(F.col("w") * x * x).alias("sxx"))
+    both = sums.withColumn("_q", F.lit(0)).unionByName(wanted.withColumn("_q", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*HOP, "dow", "hour").orderBy("step", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select(*HOP, "step", "_q", *[F.sum(c).over(so_far).alias(c) for c in ("n", "sx", "sxx")]).where("_q = 1")
+    st = both.groupBy(*HOP, "step").agg(*[F.coalesce(F.sum(F.when(F.col("n") > 0, F.col(c))), F.lit(0)).alias(c) for c in ("n", "sx", "sxx")])
     n = F.col("n")
     var = F.when(n > 1, (F.col("sxx") - F.col("sx") * F.col("sx") / n) / (n - 1)).otherwise(0.0)
-    return st.join(prior.drop("_n"), keys).select(
-        *keys, F.when(n == 0, F.col("prior")).otherwise((F.col("sx") + SHRINK_K * F.col("prior")) / (n + SHRINK_K)).alias("mean"),
-        F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(5.0)).alias("stddev"), "n")
+    return medians.join(st, [*HOP, "step"]).select(
+        *HOP, as_of.alias("as_of"), F.when(n == 0, F.col("prior")).otherwise((F.col("sx") + SHRINK_K * F.col("prior")) / (n + SHRINK_K)).alias("mean"),
+        F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(5.0)).alias("stddev"), "n", "prior")

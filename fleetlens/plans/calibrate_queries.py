@@ -203,15 +203,34 @@ def _j18(ring, segments, stops):
     return rounded(C.with_segment_default(e, _seg(segments, stops), stops).select(*C.HOP, "sec", "sd", "calibrated"))
 
 
-@R.q("m6_calibrate_asof_daily", "segments stops", f"""WITH sg AS (SELECT s.* FROM segments s JOIN stops a ON a.stop_id=s.from_stop_id JOIN stops b ON b.stop_id=s.to_stop_id
+def asof_ctes(step: int, days: int) -> str:
+    """Every sample joined with every step that it serves: ``tab`` is the table of each step."""
+    return f"""sg AS (SELECT s.* FROM segments s JOIN stops a ON a.stop_id=s.from_stop_id JOIN stops b ON b.stop_id=s.to_stop_id
    WHERE travel_sec > 0 AND {_CH}/travel_sec <= 22),
-  d AS (SELECT DISTINCT UNNEST(range(19723, (SELECT CAST(CEIL(MAX(started_at)/86400000e0) AS BIGINT)+1 FROM segments)))*86400000 as_of),
-  j AS (SELECT sg.*, as_of, sg.dow={{LDOW(as_of)}} AND ((sg.hour-{{LHOUR(as_of)}}+36)%24-12) BETWEEN -1 AND 1 w FROM d JOIN sg ON started_at+travel_sec*1000 <= as_of AND started_at >= as_of-{7*D}),
-  g AS (SELECT route_id, from_stop_id, to_stop_id, as_of, QUANTILE_CONT(travel_sec,0.5) prior, COUNT(*) FILTER (w) n, SUM(travel_sec) FILTER (w) sx, COALESCE(STDDEV_SAMP(travel_sec) FILTER (w),0) sd FROM j GROUP BY ALL)
-  SELECT route_id, from_stop_id, to_stop_id, as_of, ROUND(CASE WHEN n=0 THEN prior ELSE (sx+8*prior)/(n+8) END,5) mean, ROUND(GREATEST(sd,5),4) stddev, n FROM g""")
+  d AS (SELECT UNNEST(range((SELECT MIN(started_at)//{step} FROM segments), (SELECT CAST(CEIL(MAX(started_at)/{float(step)}e0) AS BIGINT)+1 FROM segments)))*{step} as_of),
+  dd AS (SELECT as_of, {{LDOW(as_of)}} adow, {{LHOUR(as_of)}} ahour FROM d),
+  j AS (SELECT sg.*, as_of, sg.dow=adow AND ((sg.hour-ahour+36)%24-12) BETWEEN -1 AND 1 w FROM sg JOIN dd ON started_at+travel_sec*1000 <= as_of AND started_at >= as_of-{days * D}),
+  g AS (SELECT route_id, from_stop_id, to_stop_id, as_of, QUANTILE_CONT(travel_sec,0.5) prior, COUNT(*) FILTER (w) n, SUM(travel_sec) FILTER (w) sx, COALESCE(STDDEV_SAMP(travel_sec) FILTER (w),0) sd FROM j GROUP BY ALL),
+  tab AS (SELECT route_id, from_stop_id, to_stop_id, as_of, CASE WHEN n=0 THEN prior ELSE (sx+8*prior)/(n+8) END mean, GREATEST(sd,5) stddev, n, prior FROM g)"""
+
+
+def _asof_sql(step: int, days: int) -> str:
+    return f"WITH {asof_ctes(step, days)} SELECT route_id, from_stop_id, to_stop_id, as_of, ROUND(mean,5) mean, ROUND(stddev,4) stddev, n, ROUND(prior,5) prior FROM tab"
+
+
+def _asof(segments, stops, step: int, days: int):
+    t = C.calibrate_asof(segments, stops, step, days)
+    return t.select(*C.HOP, "as_of", F.round("mean", 5).alias("mean"), F.round("stddev", 4).alias("stddev"), "n", F.round("prior", 5).alias("prior"))
+
+
+@R.q("m6_calibrate_asof_daily", "segments stops", _asof_sql(D, 7))
 def _m6(segments, stops):
-    t = C.calibrate_asof(segments, stops, D, 7)
-    return t.select(*C.HOP, "as_of", F.round("mean", 5).alias("mean"), F.round("stddev", 4).alias("stddev"), "n")
+    return _asof(segments, stops, D, 7)
+
+
+@R.q("m6_calibrate_asof_hourly", "segments stops", _asof_sql(D // 24, 30))
+def _m6h(segments, stops):
+    return _asof(segments, stops, D // 24, 30)
 
 
 @R.q("p6_available_by", "stop_visits", f"WITH {_VIS} SELECT COUNT(*) n, CAST(SUM(id) AS BIGINT) s FROM vv")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import dist
 from fleetlens.operators import calibrate as C
 from fleetlens.operators import matching, models as M
+from fleetlens.plans.calibrate_queries import asof_ctes
 from fleetlens.plans.reg import NOW, Registry, knots, rounded
 
 R = Registry()
@@ -218,11 +219,22 @@ def _f10(v):
     return t.select("route_id", "stop_id", F.round(dist.quantile("q", 0.5), 5).alias("med"))
 
 
-@R.q("m7_standing_backtest", "arrivals segments stops ring")
+_M7 = f"""WITH {asof_ctes(D // 24, 30)},
+  h AS (SELECT a.id, a.bus_name, a.route_id, a.arrived_at t0, s, p.stop_id from_stop_id, q.stop_id to_stop_id FROM (SELECT a.*, z.n, UNNEST(range(LEAST(10, n-1))) s FROM arrivals a JOIN (SELECT route_id, MAX(ring_size) n FROM ring GROUP BY 1) z USING (route_id)) a
+    JOIN ring p ON p.route_id=a.route_id AND p.stop_index=(a.stop_index+s)%n JOIN ring q ON q.route_id=a.route_id AND q.stop_index=(a.stop_index+s+1)%n),
+  c AS (SELECT h.*, SUM(mean) OVER w shrunk, SUM(prior) OVER w median, COUNT(*) OVER w c FROM h JOIN tab ON tab.route_id=h.route_id AND tab.from_stop_id=h.from_stop_id AND tab.to_stop_id=h.to_stop_id AND as_of=t0//{D // 24}*{D // 24}
+    WINDOW w AS (PARTITION BY h.id ORDER BY s)),
+  x AS (SELECT c.*, (b.arrived_at-t0)/1000e0 act FROM c ASOF JOIN arrivals b ON b.bus_name=c.bus_name AND b.route_id=c.route_id AND b.stop_id=c.to_stop_id AND c.t0 < b.arrived_at WHERE c.c=s+1 AND b.arrived_at-t0 <= 7200000),
+  e AS (SELECT 'shrunk' variant, s+1 ahead, shrunk-act err FROM x UNION ALL SELECT 'median', s+1, median-act FROM x),
+  f AS (SELECT variant, CASE WHEN ahead=1 THEN '1' WHEN ahead<=5 THEN '2-5' ELSE '6-10' END band, err FROM e UNION ALL SELECT variant, 'all', err FROM e)
+  SELECT variant, band, COUNT(*) n, ROUND(QUANTILE_CONT(ABS(err),0.5),5) median_abs_sec, ROUND(QUANTILE_CONT(ABS(err),0.9),5) p90_abs_sec, ROUND(AVG(err),5) bias_sec FROM f GROUP BY ALL"""
+
+
+@R.q("m7_standing_backtest", "arrivals segments stops ring", _M7)
 def _m7(a, segments, stops, ring):
-    t = M.materialize(C.calibrate_asof(segments, stops, D, 30))
-    prior = t.withColumn("mean", F.col("mean") * 0 + 60.0)
-    return M.standing_backtest(a, ring, {"shrunk": t, "flat": prior}, k=4, step_ms=D, horizon_ms=2 * D)
+    t = M.materialize(C.calibrate_asof(segments, stops))
+    rival = t.select(*C.HOP, "as_of", F.col("prior").alias("mean"))
+    return rounded(M.standing_backtest(a, ring, {"shrunk": t, "median": rival}, step_ms=D // 24), 5)
 
 
 @R.q("m8_chronological_plan", "arrivals", "WITH d AS (SELECT DISTINCT {LDAY(arrived_at)} AS day FROM arrivals), r AS (SELECT day, ROW_NUMBER() OVER (ORDER BY day DESC) rn FROM d) SELECT day, CASE WHEN rn<=8 THEN 'test' ELSE 'train' END phase FROM r WHERE rn<=22")
