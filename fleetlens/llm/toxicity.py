@@ -7,6 +7,7 @@ into one number. A text's score weighs its strongest window, the mean of all and
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -319,7 +320,8 @@ def fit_pooling(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-_readers: dict[int, Reader] = {}
+#: The reader of the network in use, by a name that each broadcast gets.
+_readers: dict[str, Reader] = {}
 #: Characters of texts that go through the network together.
 _GROUP = 400_000
 
@@ -357,10 +359,10 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     sample = materialize(d.join(F.broadcast(few), "key"))  # 2 * train_docs rows at most
     got = sample.select("key", "text", "y").mapInArrow(_some_windows, "key long, y double, words string").toPandas()
     net = fit(sorted(zip(got["key"], got["y"], got["words"], strict=True)))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared, name = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _read(batches, shared):
+        for b, x in _read(batches, name, shared):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, x.T.copy())], names=["key", "y", *"abcde"])
 
     x = sample.select("key", "text", "y").mapInArrow(pooled, "key long, y double, a double, b double, c double, d double, e double").toPandas().sort_values(["key", "y", *"abcde"])
@@ -371,12 +373,12 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     return net
 
 
-def _read(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _read(batches: Iterator[pa.RecordBatch], name: str, shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Each batch with the pooled numbers of its texts."""
-    reader = _readers.get(shared.id)
+    reader = _readers.get(name)
     if reader is None:
         _readers.clear()
-        reader = _readers[shared.id] = Reader(shared.value)
+        reader = _readers[name] = Reader(shared.value)
     for b in batches:
         out = [np.zeros((0, 5))]
         for _, _, texts in _grouped(b):
@@ -391,10 +393,10 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
     Null and empty texts, and those without a letter or digit, are one empty window and get the same score.
     Repeated rows get equal rows. A network without examples of both classes scores everything by the share of
     toxic labels, 0.5 without any."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS and a bounded sample's words bound it
+    shared, name = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex  # BUCKETS and a bounded sample's words bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _read(batches, shared):
+        for b, x in _read(batches, name, shared):
             s = _sigmoid(x @ net_pooling)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["key", "score", "predicted"])
 
