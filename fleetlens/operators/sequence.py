@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import clock
 from fleetlens.functions.geo import metres, point_to_segment
+from fleetlens.functions.lines import nearest_vertices, thinned
 from fleetlens.functions.quantiles import grouped_quantiles
 from fleetlens.operators import scan
 from fleetlens.operators.ranges import interval_join
@@ -402,9 +403,13 @@ def _covering_lap(hit: np.ndarray) -> tuple[int, int] | None:
     return (int(begin[end]), end) if begin[end] >= 0 else None
 
 
-def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m: float = 90.0, min_loop_m: float = 1500.0, max_loop_m: float = 80_000.0) -> DataFrame:
+def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m: float = 90.0, min_loop_m: float = 1500.0, max_loop_m: float = 80_000.0,
+                 min_samples: int = 60, min_vertices: int = 8) -> DataFrame:
     """The route's line from the shortest stretch of a track that meets every stop.
 
+    The stretch is thinned, but keeps a vertex for every stop (F13). A track of fewer than ``min_samples`` fixes,
+    a route of one stop and a line of fewer than ``min_vertices`` are no lap.
+
     A track is searched per service day with the day before it, so that a lap across the cut at 04:00
     is whole and a group stays bounded; the best candidate per route is a reduce. The ring travels
     once per group, on its first row.
@@ -424,7 +429,9 @@ def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m
         def dist(a, b, c, e):
             return 111_320.0 * np.hypot(c - a, (e - b) * np.cos(np.radians((a + c) / 2)))
 
-        lap = _covering_lap(dist(la[:, None], lo[:, None], sla[None, :], slo[None, :]) <= cover_m) if len(la) else None
+        if len(la) < min_samples or len(sla) < 2:
+            return []
+        lap = _covering_lap(dist(la[:, None], lo[:, None], sla[None, :], slo[None, :]) <= cover_m)
         if lap is None:
             return []
         a, b = lap
@@ -433,9 +440,12 @@ def derive_paths(pos: DataFrame, ring: DataFrame, cover_m: float = 60.0, close_m
         length = float(dist(pla[:-1], plo[:-1], pla[1:], plo[1:]).sum())
         if not min_loop_m <= length <= max_loop_m:
             return []
+        kept = thinned(pla, plo, nearest_vertices(pla, plo, sla, slo))
+        if len(kept) < min_vertices:
+            return []
+        pla, plo = pla[kept], plo[kept]
         off = np.sort(dist(sla[:, None], slo[:, None], pla[None, :], plo[None, :]).min(axis=1))
-        moved = np.r_[True, (np.diff(pla) != 0) | (np.diff(plo) != 0)]
-        return [dict(route_id=pdf.route_id.iloc[0], bus_id=pdf.bus_id.iloc[0], path=[dict(lat=float(x), lon=float(y)) for x, y in zip(pla[moved], plo[moved])],
+        return [dict(route_id=pdf.route_id.iloc[0], bus_id=pdf.bus_id.iloc[0], path=[dict(lat=float(x), lon=float(y)) for x, y in zip(pla, plo)],
                      p90_m=float(off[min(len(off) - 1, int(0.9 * len(off)))]), length_m=length)]
 
     def search_runs(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:

@@ -186,6 +186,8 @@ def oracle(names: str | list[str], body: str) -> str:
     views = [n for n in _needed([n for n in names if n in VIEWS])]
     ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n][1], _DUCK, lambda t: t)})" for n in views)
     body = _fill(body.strip(), _DUCK, lambda t: t)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}" if ctes else body
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}" if ctes else body
     return f"WITH {ctes} {body}" if ctes else body

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions import lines
 from fleetlens.operators import passes as V
 from fleetlens.operators import sequence as S
+from fleetlens.operators.topology import ring_arrays
 from fleetlens.plans.network_queries import _m
 from fleetlens.plans.reg import NOW, Registry, rounded
 
@@ -167,6 +169,35 @@ def _w17(p, ring):
     return S.derive_paths(p, ring)
 
 
+_LINE = """WITH RECURSIVE x AS (SELECT bus_id, route_id, collected_at//10800000 part, lat, lon, ROW_NUMBER() OVER (PARTITION BY bus_id, route_id, collected_at//10800000 ORDER BY collected_at, ingest_seq) i,
+    COUNT(*) OVER (PARTITION BY bus_id, route_id, collected_at//10800000) n FROM positions),
+  w AS (SELECT x.*, s.stop_id, DEGDIST m FROM x JOIN ring s ON s.route_id=x.route_id),
+  k AS (SELECT bus_id, route_id, part, arg_min(i, (m, i)) i FROM w GROUP BY bus_id, route_id, part, stop_id UNION SELECT bus_id, route_id, part, i FROM x WHERE i=1 OR i=n),
+  c AS (SELECT *, LEAD(i) OVER (PARTITION BY bus_id, route_id, part ORDER BY i) j FROM k),
+  r(bus_id, route_id, part, lo, hi) AS (SELECT bus_id, route_id, part, i, j FROM c WHERE j IS NOT NULL
+    UNION ALL SELECT bus_id, route_id, part, UNNEST([lo, mid]), UNNEST([mid, hi]) FROM (
+      SELECT r.bus_id, r.route_id, r.part, r.lo, r.hi, arg_max(p.i, (OFF, -p.i)) mid, MAX(OFF) most FROM r JOIN x a ON a.bus_id=r.bus_id AND a.route_id=r.route_id AND a.part=r.part AND a.i=r.lo
+        JOIN x b ON b.bus_id=r.bus_id AND b.route_id=r.route_id AND b.part=r.part AND b.i=r.hi JOIN x p ON p.bus_id=r.bus_id AND p.route_id=r.route_id AND p.part=r.part AND p.i>r.lo AND p.i<r.hi GROUP BY ALL) WHERE most > 0.00002),
+  v AS (SELECT bus_id, route_id, part, lo i FROM r UNION SELECT bus_id, route_id, part, hi FROM r UNION SELECT bus_id, route_id, part, i FROM k)
+  SELECT bus_id, route_id, part, MAX(n) n_fixes, COUNT(*) n_vertices, SUM(v.i*v.i) where_kept, ROUND(SUM(lat),6) lat_sum, ROUND(SUM(lon),6) lon_sum FROM v JOIN x USING (bus_id, route_id, part, i) GROUP BY ALL""".replace(
+    "DEGDIST", "sqrt((x.lat-s.lat)*(x.lat-s.lat)+(x.lon-s.lon)*cos(radians((x.lat+s.lat)/2))*((x.lon-s.lon)*cos(radians((x.lat+s.lat)/2))))").replace(
+    "OFF", "CASE WHEN sqrt((b.lon-a.lon)*(b.lon-a.lon)+(b.lat-a.lat)*(b.lat-a.lat)) < 1e-12 THEN sqrt((p.lon-a.lon)*(p.lon-a.lon)+(p.lat-a.lat)*(p.lat-a.lat)) "
+    "ELSE abs((p.lon-a.lon)*(b.lat-a.lat)-(p.lat-a.lat)*(b.lon-a.lon))/sqrt((b.lon-a.lon)*(b.lon-a.lon)+(b.lat-a.lat)*(b.lat-a.lat)) END")
+
+
+@R.q("f13_simplified_tracks", "positions ring", _LINE)
+def _f13(p, ring):
+    keys = ["bus_id", "route_id", "part"]
+    d = p.withColumn("part", F.floor(F.col("collected_at") / 10_800_000).cast("long"))
+    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("collected_at", "ingest_seq", "lat", "lon"))).alias("path"))
+    g = g.select(*keys, F.transform("path", lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"), v["ingest_seq"].alias("seq"))).alias("path"))
+    g = g.withColumn("seqs", F.col("path.seq")).join(ring_arrays(ring), "route_id")
+    v = lines.simplified(g).select(*keys, F.size("seqs").cast("long").alias("n_fixes"), "seqs", F.explode("path").alias("v"))
+    v = v.withColumn("i", F.array_position("seqs", F.col("v.seq")))
+    return v.groupBy(*keys).agg(F.max("n_fixes").alias("n_fixes"), F.count(F.lit(1)).alias("n_vertices"), F.sum(F.col("i") * F.col("i")).alias("where_kept"),
+                                F.round(F.sum("v.lat"), 6).alias("lat_sum"), F.round(F.sum("v.lon"), 6).alias("lon_sum"))
+
+
 _PASS = f"""v AS (SELECT id, bus_id, route_id, stop_id, stop_index, anchored_at, closest_m, LAG(stop_index) OVER w pi, LAG(anchored_at) OVER w pt, LEAD(stop_index) OVER w qi, LEAD(anchored_at) OVER w qt,
    FIRST_VALUE(CASE WHEN closest_m <= 75 THEN anchored_at END IGNORE NULLS) OVER (PARTITION BY bus_id, route_id ORDER BY anchored_at, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) nn FROM stop_visits WINDOW w AS (PARTITION BY bus_id, route_id ORDER BY anchored_at, id)),
  e AS (SELECT *, (stop_index-pi+5)%5 bk, (qi-stop_index+5)%5 fw FROM v WHERE (stop_index-pi+5)%5 BETWEEN 1 AND 2 AND anchored_at-pt <= {D}),
