@@ -158,39 +158,6 @@ def score_official(rows: DataFrame, visits: DataFrame, pos: DataFrame, seen_ms:
     return g.join(q, k, "left")
 
 
-def berth_offsets(visits: DataFrame, pos: DataFrame, ring: DataFrame, window_m: float = 40.0, min_stands: int = 5) -> DataFrame:
-    """Where vehicles really stand: signed metres along the line at each stop, and the densest window.
-
-    Offsets are rounded to decimetres and counted before the window runs, so a busy stop's window
-    orders at most the distinct offsets within its reach.
-    """
-    from pyspark.sql.window import Window
-
-    runs = frozen_runs(pos).select("bus_name", F.col("lat").alias("rla"), F.col("lon").alias("rlo"), "run_from", "run_to")
-    v = visits.where((F.col("outcome") == "stopped") & F.col("departed_at").isNotNull()).select(F.col("id").alias("visit_id"), "bus_name", "route_id", "stop_id", "stop_index",
-                                                                                            (F.col("arrived_at") - 60_000).alias("lo"), (F.col("departed_at") + 60_000).alias("hi"))
-    v = v.join(ring.select("route_id", "stop_index", F.col("lat").alias("vla"), F.col("lon").alias("vlo")), ["route_id", "stop_index"])
-    j = interval_join(v, runs, ["bus_name"], "lo", "hi", "run_from", 20 * MIN_MS).where(metres("vla", "vlo", "rla", "rlo") <= 150)
-    j = j.groupBy("visit_id", "route_id", "stop_id", "stop_index").agg(F.max_by(F.struct("rla", "rlo"), F.struct("run_to", "run_from")).alias("p"))
-    n = next_stop(ring).select("route_id", "stop_index", "next_index")
-    a = ring.select("route_id", "stop_index", F.col("lat").alias("sla"), F.col("lon").alias("slo"))
-    b = ring.select("route_id", F.col("stop_index").alias("next_index"), F.col("lat").alias("nla"), F.col("lon").alias("nlo"))
-    j = j.join(a, ["route_id", "stop_index"]).join(n, ["route_id", "stop_index"]).join(b, ["route_id", "next_index"])
-    cx = F.cos(F.radians("sla"))
-    ux, uy = (F.col("nlo") - F.col("slo")) * cx, F.col("nla") - F.col("sla")
-    px, py = (F.col("p.rlo") - F.col("slo")) * cx, F.col("p.rla") - F.col("sla")
-    # Whole decimetres, so that equal offsets count together.
-    j = j.withColumn("off", F.round((px * ux + py * uy) / F.sqrt(ux * ux + uy * uy) * 1_113_200.0).cast("long")).where(F.abs("off") <= 1500)
-    k = ["route_id", "stop_id"]
-    c = j.groupBy(*k, "off").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*k).orderBy("off").rangeBetween(0, int(window_m * 10))
-    c = c.withColumn("dens", F.sum("c").over(w))
-    g = c.groupBy(*k).agg(F.sum("c").alias("stands"), F.min_by("off", F.struct(-F.col("dens"), F.col("off"))).alias("window_from"), F.max("dens").alias("in_window"))
-    q = grouped_quantiles(c, k, "off", {"median_m": (0.5, "linear")}, weight="c").drop("_n")
-    g = g.join(q, k).where(F.col("stands") >= min_stands)
-    return g.select(*k, "stands", (F.col("window_from") / 10).alias("window_from_m"), (F.col("median_m") / 10).alias("median_m"), (F.col("in_window") / F.col("stands")).alias("share"))
-
-
 def summarise_waits(waits: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Outcome shares, first-sight miss, interval share and the shares of riders misled."""
     w = waits.withColumn("k", F.lit("all")) if not keys else waits

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import berths as B
 from fleetlens.operators import calibrate as C
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sequence as S
 from fleetlens.plans.calibrate_queries import _CH
 from fleetlens.plans.model_queries import _FANR, _P
-from fleetlens.plans.network_queries import _m
+from fleetlens.plans.network_queries import _m, _paths
 from fleetlens.plans.reg import NOW, NOW_DOW, NOW_HOUR, Registry, rounded
 
 R = Registry()
@@ -72,9 +73,44 @@ def _a47(c, a, pos):
     return rounded(Q.score_official(rows, a, pos), 5)
 
 
-@R.q("a48_berth_offsets", "stop_visits positions ring")
-def _a48(v, pos, ring):
-    return Q.berth_offsets(v, pos, ring)
+# Stands moved off their stops by an amount that differs by stop and vehicle, so that berths of all kinds occur.
+_MOVED = "((last_stop_id % 5) * 0.0001e0 + (bus_id % 7) * 0.00003e0 + CASE WHEN bus_id % 11 = 0 THEN 0.0005e0 ELSE 0e0 END)"
+_XY = "6371000*pi()/180"
+_A48 = f"""WITH kx AS (SELECT {_XY} my, {_XY}*cos(radians(41.31e0)) mx),
+  vx AS (SELECT a.route_id, a.stop_index*2 i, a.lat, a.lon FROM ring a UNION ALL SELECT a.route_id, a.stop_index*2+1, (a.lat+b.lat)/2+0.0003e0, (a.lon+b.lon)/2 FROM ring a JOIN ring b ON b.route_id=a.route_id AND b.stop_index=(a.stop_index+1)%a.ring_size),
+  sg AS (SELECT route_id, i, lon*mx ax, lat*my ay, LEAD(lon) OVER w*mx bx, LEAD(lat) OVER w*my byy FROM vx, kx WINDOW w AS (PARTITION BY route_id ORDER BY i)),
+  sl AS (SELECT *, sqrt((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)) len FROM sg WHERE bx IS NOT NULL),
+  ln AS (SELECT *, COALESCE(SUM(len) OVER (PARTITION BY route_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) s0, SUM(len) OVER (PARTITION BY route_id) total FROM sl),
+  ps AS (SELECT bus_name, lat+{_MOVED} lat, lon, collected_at, ingest_seq FROM positions),
+  rr AS (SELECT *, SUM(CASE WHEN lat=pl AND lon=po THEN 0 ELSE 1 END) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) run FROM (
+    SELECT *, LAG(lat) OVER w pl, LAG(lon) OVER w po FROM ps WINDOW w AS (PARTITION BY bus_name ORDER BY collected_at, ingest_seq))),
+  st AS (SELECT v.id, v.route_id, v.stop_id, run, MIN(p.collected_at) begun, MIN(p.lat) lat, MIN(p.lon) lon FROM stop_visits v JOIN rr p ON p.bus_name=v.bus_name AND p.collected_at BETWEEN v.pinned_at-90000 AND v.departed_at+120000
+    WHERE outcome='stopped' AND pinned_at IS NOT NULL AND departed_at IS NOT NULL GROUP BY ALL HAVING MAX(p.collected_at)-MIN(p.collected_at) >= 10000),
+  pt AS (SELECT DISTINCT route_id, lat, lon FROM st UNION SELECT r.route_id, s.lat, s.lon FROM (SELECT DISTINCT route_id FROM ring) r, stops s),
+  pq AS (SELECT pt.*, ln.s0, ln.len, ln.total, ax, ay, bx, byy, lon*mx x, lat*my y, GREATEST(0, LEAST(1, CASE WHEN len>0 THEN ((lon*mx-ax)*(bx-ax)+(lat*my-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)) ELSE 0 END)) t FROM pt JOIN ln USING (route_id), kx),
+  pr AS (SELECT route_id, lat, lon, MIN(total) total, MIN((sqrt((x-(ax+t*(bx-ax)))*(x-(ax+t*(bx-ax)))+(y-(ay+t*(byy-ay)))*(y-(ay+t*(byy-ay)))), s0+t*len)) z FROM pq GROUP BY ALL),
+  of AS (SELECT st.*, p.z[1] d, h.z[1] hd, h.z[2] hs, p.z[2]-h.z[2] - floor((p.z[2]-h.z[2])/p.total+0.5)*p.total AS off_m, sqrt((st.lon-s.lon)*mx*((st.lon-s.lon)*mx)+(st.lat-s.lat)*my*((st.lat-s.lat)*my)) dd
+    FROM st JOIN stops s USING (stop_id) JOIN pr p ON p.route_id=st.route_id AND p.lat=st.lat AND p.lon=st.lon JOIN pr h ON h.route_id=st.route_id AND h.lat=s.lat AND h.lon=s.lon, kx),
+  la AS (SELECT id, route_id, stop_id, arg_max(off_m, begun) off_m, arg_max(hs, begun) hs, arg_max(hd, begun) hd FROM of WHERE d<=60 AND dd<=120 AND ABS(off_m)<=120 GROUP BY ALL),
+  ob AS (SELECT * FROM la WHERE hd<=60 AND ABS(off_m)<250),
+  dn AS (SELECT *, COUNT(*) OVER (PARTITION BY route_id, stop_id ORDER BY off_m RANGE BETWEEN CURRENT ROW AND 40e0 FOLLOWING) dens FROM ob),
+  wn AS (SELECT route_id, stop_id, COUNT(*) n, arg_min(off_m, (-dens, off_m)) lo, MAX(dens) in_window, MIN(hs) hs FROM dn GROUP BY ALL HAVING COUNT(*) >= 10),
+  sm AS (SELECT o.route_id, o.stop_id, MAX(off_m) FILTER (off_m>=lo AND off_m-lo<=40) hi, COUNT(*) FILTER (off_m<lo) behind, QUANTILE_CONT(off_m,0.9) FILTER (off_m>=lo AND off_m-lo<=40) berth_m, QUANTILE_CONT(off_m,0.9)-QUANTILE_CONT(off_m,0.1) span_m
+    FROM ob o JOIN wn USING (route_id, stop_id) GROUP BY ALL),
+  be AS (SELECT wn.*, sm.* EXCLUDE (route_id, stop_id), t.total, (hs+berth_m)-floor((hs+berth_m)/t.total)*t.total m FROM wn JOIN sm USING (route_id, stop_id) JOIN (SELECT DISTINCT route_id, total FROM ln) t USING (route_id)),
+  bp AS (SELECT be.*, (ay+(m-s0)/len*(byy-ay))/my lat, (ax+(m-s0)/len*(bx-ax))/mx lon FROM be JOIN ln USING (route_id), kx WHERE s0+len >= m QUALIFY ROW_NUMBER() OVER (PARTITION BY route_id, stop_id ORDER BY s0)=1),
+  rv AS (SELECT b.route_id, b.stop_id, MIN((sqrt((b.lon-s.lon)*mx*((b.lon-s.lon)*mx)+(b.lat-s.lat)*my*((b.lat-s.lat)*my)), s.stop_id)) z FROM bp b JOIN stops s ON s.stop_id<>b.stop_id, kx GROUP BY ALL),
+  ou AS (SELECT bp.*, n-in_window-behind AS ahead, in_window/(n-behind) AS share, in_window/n plain_share, CASE WHEN z[1]<=400 THEN z[2] END rival_id, CASE WHEN z[1]<=400 THEN z[1] END rival_m FROM bp LEFT JOIN rv USING (route_id, stop_id))
+  SELECT route_id, stop_id, n, CAST(in_window AS BIGINT) in_window, behind, CAST(ahead AS BIGINT) ahead, ROUND(lo,4) window_from_m, ROUND(hi,4) window_to_m, ROUND(share,6) share, ROUND(plain_share,6) plain_share, ROUND(berth_m,4) berth_m, ROUND(span_m,4) span_m, ROUND(lat,6) lat, ROUND(lon,6) lon,
+    rival_id, ROUND(rival_m,3) rival_m, COALESCE(rival_m > ABS(berth_m)*1.5, true) clear_of_rivals, n>=20 AND in_window>=20 AND share>=0.75 AND plain_share>=0.5 AND ahead<=0.1*n AND ABS(berth_m)>=35 AND COALESCE(rival_m > ABS(berth_m)*1.5, true) qualifies FROM ou"""
+
+
+@R.q("a48_berth_offsets", "stop_visits positions ring stops", _A48)
+def _a48(v, pos, ring, stops):
+    moved = pos.withColumn("lat", F.col("lat") + F.expr(_MOVED.replace("e0", "D")))
+    b = B.berth_offsets(v, moved, stops, _paths(ring))
+    return b.select(*B.K, "n", "in_window", "behind", "ahead", *[F.round(c, 4).alias(c) for c in ("window_from_m", "window_to_m")], F.round("share", 6).alias("share"), F.round("plain_share", 6).alias("plain_share"),
+                    F.round("berth_m", 4).alias("berth_m"), F.round("span_m", 4).alias("span_m"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "rival_id", F.round("rival_m", 3).alias("rival_m"), "clear_of_rivals", "qualifies")
 
 
 _SH = ", ".join(f"ROUND(AVG(CASE WHEN {c} THEN 1 ELSE 0 END),7) {n}" for n, c in [("boarded", "outcome='boarded'"), ("missed", "outcome='missed'"), ("gave_up", "outcome='gave_up'"), ("interval_held", "interval_held"), ("jumped", "jumped"), ("reversed", "reversed"), ("stranded", "stranded")])
