@@ -47,19 +47,27 @@ lv as (select arg_min(level, k) as level from (
   select 0 as k, any_value(whole) / any_value(all_w) as level, min(2.0 * source_size / w) as next_cap from c
   union all select k, (whole - capped) / (all_w - capped_w), lead(2.0 * source_size / w) over (order by k) from c where all_w > capped_w) where next_cap is null or level <= next_cap),
 g as (select source, source_size, least(2.0 * source_size, w * level) as target from c, lv),
-p as (select source, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate from g),
-x as (select d.doc_id, d.source, size, u, source_size, target, floor(rate) as certain, rate - floor(rate) as p, target - floor(rate) * source_size as gap
-  from d join p on d.source is not distinct from p.source),
-o as (select *, (u / (1 - u)) / (p / (1 - p)) as q from x where p > 0 and size > 0),
-l as (select source, any_value(gap) as gap, list(struct_pack(doc_id := doc_id, size := size) order by q, u, doc_id) as docs from o group by source),
-walk(source, docs, k, gap, chosen) as (
-  select source, docs, 0, gap, null::BIGINT from l
+k as (select *, case when size > 0 then length(bin(size)) * 8 + (case when length(bin(size)) > 4 then size >> (length(bin(size)) - 4) else size << (4 - length(bin(size))) end) % 8 else 0 end as class from d),
+cw as (select source, class, sum(size) as words, pow(2.0, 0.125 * class / 8) as a from k where class > 0 group by source, class),
+cl as (select w.source, class, a, (target - 2.0 * coalesce(sum(words) over (dn rows between unbounded preceding and 1 preceding), 0)) / sum(a * words) over (dn rows between current row and unbounded following) as level
+  from cw w join g on w.source is not distinct from g.source window dn as (partition by w.source order by class desc)),
+lf as (select source, arg_max(level, class) filter (level * a <= 2.0) as level from cl group by source),
+ex as (select cl.source, class, greatest(0.0, least(2.0, coalesce(lf.level * a, 2.0))) as expected from cl join lf on cl.source is not distinct from lf.source),
+x as (select k.doc_id, k.source, size, u, source_size, target, floor(coalesce(expected, 0.0)) as certain, coalesce(expected, 0.0) - floor(coalesce(expected, 0.0)) as p
+  from k join g on k.source is not distinct from g.source left join ex on k.source is not distinct from ex.source and k.class = ex.class),
+y as (select *, p > 0 and size > 0.001 * target as large, (u / (1 - u)) / (p / (1 - p)) as q from x),
+l as (select source, list(struct_pack(doc_id := doc_id, size := size, p := p) order by size desc, u desc, doc_id desc) as docs from y where large group by source),
+walk(source, docs, k, behind, chosen) as (
+  select source, docs, 0, 0.0::double, null::BIGINT from l
   union all
-  select source, docs, k + 1, case when docs[k + 1].size <= gap then gap - docs[k + 1].size else gap end,
-    case when docs[k + 1].size <= gap then docs[k + 1].doc_id end from walk where k < len(docs)),
-t as (select distinct chosen from walk where chosen is not null)
-select x.doc_id, x.size, x.source_size, x.target, (x.size * (x.certain + case when t.chosen is null then 0 else 1 end))::BIGINT as taken, x.source
-from x left join t on x.doc_id = t.chosen
+  select source, docs, k + 1, case when behind + docs[k + 1].p * docs[k + 1].size >= docs[k + 1].size / 2 then behind + docs[k + 1].p * docs[k + 1].size - docs[k + 1].size else behind + docs[k + 1].p * docs[k + 1].size end,
+    case when behind + docs[k + 1].p * docs[k + 1].size >= docs[k + 1].size / 2 then docs[k + 1].doc_id end from walk where k < len(docs)),
+eb as (select source, arg_max(behind, k) as behind from walk group by source),
+gp as (select y.source, coalesce(sum(p * size) filter (p > 0 and not large), 0) + coalesce(any_value(behind), 0) as gap from y left join eb on y.source is not distinct from eb.source group by y.source),
+sm as (select y.doc_id, size, gap, sum(size) over (partition by y.source order by q, u, y.doc_id rows unbounded preceding) as running from y join gp on y.source is not distinct from gp.source where p > 0 and not large),
+t as (select chosen from walk where chosen is not null union all select doc_id from sm where running - size / 2 <= gap)
+select y.doc_id, y.size, y.source_size, y.target, (y.size * (y.certain + case when t.chosen is null then 0 else 1 end))::BIGINT as taken, y.source
+from y left join t on y.doc_id = t.chosen
 """
 
 _OP3 = """
