@@ -181,23 +181,6 @@ def band_coverage(pairs: DataFrame, truth: str = "det") -> DataFrame:
     return x.select("route", "horizon", "n", (F.col("i") / n).alias("covered"), (F.col("b") / n).alias("early"), (F.col("a") / n).alias("late"), (F.col("w") / n).alias("width_sec"))
 
 
-def eos_flag_quality(pos: DataFrame, census: DataFrame, ks: tuple[int, ...] = (2, 3, 5, 10)) -> DataFrame:
-    """Does a silent official feed for k minutes foretell that a vehicle's presence is ending (A52)?
-
-    A minute of a presence run is flagged when the vehicle had an official answer earlier in the run
-    and none in the last k minutes; it is right when the run ends within the next k.
-    """
-    runs = presence_runs(pos).where(~F.col("censored")).withColumn("bus", E.norm_bus_name("bus_name"))
-    m = runs.withColumn("m", F.explode(F.sequence(F.floor(F.col("from_ms") / MIN_MS), F.floor(F.col("to_ms") / MIN_MS)))).withColumn("at", (F.col("m") + 1) * MIN_MS - 1)
-    c = census.where(F.col("bus_name").isNotNull()).select(E.norm_bus_name("bus_name").alias("bus"), "sampled_at").distinct()
-    j = asof_prev(m.select("bus", "from_ms", "to_ms", "at"), c, ["bus"], "at", "sampled_at", 120 * MIN_MS)
-    last = F.when(F.col("prev._rt") >= F.col("from_ms"), F.col("prev._rt"))
-    j = j.withColumn("quiet", F.col("at") - last).withColumn("left", F.col("to_ms") - F.col("at")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    flag, end = F.coalesce(F.col("quiet") >= F.col("k") * MIN_MS, F.lit(False)), F.col("left") <= F.col("k") * MIN_MS
-    g = j.groupBy("k").agg(F.count(F.lit(1)).alias("minutes"), _n(flag).alias("flagged"), _n(end).alias("ending"), _n(flag & end).alias("hits"))
-    return g.withColumn("precision", F.when(F.col("flagged") > 0, F.col("hits") / F.col("flagged"))).withColumn("recall", F.when(F.col("ending") > 0, F.col("hits") / F.col("ending")))
-
-
 def baseline_stops(visits: DataFrame) -> DataFrame:
     """Per stop: visits, P(stop), mean stand and its correlation with the leader's headway."""
     v = scan.shifted(visits, ["route_id", "stop_id"], ["arrived_at", "id"], {"lead_at": "departed_at"})

@@ -8,6 +8,7 @@ from fleetlens.operators import berths as B
 from fleetlens.operators import calibrate as C
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sequence as S
+from fleetlens.operators import service_end as SE
 from fleetlens.plans.calibrate_queries import _CH
 from fleetlens.plans.model_queries import _FANR, _P
 from fleetlens.plans.network_queries import _m, _paths
@@ -127,9 +128,51 @@ def _a51(p):
     return rounded(Q.band_coverage(p).withColumn("width_sec", F.round("width_sec", 5)))
 
 
-@R.q("a52_eos_flag_quality", "positions census")
-def _a52(pos, c):
-    return Q.eos_flag_quality(pos, c)
+# Presence of up to an hour and a half from each event, a fix a minute, and a feed that names the vehicle in most minutes, less
+# and less towards the end of some runs.
+_PRES = "SELECT event_id*100+k ingest_seq, bus_name, route_id, at_ms+k*60000 collected_at, event_id, k FROM (SELECT e.*, {SEQ(90)} k FROM ev e) x WHERE k <= 10 + event_id % 75"
+_EOS = f"""WITH pres AS ({_PRES}),
+  fd AS (SELECT bus_name bus, collected_at+7000 AS "at", CAST((event_id*7+k*13)%1500 AS DOUBLE) sec FROM pres WHERE (event_id+k)%7 < 5 AND NOT (event_id%3=0 AND k >= event_id%75)),
+  rn AS (SELECT *, SUM(CASE WHEN collected_at-pt <= 600000 THEN 0 ELSE 1 END) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) run FROM (SELECT *, LAG(collected_at) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) pt FROM pres)),
+  ru AS (SELECT bus_name bus, run, MIN(collected_at) b, MAX(collected_at) e, arg_max(route_id, (collected_at, ingest_seq)) route_id FROM rn GROUP BY ALL),
+  lm AS (SELECT MIN("at") f0, LEAST(MAX("at"), (SELECT MAX(collected_at) FROM pres)) f1 FROM fd),
+  ls AS (SELECT bus, {{LDAY(e-14400000)}} AS day, arg_max(route_id, e) route_id, arg_max(b, e) b, MAX(e) e FROM ru GROUP BY ALL),
+  mo AS (SELECT bus, route_id, 'eos' kind, e AS "at" FROM ls, lm WHERE f1-e >= 1200000 AND e-b >= 900000
+    UNION ALL SELECT bus, route_id, 'control', b+900000+i*900000 FROM (SELECT *, UNNEST(range((e-1800000-b-900000)//900000+1)) i FROM ru WHERE e-1800000 >= b+900000)),
+  ac AS (SELECT DISTINCT "at"//60000 m FROM fd),
+  cv AS (SELECT bus, kind, "at" FROM (SELECT mo.*, UNNEST(range(("at"-900000)//60000, "at"//60000+1)) m FROM mo, lm WHERE "at"-900000 >= f0) LEFT JOIN ac USING (m) GROUP BY ALL HAVING COUNT(ac.m) >= 0.8*COUNT(*)),
+  wi AS (SELECT mo.* FROM mo JOIN cv USING (bus, kind, "at")),
+  ag AS (SELECT w.bus, w.kind, w."at", COUNT(*) FILTER (f."at" <= w."at") AS n_rows, MAX(sec) FILTER (f."at" <= w."at"-600000) early_sec, MAX(sec) FILTER (f."at" <= w."at" AND f."at" > w."at"-300000) late_sec,
+    COUNT(*) FILTER (f."at" <= w."at" AND f."at"+sec*1000 > w."at"+60000) past_end, COUNT(*) FILTER (f."at" > w."at" AND kind='eos') after_end FROM wi w JOIN fd f ON f.bus=w.bus AND f."at" BETWEEN w."at"-900000 AND w."at"+1800000 GROUP BY ALL),
+  gp AS (SELECT w.*, CASE WHEN w."at"-f."at" <= 86400000 THEN (w."at"-f."at")/60000e0 END gap_min FROM wi w ASOF LEFT JOIN fd f ON f.bus=w.bus AND f."at" <= w."at"),
+  win AS (SELECT g.*, COALESCE(n_rows,0) AS n_rows, early_sec, late_sec, COALESCE(past_end,0) past_end, COALESCE(after_end,0) after_end FROM gp g LEFT JOIN ag USING (bus, kind, "at"))"""
+
+
+def _eos(ev):
+    p = ev.select("event_id", "bus_name", "route_id", "at_ms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(89).cast("long"))).alias("k")).where(F.col("k") <= 10 + F.col("event_id") % 75)
+    p = p.withColumn("ingest_seq", F.col("event_id") * 100 + F.col("k")).withColumn("collected_at", F.col("at_ms") + F.col("k") * 60_000)
+    kept = ((F.col("event_id") + F.col("k")) % 7 < 5) & ~((F.col("event_id") % 3 == 0) & (F.col("k") >= F.col("event_id") % 75))
+    feed = p.where(kept).select(F.col("bus_name").alias("bus"), (F.col("collected_at") + 7000).alias("at"), ((F.col("event_id") * 7 + F.col("k") * 13) % 1500).cast("double").alias("sec"))
+    return SE.eos_windows(p, feed)
+
+
+@R.q("j24_eos_windows", "ev", _EOS + """ SELECT bus, route_id, kind, "at", ROUND(gap_min,6) gap_min, n_rows, early_sec, late_sec, past_end, after_end FROM win""")
+def _j24(ev):
+    return _eos(ev).select("bus", "route_id", "kind", "at", F.round("gap_min", 6).alias("gap_min"), F.col("rows").alias("n_rows"), "early_sec", "late_sec", "past_end", "after_end")
+
+
+@R.q("a52_eos_flag_quality", "ev", _EOS + """, x AS (SELECT kind, k, gap_min IS NULL OR gap_min >= k f FROM win, (SELECT UNNEST([2,3,5,10]) k)),
+  y AS (SELECT k, COUNT(*) FILTER (kind='eos') AS ends, COUNT(*) FILTER (kind='control') AS controls, COUNT(*) FILTER (kind='eos' AND f) AS hits, COUNT(*) FILTER (kind='control' AND f) false_flags FROM x GROUP BY k)
+  SELECT *, ROUND(CASE WHEN hits+false_flags>0 THEN hits/(hits+false_flags) END,6) "precision", ROUND(CASE WHEN ends>0 THEN hits/ends END,6) recall FROM y""")
+def _a52(ev):
+    return rounded(SE.eos_flag_quality(_eos(ev)), 6)
+
+
+@R.q("a52_eos_summary", "ev", _EOS + """, r AS (SELECT *, UNNEST([route_id, NULL]) route FROM win) SELECT route, kind, COUNT(*) windows, COUNT(*) FILTER (n_rows=0) silent, COUNT(*) FILTER (early_sec IS NOT NULL AND late_sec IS NULL) early_only,
+  COUNT(*) FILTER (past_end>0) promising, CAST(SUM(past_end) AS BIGINT) rows_past_end, COUNT(*) FILTER (after_end>0) named_after, ROUND(QUANTILE_CONT(COALESCE(gap_min,999),0.25),6) gap_p25, ROUND(QUANTILE_CONT(COALESCE(gap_min,999),0.5),6) gap_p50,
+  ROUND(QUANTILE_CONT(COALESCE(gap_min,999),0.75),6) gap_p75, ROUND(QUANTILE_CONT((early_sec-late_sec)/60,0.5),6) shrink_p50 FROM r GROUP BY ALL""")
+def _a52s(ev):
+    return rounded(SE.eos_summary(_eos(ev)), 6)
 
 
 @R.q("a53_baseline_stops", "stop_visits", """SELECT route_id, stop_id, COUNT(*) visits, ROUND(COUNT(*) FILTER (outcome='stopped')/GREATEST(1,COUNT(*) FILTER (outcome IN ('stopped','passed'))),7) p_stop, ROUND(AVG(CASE WHEN outcome='stopped' THEN stand_sec END),6) mean_stand,
