@@ -250,20 +250,23 @@ def _m9s(p):
     return rounded(M.covariate_study(d, "y", {"promise": ["a"], "route": ["c"]}), 6)
 
 
-_J23 = """WITH nm AS (SELECT DISTINCT p_name, p_name pn FROM part), nt AS (SELECT DISTINCT pn, len(list_distinct(string_split(lower(p_name),' '))) m, UNNEST(list_distinct(string_split(lower(p_name),' '))) w FROM nm),
-  q AS (SELECT p_partkey qid, lower(CASE p_partkey%3 WHEN 0 THEN SUBSTR(p_name,1,LENGTH(p_name)-2) || SUBSTR(p_name,LENGTH(p_name),1) || SUBSTR(p_name,LENGTH(p_name)-1,1) WHEN 1 THEN SUBSTR(p_name,1,2) || SUBSTR(p_name,4) ELSE p_name END) q FROM part),
+_J23 = """WITH nm AS (SELECT DISTINCT p_name pn FROM part), nt AS (SELECT DISTINCT pn, len(list_distinct(string_split(lower(pn),' '))) m, UNNEST(list_distinct(string_split(lower(pn),' '))) w FROM nm),
+  q AS (SELECT p_partkey qid, strip_accents(lower(CASE p_partkey%4 WHEN 0 THEN SUBSTR(p_name,1,LENGTH(p_name)-2) || SUBSTR(p_name,LENGTH(p_name),1) || SUBSTR(p_name,LENGTH(p_name)-1,1) WHEN 1 THEN SUBSTR(p_name,1,2) || SUBSTR(p_name,4)
+    WHEN 2 THEN SUBSTR(p_name,1,2) || SUBSTR(p_name,4,LENGTH(p_name)-4) || 'xz' ELSE replace(p_name,'e','é') END)) q FROM part),
   qt AS (SELECT qid, len(list_distinct(string_split(q,' '))) n, UNNEST(list_distinct(string_split(q,' '))) t FROM q),
-  h AS (SELECT qid, n, pn, m, t, MIN(CASE WHEN t=w THEN 0 ELSE 1 END) e FROM qt JOIN nt ON t=w OR (LENGTH(t)>=4 AND LENGTH(w)>=4 AND damerau_levenshtein(t,w)<=1) GROUP BY ALL),
-  s AS (SELECT qid, pn, ROUND(COUNT(*)/n-0.1e0*SUM(e)-0.01e0*(m-LEAST(COUNT(*),m)),6) sc, SUM(e) e FROM h GROUP BY qid, n, pn, m)
-  SELECT q.qid query_id, MAX(sc) score FROM q LEFT JOIN s ON s.qid=q.qid GROUP BY q.qid"""
+  tw AS (SELECT t, w, CASE WHEN t=w THEN 0 ELSE damerau_levenshtein(t,w) END e FROM (SELECT DISTINCT t FROM qt), (SELECT DISTINCT w FROM nt) WHERE t=w OR (LENGTH(t)>=4 AND LENGTH(w)>=4 AND damerau_levenshtein(t,w) <= CASE WHEN LENGTH(t)>=8 THEN 2 ELSE 1 END)),
+  h AS (SELECT qid, n, pn, m, t, MIN(e) e FROM qt JOIN tw USING (t) JOIN nt USING (w) GROUP BY ALL),
+  s AS (SELECT qid, pn, ROUND(COUNT(*)/n-0.1e0*SUM(e)-0.01e0*(m-LEAST(COUNT(*),m)),6) sc, SUM(e) e FROM h GROUP BY qid, n, pn, m),
+  b AS (SELECT qid, pn, sc, e FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY qid ORDER BY sc DESC, pn)=1)
+  SELECT q.qid query_id, b.pn AS name_id, b.sc AS score, CAST(b.e AS BIGINT) edits FROM q LEFT JOIN b ON b.qid=q.qid"""
 
 
 @R.q("j23_resolve_queries", "part", _J23)
 def _j23(part):
-    # Searches are part names with slips; places are the distinct part names.
-    names = part.select(F.col("p_name").alias("name")).distinct().withColumn("name_id", F.xxhash64("name")).select("name_id", "name")
-    n = F.length("p_name")
-    slip = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.substring(F.col("p_name"), F.lit(1), n - 2), F.substring(F.col("p_name"), n, F.lit(1)), F.substring(F.col("p_name"), n - 1, F.lit(1)))).when(
-        F.col("p_partkey") % 3 == 1, F.concat(F.substring("p_name", 1, 2), F.substring(F.col("p_name"), F.lit(4), n))).otherwise(F.upper("p_name"))
-    r = matching.resolve_queries(part.select(F.col("p_partkey").alias("query_id"), slip.alias("q")), names)
-    return r.select("query_id", "score")
+    # Searches are part names with slips of one and two edits and with accents; places are the distinct part names.
+    names = part.select(F.col("p_name").alias("name_id"), F.col("p_name").alias("name")).distinct()
+    n, p, kind = F.length("p_name"), F.col("p_name"), F.col("p_partkey") % 4
+    at = lambda a, b: F.substring(p, F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b)
+    slip = F.when(kind == 0, F.concat(at(1, n - 2), at(n, 1), at(n - 1, 1))).when(kind == 1, F.concat(at(1, 2), at(4, n))).when(
+        kind == 2, F.concat(at(1, 2), at(4, n - 4), F.lit("xz"))).otherwise(F.replace(p, F.lit("e"), F.lit("é")))
+    return matching.resolve_queries(part.select(F.col("p_partkey").alias("query_id"), slip.alias("q")), names)
