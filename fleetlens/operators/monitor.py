@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens.functions import clock
 from fleetlens.operators import scan
-from fleetlens.operators.asof import asof_next_any
-from fleetlens.session import materialize
+from fleetlens.operators.runs import map_runs
 
 IMMINENT_SEC = 120
 CATASTROPHIC_SEC = 180
@@ -53,44 +54,34 @@ def qualifying_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("q", vanishing_jumps(F.col("jumps"))).where(F.size("q") > 0).withColumn("worst", F.element_at("q", 1)).drop("q")
 
 
-def _cooled(q: DataFrame) -> DataFrame:
-    """Rows of ``q`` (line, id, t) that start on their line or come a cooldown after the last such row.
-
-    Every run points to the run that would follow it; what a line's first run reaches is found by
-    doubling the pointers, a chain of n in log2(n) joins on unique keys.
-    """
-    nxt = asof_next_any(q.withColumn("_free", F.col("t") + COOLDOWN_MS), q, ["line"], "_free", "t", ["id"], "id")
-    ptr = materialize(nxt.select("line", "id", "t", F.col("next.id").alias("to")))
-    reached = ptr.groupBy("line").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
-    hop = ptr.where(F.col("to").isNotNull()).select("line", "id", "to")
-    while not hop.isEmpty():
-        step = reached.join(hop, ["line", "id"]).select("line", F.col("to").alias("id"))
-        reached = materialize(reached.unionByName(step).distinct())
-        b = hop.select("line", F.col("id").alias("to"), F.col("to").alias("_to2"))
-        hop = materialize(hop.join(b, ["line", "to"]).select("line", "id", F.col("_to2").alias("to")))
-    return ptr.join(reached, ["line", "id"], "left_semi").select("line", "id", "t")
+def _sent(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """The alerts sent in whole segments, in order of arrival."""
+    keep = []
+    begins = set(starts.tolist())
+    for i, (line, t, day) in enumerate(zip(pdf["line"], pdf["t"], pdf["day_no"], strict=True)):
+        if i in begins:
+            last, today, n = {}, None, 0
+        if day != today:
+            today, n = day, 0
+        if n < MAX_PER_DAY and t - last.get(line, t - COOLDOWN_MS) >= COOLDOWN_MS:
+            last[line], n = t, n + 1
+            keep.append(i)
+    return pdf.iloc[keep][["line", "id", "t"]]
 
 
 def emit_alerts(runs: DataFrame, received: str = "received_at") -> DataFrame:
     """Apply the six-hour line cooldown and the daily cap, in arrival order.
 
-    Only an alert that is sent starts a cooldown, and from a day's last allowed alert on nothing is
-    sent. Days are closed so until nothing changes: the first day is right after the first round, and
-    each day after the one before it, so this ends with the only answer that fits both rules.
+    Only an alert that is sent starts a cooldown, and the cap counts all lines of a day, so a day's answer hangs on
+    the days before it, but for one thing: where nothing qualifies for six hours across a change of day, no
+    cooldown and no count reaches over. Runs are cut there, and a segment is short (service sleeps at night) and folded by itself.
     """
-    q = materialize(qualifying_runs(runs).select("line", F.col("id"), F.col(received).cast("long").alias("t")).withColumn("day", clock.local_day("t")))
-    w = Window.partitionBy("day").orderBy("t", "id")
-    closed, seen = None, None
-    while True:
-        left = q if closed is None else q.join(closed, "day", "left").where(
-            F.col("end").isNull() | (F.struct("t", "id") <= F.col("end"))).drop("end")
-        sent = materialize(_cooled(left.select("line", "id", "t")).withColumn("day", clock.local_day("t")).withColumn("_n", F.row_number().over(w)))
-        closed = materialize(sent.where(F.col("_n") == MAX_PER_DAY).select("day", F.struct("t", "id").alias("end")))
-        mark = tuple(closed.agg(F.count("*"), F.sum(F.xxhash64("day", "end").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
-    return sent.where(F.col("_n") <= MAX_PER_DAY).select("line", "day", "id", F.col("t").alias(received))
+    q = qualifying_runs(runs).select("line", F.col("id"), F.col(received).cast("long").alias("t")).withColumn("day", clock.local_day("t"))
+    d = scan.shifted(q.withColumn("_all", F.lit(0)), ["_all"], ["t", "id"], {"_pt": "t", "_pd": "day"})
+    d = d.withColumn("_new", F.col("_pt").isNull() | ((F.col("t") - F.col("_pt") >= COOLDOWN_MS) & (F.col("day") != F.col("_pd"))))
+    d = scan.islands(d, ["_all"], ["t", "id"], "_new", "segment").withColumn("day_no", F.datediff("day", F.lit("1970-01-01")))
+    sent = map_runs(d.select("segment", "line", "id", "t", "day_no"), ["segment"], ["t", "id"], _sent, "line string, id long, t long")
+    return sent.select("line", clock.local_day("t").alias("day"), "id", F.col("t").alias(received))
 
 
 def resolve_alerts(runs: DataFrame) -> DataFrame:

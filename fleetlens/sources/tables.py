@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,10 +14,30 @@ from fleetlens.functions import clock
 from fleetlens.operators.grain import pick, top_n
 
 
-def append_table(df: DataFrame, path: str, time: str, partition: str = "day") -> None:
-    """Append rows to their local-day partitions."""
+def append_table(df: DataFrame, path: str, time: str, batch: str, partition: str = "day") -> None:
+    """Append the rows of one named batch to their local-day partitions.
+
+    A batch owns a folder in each day it has rows of, and writing it again replaces these folders, so a job that is
+    repeated after a failure leaves every row once. Days that an earlier attempt wrote and this one does not are emptied."""
     d = df if partition in df.columns else df.withColumn(partition, clock.local_day(time))
-    d.write.mode("append").partitionBy(partition).parquet(path)
+    spark = df.sparkSession
+    try:
+        old = spark.read.parquet(path).where(F.col("batch") == batch).select(partition).distinct()
+    except AnalysisException:  # the first batch of the table
+        old = None
+    d = d.withColumn("batch", F.lit(batch))
+    if old is not None:
+        gone = [r[0] for r in old.join(d.select(partition).distinct(), partition, "left_anti").collect()]  # days of one batch
+        for day in gone:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={day}/batch={batch}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "batch").parquet(path)
+
+
+def compact(spark: SparkSession, path: str, into: str, partition: str = "day", rows_per_file: int = 5_000_000) -> None:
+    """The table rewritten with few files a day, under another path: batches of a day become one, called ``compacted``."""
+    d = spark.read.parquet(path).withColumn("batch", F.lit("compacted"))
+    d.repartition(partition, F.floor(F.rand(7) * 8)).write.option("maxRecordsPerFile", rows_per_file).partitionBy(partition, "batch").parquet(into)
 
 
 def append_stream(df: DataFrame, path: str, time: str, checkpoint: str, trigger: dict | None = None):

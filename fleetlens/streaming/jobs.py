@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -162,23 +163,35 @@ def checkpoint_clock(events: DataFrame, origin: int, release: int) -> DataFrame:
 SPEED_WINDOW_MS, SPEED_GAP_MS = 30_000, 20_000
 
 
+def _trailing_speed(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> float | None:
+    """Metres a second over the window that ends at the last fix; null for a short or a standing one.
+
+    The way is a curve over time: its metres and its place at the window's start are read off by interpolation."""
+    start = max(t[0], t[-1] - SPEED_WINDOW_MS)
+    if t[-1] - start < 25_000:
+        return None
+    steps = np.hypot(np.diff(lat), np.diff(lon) * np.cos(np.radians((lat[1:] + lat[:-1]) / 2))) * 111_320.0
+    way = np.concatenate([[0.0], np.cumsum(steps)])
+    la, lo, before = (float(np.interp(start, t, v)) for v in (lat, lon, way))
+    inside = t > start
+    reach = np.hypot(lat[inside] - la, (lon[inside] - lo) * np.cos(np.radians((lat[inside] + la) / 2))) * 111_320.0
+    return (float(way[-1]) - before) / ((t[-1] - start) / 1000) if reach.max() >= 15 else None
+
+
 def _fold_speed(st: list | None, row: tuple):
-    """State: the fixes of the window and one before it. A late or repeated fix changes nothing."""
+    """State: the fixes that the next window may need. A late or repeated fix changes nothing."""
     t, lat, lon = row
-    tail = st or []
-    if tail and t <= tail[-1][0]:
-        return tail, [(t, None)]
-    if tail and (t - tail[-1][0] > SPEED_GAP_MS or apart(*tail[-1][1:], lat, lon) > 50 * (t - tail[-1][0]) / 1000):
-        tail = []
-    start = t - SPEED_WINDOW_MS
-    inside = [p for p in tail if p[0] > start]
-    tail = [*[p for p in tail if p[0] <= start][-1:], *inside, [t, lat, lon]]
-    origin, metres, ms, extent = None, 0.0, 0, 0.0
-    for (a, la, lo), (b, lb, ob) in zip(tail, tail[1:]):
-        part = (b - max(a, start)) / (b - a)
-        origin = origin or (lb + (la - lb) * part, ob + (lo - ob) * part)
-        metres, ms, extent = metres + apart(la, lo, lb, ob) * part, ms + b - max(a, start), max(extent, apart(*origin, lb, ob))
-    return tail, [(t, metres / (ms / 1000) if ms >= 25_000 and extent >= 15 else None)]
+    known = np.array(st or [], dtype=float).reshape(-1, 3)
+    if len(known) and t <= known[-1, 0]:
+        return st, [(t, None)]
+    if len(known):
+        gap = t - known[-1, 0]
+        if gap > SPEED_GAP_MS or apart(known[-1, 1], known[-1, 2], lat, lon) > 50 * gap / 1000:
+            known = known[:0]
+    known = np.concatenate([known, [[t, lat, lon]]])
+    # One fix at or before the window's start is enough.
+    known = known[max(0, int(np.searchsorted(known[:, 0], t - SPEED_WINDOW_MS, side="right")) - 1) :]
+    return [[int(a), b, c] for a, b, c in known.tolist()], [(t, _trailing_speed(*known.T))]
 
 
 def speed_stream(pos: DataFrame) -> DataFrame:
@@ -278,19 +291,30 @@ def score_stream(preds: DataFrame, read_preds: Callable[[list], DataFrame], read
 # --- T10, T11, T12 --------------------------------------------------------------------------------
 
 
+COOLDOWN_MS, MAX_PER_DAY, CLEAN_RUNS = 6 * 3_600_000, 6, 2
+
+
+def _fold_line(st: dict | None, row: tuple):
+    """A line's runs: what may alert, and the moment it has been clean often enough. Nothing else is sent on."""
+    rid, received, ok, qualifies = row
+    clean = (st or {"clean": 0})["clean"] + 1 if ok else 0
+    said = [(rid, received, bool(qualifies), clean >= CLEAN_RUNS)] if qualifies or clean == CLEAN_RUNS else []
+    return {"clean": min(clean, CLEAN_RUNS + 1)}, said
+
+
 def _fold_alert(st: dict | None, row: tuple):
-    rid, line, received, started, ok, qualifies, day = row
-    st = st or dict(last={}, open={}, clean={}, day="", n=0)
+    """All lines' candidates: only an alert that is sent starts a cooldown, and the daily cap spans the lines."""
+    rid, line, received, qualifies, clean, day = row
+    st = st or dict(last={}, open={}, day="", n=0)
     if day != st["day"]:
         st["day"], st["n"] = day, 0
     out = []
     if qualifies:
         last = st["last"].get(line)
-        if (last is None or received - last >= 21_600_000) and st["n"] < 6:
+        if (last is None or received - last >= COOLDOWN_MS) and st["n"] < MAX_PER_DAY:
             st["last"][line], st["open"][line], st["n"] = int(received), int(received), st["n"] + 1
             out.append((line, "alert", rid, received))
-    st["clean"][line] = st["clean"].get(line, 0) + 1 if ok else 0
-    if line in st["open"] and st["clean"][line] >= 2:
+    if clean and line in st["open"]:
         out.append((line, "recovered", rid, received))
         del st["open"][line]
     return st, out
@@ -299,12 +323,17 @@ def _fold_alert(st: dict | None, row: tuple):
 def alert_stream(runs: DataFrame) -> DataFrame:
     """Alerts with the line cooldown, the daily cap and recovery after two clean runs.
 
-    The cap spans lines, so one key holds the state; it sees only runs (minutes apart per line).
+    Two states in a row. The first, by line, follows clean runs and sends on only runs that may alert and the one run
+    that completes a recovery. The second sees these candidates of all lines, as the daily cap spans them; whether an
+    alert was sent is known there alone, so cooldowns are kept there too.
     ``runs``: id, line, received_at, started_at, ok, qualifies.
     """
-    d = runs.withColumn("_all", F.lit("all")).withColumn("day", clock.local_day("received_at").cast("string"))
+    by_line = lambda k, rows: pd.DataFrame([(r[0], k[0], *r[1:]) for r in rows], columns=["id", "line", "received_at", "qualifies", "clean"])
+    first = KeyedFold(_fold_line, ["received_at", "id"], ["id", "received_at", "ok", "qualifies"], by_line, "received_at")
+    d = keyed(runs, ["line"], first, "id long, line string, received_at long, qualifies boolean, clean boolean")
+    d = d.withColumn("_all", F.lit("all")).withColumn("day", clock.local_day("received_at").cast("string"))
     frame = lambda k, rows: pd.DataFrame(rows, columns=["line", "kind", "id", "at_ms"])
-    proc = KeyedFold(_fold_alert, ["received_at", "id"], ["id", "line", "received_at", "started_at", "ok", "qualifies", "day"], frame, "received_at")
+    proc = KeyedFold(_fold_alert, ["received_at", "id"], ["id", "line", "received_at", "qualifies", "clean", "day"], frame, "received_at")
     return keyed(d, ["_all"], proc, "line string, kind string, id long, at_ms long")
 
 

@@ -32,7 +32,7 @@ def test_runs_under_the_daily_cap_start_no_silence(spark):
     assert sent == [0, 1, 2, 3, 4, 5, 7, 9]
     st, folded = None, []
     for i, line, t in sorted(runs, key=lambda r: (r[2], r[0])):
-        st, got = jobs._fold_alert(st, (i, line, t, t, False, True, "14" if t < seven + 5 * H else "15"))
+        st, got = jobs._fold_alert(st, (i, line, t, True, False, "14" if t < seven + 5 * H else "15"))
         folded += [x[2] for x in got if x[1] == "alert"]
     assert sorted(folded) == sent
 
