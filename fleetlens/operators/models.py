@@ -6,6 +6,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,7 @@ from fleetlens.functions.quantiles import TEN_KNOTS, grouped_quantiles
 from fleetlens.operators import scan
 from fleetlens.operators.asof import MATCH_2H_MS, asof_next
 from fleetlens.operators.graph import components
+from fleetlens.operators.runs import map_runs
 from fleetlens.operators.topology import next_stop
 from fleetlens.session import materialize
 
@@ -393,20 +395,66 @@ def _folds(s: DataFrame, n_folds: int = 5) -> DataFrame:
     return s.join(d, [*CELL, "day"])
 
 
+def _around_the_clock(half_min: int):
+    """Knots of the stands within ``half_min`` minutes of each asked minute, for whole cells.
+
+    A histogram over the cell's values goes round the clock: a minute's rows come in and go out once, and the knots
+    are read off its running sums. Rows: fold, tod, stand, w (how many), asked (whether the fold asks for this minute)."""
+    span = 2 * half_min + 1
+
+    def walk(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out: dict[str, list] = {c: [] for c in (*CELL, "test", "centre", "_n", "hq")}
+        fold, tod, stand, w = (pdf[c].to_numpy() for c in ("fold", "tod", "stand", "w"))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+            values, place = np.unique(stand[a:b], return_inverse=True)
+            for test in np.unique(fold[a:b]).tolist():
+                mine = fold[a:b] == test
+                asked = np.unique(tod[a:b][mine])
+                train = np.flatnonzero(~mine)
+                train = train[np.argsort(tod[a:b][train], kind="stable")]
+                minute, at = tod[a:b][train], np.arange(1441)
+                edge = np.searchsorted(minute, at)  # rows of minute m: edge[m] to edge[m + 1]
+                histogram, low = np.zeros(len(values), dtype=np.int64), None
+                for centre in asked.tolist():
+                    # Minutes are counted on from the first window's start, so the way round midnight is as any other.
+                    want = (centre - half_min, centre - half_min + span)
+                    have = (low, low + span) if low is not None and low + span > want[0] else (want[0], want[0])
+                    if have[0] == have[1]:
+                        histogram[:] = 0
+                    for (x, y), sign in (((have[1], want[1]), 1), ((have[0], want[0]), -1)):
+                        for m in range(x, y):
+                            rows = train[edge[m % 1440] : edge[m % 1440 + 1]]
+                            np.add.at(histogram, place[rows], sign * w[a:b][rows])
+                    low = want[0]
+                    n = int(histogram.sum())
+                    if n:
+                        position = (n - 1) * np.array(TEN_KNOTS)
+                        run = np.cumsum(histogram)
+                        lo, hi = (values[np.searchsorted(run, k + 1)] for k in (np.floor(position).astype(int), np.ceil(position).astype(int)))
+                        knots = lo + (position - np.floor(position)) * (hi - lo)
+                        for c, v in zip(out, (*(int(pdf[c].iloc[a]) for c in CELL), int(test), int(centre), n, knots.tolist()), strict=True):
+                            out[c].append(v)
+        return pd.DataFrame(out)
+
+    return walk
+
+
 def hour_stand_gate(visits: DataFrame, min_visits: int = 60, min_med: float = 120.0, min_days: int = 8, half_min: int = 60, k: float = 8.0, draws: int = 400) -> DataFrame:
-    """Whether the hourly table beats the pooled one on held-out days, per cell (M1)."""
+    """Whether the hourly table beats the pooled one on held-out days, per cell (M1).
+
+    Equal (fold, minute, stand) of a cell are counted first, which bounds a cell's rows whatever its visits, and no
+    row is multiplied by the minutes of its windows: a cell's windows are read off one histogram (``_around_the_clock``)."""
     s = _stands(visits)
     q = grouped_quantiles(s, CELL, "stand", {"q": (TEN_KNOTS, "linear")})
     g = s.groupBy(*CELL).agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("day").alias("days"))
     cand = q.join(g, CELL).withColumn("med", shipped_median(F.col("q"))).where((F.col("visits") >= min_visits) & (F.col("med") >= min_med) & (F.col("days") >= min_days))
     s = materialize(_folds(s.join(cand.select(*CELL), CELL, "left_semi")))
+    counted = s.groupBy(*CELL, F.col("fold").cast("int").alias("fold"), F.col("tod").cast("int").alias("tod"), "stand").agg(F.count(F.lit(1)).alias("w"))
     # A visit trains the four folds it is not in.
-    tr = s.withColumn("test", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("fold")))).groupBy(*CELL, "test", "tod", "stand").agg(F.count(F.lit(1)).alias("w"))
+    tr = counted.withColumn("test", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("fold"))))
     pooled = grouped_quantiles(tr, [*CELL, "test"], "stand", {"pq": (TEN_KNOTS, "linear")}, weight="w").where("_n >= 30").drop("_n")
-    want = s.select(*CELL, F.col("fold").alias("test"), F.col("tod").alias("centre")).distinct()
-    near = tr.withColumn("centre", F.explode(F.transform(F.sequence(F.lit(-half_min), F.lit(half_min)), lambda o: F.pmod(F.col("tod") + o, F.lit(1440))))).join(want, [*CELL, "test", "centre"], "left_semi")
-    hq = grouped_quantiles(near, [*CELL, "test", "centre"], "stand", {"hq": (TEN_KNOTS, "linear")}, weight="w")
-    j = s.select(*CELL, "day", "stand", F.col("fold").alias("test"), F.col("tod").alias("centre")).join(pooled, [*CELL, "test"]).join(hq, [*CELL, "test", "centre"], "left")
+    hq = map_runs(counted, CELL, ["fold", "tod", "stand"], _around_the_clock(half_min), f"{', '.join(f'{c} long' for c in CELL)}, test int, centre int, _n long, hq array<double>")
+    j = s.select(*CELL, "day", "stand", F.col("fold").cast("int").alias("test"), F.col("tod").cast("int").alias("centre")).join(pooled, [*CELL, "test"]).join(hq, [*CELL, "test", "centre"], "left")
     w = F.coalesce("_n", F.lit(0)) / (F.coalesce("_n", F.lit(0)) + k)
     pm = shipped_median(F.col("pq"))
     hm = F.when(F.col("hq").isNull(), pm).otherwise(w * shipped_median(F.col("hq")) + (1 - w) * pm)
