@@ -324,7 +324,8 @@ def official_comparison(preds: DataFrame, visits: DataFrame, min_pairs: int = MI
 
     Empty when either arm has fewer than ``min_pairs`` pairs.
     """
-    arms = _arms(preds, visits)
+    # The truth join is read for counts, moments and quantiles: once computed, a few numbers a promise.
+    arms = materialize(_arms(preds, visits).select("bus", "stop_id", "at", "id", "arm", "kind", "actual_at", "err"))
     shared = shared_moments(arms).select(F.explode(F.array(
         F.struct(F.lit("shared_ours").alias("arm"), F.col("ours_err").alias("err")),
         F.struct(F.lit("shared_official").alias("arm"), F.col("official_err").alias("err")))).alias("x")).select("x.*")

@@ -102,13 +102,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         WHERE departed_at IS NOT NULL AND arrived_at > departed_at AND (stop_index - from_index + 5) % 5 > 0"""),
     # Two-stop drives, 16 polls of 5 s: 4 at rest, 8 moving, 4 at rest at the next stop.
     "positions": (["ev", "ring"], """SELECT e.event_id*16 + e.k ingest_seq, e.bus_id, e.bus_name, e.route_id,
-        CASE WHEN e.k < 4 THEN a.lat WHEN e.k < 12 THEN a.lat + (b.lat - a.lat)*(e.k-3)/9.0e0 ELSE b.lat END lat,
-        CASE WHEN e.k < 4 THEN a.lon WHEN e.k < 12 THEN a.lon + (b.lon - a.lon)*(e.k-3)/9.0e0 ELSE b.lon END lon,
+        CASE WHEN e.k < 4 THEN ala WHEN e.k < 12 THEN ala + (bla - ala)*(e.k-3)/9.0e0 ELSE bla END lat,
+        CASE WHEN e.k < 4 THEN alo WHEN e.k < 12 THEN alo + (blo - alo)*(e.k-3)/9.0e0 ELSE blo END lon,
         CAST((e.event_id*47 + e.k*5) % 360 AS DOUBLE) heading,
-        CASE WHEN e.k < 12 THEN a.stop_id ELSE b.stop_id END last_stop_id, e.at_ms - 30000 + e.k*5000 collected_at
-        FROM (SELECT ev.*, {SEQ(16)} k FROM (SELECT {SPREAD(event_id)} * FROM ev) ev) e
-        JOIN ring a ON a.route_id = e.route_id AND a.stop_index = e.stop_index
-        JOIN ring b ON b.route_id = e.route_id AND b.stop_index = (e.stop_index + 1) % 5"""),
+        CASE WHEN e.k < 12 THEN aid ELSE bid END last_stop_id, e.at_ms - 30000 + e.k*5000 collected_at
+        FROM (SELECT j.*, {SEQ(16)} k FROM (SELECT {SPREAD(event_id)} ev.*, a.lat ala, a.lon alo, a.stop_id aid, b.lat bla, b.lon blo, b.stop_id bid
+            FROM ev JOIN ring a ON a.route_id = ev.route_id AND a.stop_index = ev.stop_index
+            JOIN ring b ON b.route_id = ev.route_id AND b.stop_index = (ev.stop_index + 1) % 5) j) e"""),
     "daily_actives": (["ev"], """SELECT {LDAY(at_ms)} AS day, CONCAT('00000000-0000-4000-8000-', LPAD(CAST(bus_id AS STRING), 12, '0')) anon_id,
         MIN(at_ms) first_seen_ms, MAX(at_ms) last_seen_ms, COUNT(*) polls,
         CAST(SUM(CASE WHEN event_type='click' THEN 1 ELSE 0 END) AS BIGINT) searches FROM ev GROUP BY 1, 2"""),
