@@ -513,87 +513,106 @@ def lap_fits(arrivals: DataFrame, period: tuple[float, float] = (900.0, 7200.0),
         *CELL, "n", F.round(F.col("slope") / f, 7).alias("b"), F.round("lap_med").alias("m"), n_eff.alias("n_eff"), F.round("w", 6).alias("w"), "base_mae", "new_mae", F.coalesce("pass", F.lit(False)).alias("pass"))
 
 
-def release_rows(obs: DataFrame, ref_lap: float, cap: float = 1800.0) -> DataFrame:
-    """Visits as 15 s person-period rows with nine features (M3). ``obs``: pinned_at, stand, lap."""
-    valid = F.coalesce(F.col("lap").between(0.65 * ref_lap, 1.65 * ref_lap), F.lit(False))
+def release_rows(obs: DataFrame, cap: float = 1800.0) -> DataFrame:
+    """Visits as 15 s person-period rows with nine features (M3). ``obs``: stop_id, pinned_at, stand, lap, ref_lap."""
+    ref = F.col("ref_lap")
+    valid = F.coalesce(F.col("lap").between(0.65 * ref, 1.65 * ref), F.lit(False))
     bins = F.greatest(F.lit(1), F.ceil(F.least(F.col("stand"), F.lit(cap)) / 15)).cast("int")
     d = obs.withColumn("_v", valid).withColumn("bins", bins).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     t = (F.col("i") + 0.5) * 15
     ang = 2 * math.pi * (F.pmod(F.floor(F.col("pinned_at") / 1000), F.lit(900)) + t) / 900
     z = F.lit(0.0)
-    x = [F.lit(1.0), F.log1p(t / 60), t / 600, F.greatest(t - 300, z) / 600, F.greatest(t - 600, z) / 600, F.when(F.col("_v"), (F.col("lap") - ref_lap) / 600).otherwise(z),
+    x = [F.lit(1.0), F.log1p(t / 60), t / 600, F.greatest(t - 300, z) / 600, F.greatest(t - 600, z) / 600, F.when(F.col("_v"), (F.col("lap") - ref) / 600).otherwise(z),
          F.when(F.col("_v"), 0.0).otherwise(1.0), F.sin(ang), F.cos(ang)]
     y = F.when((F.col("i") == F.col("bins") - 1) & (F.col("stand") <= cap), 1.0).otherwise(0.0)
-    return d.select(*[c.alias(f"x{k}") for k, c in enumerate(x)], y.alias("y"))
+    return d.select("stop_id", *[c.alias(f"x{k}") for k, c in enumerate(x)], y.alias("y"))
 
 
-def fit_logistic(rows: DataFrame, l2: float = 2.0, rounds: int = 50) -> list[float] | None:
-    """L2 logistic by Newton: each round is one aggregate of the gradient and Hessian, the 9x9 solve is
-    on the driver, and all step halvings are priced in one more aggregate."""
-    rows = materialize(rows)
+def _newton_step(beta: np.ndarray, sums: list[float], l2: float) -> np.ndarray | None:
+    """The step from the summed slopes and curvatures of one group; None where it has come to rest."""
+    k = len(beta)
+    g, h = np.array(sums[:k], float), np.zeros((k, k))
+    h[np.triu_indices(k)] = sums[k:]
+    h = h + np.triu(h, 1).T
+    g[1:] += 2 * l2 * beta[1:]
+    h[np.arange(1, k), np.arange(1, k)] += 2 * l2
+    return None if np.abs(g).max() < 1e-7 else np.linalg.solve(h, g)
+
+
+def fit_logistics(rows: DataFrame, key: str, l2: float = 2.0, rounds: int = 50, halvings: int = 24) -> dict[object, list[float]]:
+    """Coefficients of one L2 logistic per ``key`` (columns x0.., y), for those that converge.
+
+    All groups take their Newton step together: a round is one aggregate by key of slopes and curvatures and one
+    that prices the halved steps. The driver holds a few dozen sums per group that is still moving."""
     k = len([c for c in rows.columns if c.startswith("x")])
-    xs = [F.col(f"x{i}") for i in range(k)]
-
-    def lin(b):
-        z = F.lit(0.0)
-        for c, v in zip(xs, b):
-            z = z + c * float(v)
-        return z
-
-    def loss(b):
-        z = lin(b)
-        return F.sum(F.greatest(F.lit(0.0), z) + F.log1p(F.exp(-F.abs(z))) - F.col("y") * z)
-
-    pen = lambda b: l2 * float(np.dot(b[1:], b[1:]))
-    p = rows.agg(F.avg("y")).first()[0]
-    if p is None or not 0 < p < 1:
-        return None
-    beta = np.zeros(k)
-    beta[0] = math.log(p / (1 - p))
-    cur = rows.agg(loss(beta)).first()[0] + pen(beta)
+    rows = materialize(rows.groupBy(key, *[f"x{i}" for i in range(k)], "y").agg(F.count(F.lit(1)).alias("w")))
+    spark, xs = rows.sparkSession, [F.col(f"x{i}") for i in range(k)]
+    kind = dict(rows.dtypes)[key]
+
+    def lin(beta: str):
+        return F.aggregate(F.zip_with(F.array(*xs), F.col(beta), lambda x, b: x * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    def with_betas(betas: dict, column: str, schema: str) -> DataFrame:
+        table = spark.createDataFrame([(g, v) for g, v in betas.items()], f"{key} {kind}, {column} {schema}")
+        return rows.join(table, key)
+
+    def priced(trials: dict) -> dict:
+        """Losses of each group's trial coefficients."""
+        d = with_betas(trials, "b", "array<array<double>>").select(key, "y", "w", *xs, F.posexplode("b").alias("s", "one"))
+        z = lin("one")
+        got = d.groupBy(key, "s").agg(F.sum(F.col("w") * (F.greatest(F.lit(0.0), z) + F.log1p(F.exp(-F.abs(z))) - F.col("y") * z)).alias("v")).collect()
+        out: dict = {}
+        for r in got:
+            b = trials[r[key]][r["s"]]
+            out.setdefault(r[key], {})[r["s"]] = r["v"] + l2 * sum(v * v for v in b[1:])
+        return out
+
+    shares = {r[key]: r["p"] for r in rows.groupBy(key).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("p")).collect()}
+    moving = {g: np.array([math.log(p / (1 - p)), *[0.0] * (k - 1)]) for g, p in shares.items() if p is not None and 0 < p < 1}
+    done: dict = {}
+    cost = {g: v[0] for g, v in priced({g: [b.tolist()] for g, b in moving.items()}).items()} if moving else {}
     for _ in range(rounds):
-        pr = 1 / (1 + F.exp(-lin(beta)))
-        e, w = pr - F.col("y"), pr * (1 - pr)
-        r = rows.agg(*[F.sum(e * c) for c in xs], *[F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]).first()
-        g, h, at = np.array(r[:k], float), np.zeros((k, k)), k
-        for i in range(k):
-            for j in range(i, k):
-                h[i, j] = h[j, i] = r[at]
-                at += 1
-        g[1:] += 2 * l2 * beta[1:]
-        h[np.arange(1, k), np.arange(1, k)] += 2 * l2
-        if np.abs(g).max() < 1e-7:
-            return beta.tolist()
-        step = np.linalg.solve(h, g)
-        trials = [beta - step / 2**s for s in range(24)]
-        got = rows.agg(*[loss(b) for b in trials]).first()
-        best = next((i for i, b in enumerate(trials) if got[i] + pen(b) <= cur + 1e-12 * abs(cur)), None)
-        if best is None:
-            return None
-        change = np.abs(trials[best] - beta).max()
-        beta, cur = trials[best], got[best] + pen(trials[best])
-        if change < 1e-8:
-            return beta.tolist()
-    return None
-
-
-def release_fit(visits: DataFrame, stop_id: int, before_ms: int, min_n: int = 60, min_days: int = 3, min_laps: int = 40) -> DataFrame:
-    """Hazard of leaving a stop by time stood, lap and quarter-hour phase (M3): one row, or none when thin
-    (visits, days, usable laps) or when the fit does not converge.
+        if not moving:
+            break
+        d = with_betas({g: b.tolist() for g, b in moving.items()}, "b", "array<double>")
+        pr = 1 / (1 + F.exp(-lin("b")))
+        e, w = (pr - F.col("y")) * F.col("w"), pr * (1 - pr) * F.col("w")
+        got = {r[key]: list(r)[1:] for r in d.groupBy(key).agg(*[F.sum(e * c) for c in xs], *[F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]).collect()}
+        steps = {g: _newton_step(moving[g], got[g], l2) for g in list(moving)}
+        done.update({g: moving.pop(g).tolist() for g, s in steps.items() if s is None})
+        if not moving:
+            break
+        trials = {g: [(moving[g] - steps[g] / 2**i).tolist() for i in range(halvings)] for g in moving}
+        losses = priced(trials)
+        for g in list(moving):
+            best = next((i for i in range(halvings) if losses[g][i] <= cost[g] + 1e-12 * abs(cost[g])), None)
+            if best is None:
+                moving.pop(g)  # no step helps: this group has no fit
+                continue
+            change = float(np.abs(np.array(trials[g][best]) - moving[g]).max())
+            moving[g], cost[g] = np.array(trials[g][best]), losses[g][best]
+            if change < 1e-8:
+                done[g] = moving.pop(g).tolist()
+    return done
+
+
+def release_fits(visits: DataFrame, before_ms: int, min_n: int = 60, min_days: int = 3, min_laps: int = 40) -> DataFrame:
+    """Hazard of leaving a stop by time stood, lap and quarter-hour phase (M3): one row per stop, none where it is
+    thin (visits, days, usable laps) or the fit does not converge. All stops are fitted together.
 
     ``visits``: stop visits with ``loop`` material from ``lap_samples`` joined as lap (nullable).
     """
     ready = F.greatest(F.col("departed_at") + 120_000, F.coalesce("first_moved_at", "departed_at") + F.coalesce("confirm_sec", F.lit(0.0)) * 1000)
-    v = visits.where((F.col("stop_id") == stop_id) & (F.col("outcome") == "stopped") & (F.col("departed_at") >= F.col("pinned_at")) & (ready < before_ms))
-    o = materialize(v.select("pinned_at", ((F.col("departed_at") - F.col("pinned_at")) / 1000).alias("stand"), "lap", clock.service_day("pinned_at").alias("day")))
+    v = visits.where((F.col("outcome") == "stopped") & (F.col("departed_at") >= F.col("pinned_at")) & (ready < before_ms))
+    o = materialize(v.select("stop_id", "pinned_at", ((F.col("departed_at") - F.col("pinned_at")) / 1000).alias("stand"), "lap", clock.service_day("pinned_at").alias("day")))
     usable = (F.col("lap") > 900) & (F.col("lap") < 7200)
-    n, days, laps = o.agg(F.count(F.lit(1)), F.count_distinct("day"), _n(usable)).first()
-    lap = grouped_quantiles(o.where(usable).withColumn("k", F.lit(1)), ["k"], "lap", {"m": (0.5, "linear")}).first()
-    beta = None
-    if n >= min_n and days >= min_days and (laps or 0) >= min_laps and lap is not None:
-        beta = fit_logistic(release_rows(o, float(lap["m"])))
-    schema = "stop_id long, reference_lap double, coefficients array<double>, n long, days long"
-    return visits.sparkSession.createDataFrame([(stop_id, float(lap["m"]), beta, n, days)] if beta else [], schema)
+    g = o.groupBy("stop_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days"), _n(usable).alias("laps")).where(
+        (F.col("n") >= min_n) & (F.col("days") >= min_days) & (F.col("laps") >= min_laps))
+    lap = grouped_quantiles(o.where(usable), ["stop_id"], "lap", {"ref_lap": (0.5, "linear")}).drop("_n")
+    g = materialize(g.join(lap, "stop_id"))
+    fits = fit_logistics(release_rows(o.join(g.select("stop_id", "ref_lap"), "stop_id")), "stop_id")
+    table = visits.sparkSession.createDataFrame([(s, b) for s, b in fits.items()], "stop_id long, coefficients array<double>")
+    return g.join(table, "stop_id").select("stop_id", F.col("ref_lap").alias("reference_lap"), "coefficients", "n", "days")
 
 
 def class_pools(tables: DataFrame, layover_sec: float = 120.0, min_n: int = 3) -> DataFrame:

@@ -92,12 +92,13 @@ def _a7(legs, segments, stops):
     return rounded(knots(C.leg_quantiles(legs, _seg(segments, stops), stops, NOW), C.HOP, "dq", ["dqn"]))
 
 
-@R.q("a8_pace", "legs stops route_stops", f"""WITH {_LEG.split(' sem AS')[0].rstrip().rstrip(',')}, p AS (SELECT route_id, leg_sec/chord spm FROM lg WHERE leg_sec > 0 AND GREATEST(chord-150,0)/leg_sec <= 22 AND chord >= 30 AND route_id <> 5),
-  q AS (SELECT route_id, COUNT(*) n, QUANTILE_CONT(spm,{_K}) q, FALSE pooled FROM p GROUP BY ALL UNION ALL SELECT 5, COUNT(*), QUANTILE_CONT(spm,{_K}), TRUE FROM p)
+@R.q("a8_pace", "legs stops route_stops", f"""WITH {_LEG.split(' sem AS')[0].rstrip().rstrip(',')}, p AS (SELECT route_id, leg_sec/chord spm FROM lg WHERE leg_sec > 0 AND GREATEST(chord-150,0)/leg_sec <= 22 AND chord >= 30),
+  q AS (SELECT route_id, COUNT(*) n, QUANTILE_CONT(spm,{_K}) q, FALSE pooled FROM p GROUP BY ALL UNION ALL SELECT 99, COUNT(*), QUANTILE_CONT(spm,{_K}), TRUE FROM p)
   SELECT CAST(route_id AS BIGINT) route_id, n, pooled, k AS knot, ROUND(q[k+1],9) v FROM (SELECT *, UNNEST(range(10))::INT k FROM q)""")
 def _a8(legs, stops, route_stops):
-    # Route 5 is left without legs so that the pooled fallback is exercised.
-    t = C.pace(legs.where("route_id <> 5"), stops, route_stops, NOW)
+    # A route without legs shows the pooled fallback.
+    idle = route_stops.where("route_id = 5").withColumn("route_id", F.lit(99).cast("long"))
+    t = C.pace(legs, stops, route_stops.unionByName(idle), NOW)
     return rounded(knots(t, ["route_id"], "spm", ["n", "pooled"]), 9)
 
 

@@ -130,21 +130,26 @@ def _a44(p):
   l AS (SELECT dd, arm, LIST(ABS(e2-det) ORDER BY ABS(e2-det)) a, COUNT(*) n, COUNT(*) FILTER (high>low) iv, COUNT(*) FILTER (high>low AND det BETWEEN low AND high) ins FROM y WHERE k=1 GROUP BY ALL),
   m AS (SELECT dd, arm, {_r1("a[CAST(CEIL(0.5e0*n) AS BIGINT)]")} med, FLOOR(ins/iv*1000+0.5)/10 cov FROM l),
   d AS (SELECT a.dd, a.med ma, b.med mb, a.cov ca, b.cov cb FROM m a JOIN m b ON b.dd=a.dd AND a.arm='champion' AND b.arm='challenger')
-  SELECT ROUND(AVG(mb-ma),5) median_diff, ROUND(GREATEST(3,STDDEV_SAMP(ma)),5) median_bound, ROUND(GREATEST(2,STDDEV_SAMP(ca)),5) coverage_bound, ROUND(MAX(CASE WHEN dd=11 THEN cb-ca END),5) coverage_diff, COUNT(*) AS days FROM d""")
+  SELECT ROUND(AVG(mb-ma),5) median_diff, ROUND(GREATEST(3,STDDEV_SAMP(ma)),5) median_bound, ROUND(GREATEST(2,STDDEV_SAMP(ca)),5) coverage_bound, ROUND(MAX(CASE WHEN dd=11 THEN cb-ca END),5) coverage_diff, COUNT(*) AS days,
+   COUNT(*) > 0 AND AVG(mb-ma) <= GREATEST(3,STDDEV_SAMP(ma)) AND MAX(CASE WHEN dd=11 THEN cb-ca END) >= -GREATEST(2,STDDEV_SAMP(ca)) promote FROM d""")
 def _a45(p):
     d = p.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("pair_id") % 12).cast("int"))).withColumn("_x", F.explode(F.array(
         F.struct(F.lit("champion").alias("arm"), F.col("eta").alias("e2")), F.struct(F.lit("challenger").alias("arm"), (F.col("eta") * 0.95).alias("e2")))))
     d = d.select("day", F.col("_x.arm").alias("arm"), F.col("_x.e2").alias("eta"), "low", "high", "det")
-    return rounded(M.promotion(d, "2024-01-12").drop("promote"), 5)
+    return rounded(M.promotion(d, "2024-01-12"), 5)
 
 
-@R.q("a46_compare_sources", "pairs", f"""WITH {_P}, s AS (SELECT h bucket, det y, eta o, prox u FROM p WHERE det IS NOT NULL AND prox IS NOT NULL AND h IS NOT NULL), x AS (SELECT UNNEST([bucket,'all']) bucket, y, o, u FROM s)
-  SELECT bucket, COUNT(*) n, ROUND(CORR(o-y,u-y),5) corr, ROUND(AVG(CASE WHEN ABS(u-y)<ABS(o-y) THEN 1 ELSE 0 END),6) official_closer, ROUND(QUANTILE_CONT(o-y,0.1),5) so_p10, ROUND(QUANTILE_CONT(ABS(u-y),0.9),5) au_p90 FROM x GROUP BY bucket""")
+@R.q("a46_compare_sources", "pairs", f"""WITH {_P}, s AS (SELECT h bucket, det y, eta o, prox u FROM p WHERE det IS NOT NULL AND prox IS NOT NULL AND h IS NOT NULL), x AS (SELECT UNNEST([bucket,'all']) bucket, y, o, u FROM s),
+  m AS (SELECT bucket, VAR_POP(o) oo, VAR_POP(u) uu, VAR_POP(y) yy, COVAR_POP(o,u) ou, COVAR_POP(o,y) oy, COVAR_POP(u,y) uy, AVG(o) mo, AVG(u) mu, AVG(y) my FROM x GROUP BY bucket),
+  w AS (SELECT bucket, (oy*uu-uy*ou)/(oo*uu-ou*ou) b, (uy*oo-oy*ou)/(oo*uu-ou*ou) c, oo, yy, oy, uy, mo, mu, my FROM m),
+  g AS (SELECT bucket, COUNT(*) n, ROUND(CORR(o-y,u-y),5) corr, ROUND(AVG(CASE WHEN ABS(u-y)<ABS(o-y) THEN 1 ELSE 0 END),6) official_closer, ROUND(QUANTILE_CONT(o-y,0.1),5) so_p10, ROUND(QUANTILE_CONT(ABS(u-y),0.9),5) au_p90 FROM x GROUP BY bucket HAVING COUNT(*) >= 50)
+  SELECT g.*, ROUND(b,5) b_ours, ROUND(c,5) c_official, ROUND(my-b*mo-c*mu,4) a, ROUND(1-(yy-b*oy-c*uy)/(yy-oy*oy/oo),5) partial_r2 FROM g JOIN w USING (bucket)""")
 def _a46(p):
     d = p.where("det IS NOT NULL AND prox IS NOT NULL AND eta <= 1800")
     from fleetlens.functions import exprs as E
     g = M.compare_sources(d.select(E.horizon("eta").alias("bucket"), F.col("det").alias("truth"), F.col("eta").alias("ours"), F.col("prox").alias("official")))
-    return g.select("bucket", "n", F.round("corr", 5).alias("corr"), F.round("official_closer", 6).alias("official_closer"), F.round("so_p10", 5).alias("so_p10"), F.round("au_p90", 5).alias("au_p90"))
+    return g.select("bucket", "n", F.round("corr", 5).alias("corr"), F.round("official_closer", 6).alias("official_closer"), F.round("so_p10", 5).alias("so_p10"), F.round("au_p90", 5).alias("au_p90"),
+                    F.round("b_ours", 5).alias("b_ours"), F.round("c_official", 5).alias("c_official"), F.round("a", 4).alias("a"), F.round("partial_r2", 5).alias("partial_r2"))
 
 
 @R.q("j21_compare_runs", "waits", """WITH a AS (SELECT rider_id, jumped, stranded, worst_drift_sec d FROM waits), b AS (SELECT rider_id, rider_id%5=0 jumped, rider_id%11=0 AND rider_id%2=0 stranded, worst_drift_sec*0.8e0 d FROM waits WHERE rider_id%4<>0),
@@ -195,7 +200,7 @@ def _m2(a):
 @R.q("m3_release_fit", "stop_visits arrivals")
 def _m3(v, a):
     laps = M.scan.shifted(a, ["bus_name", "route_id", "stop_id"], ["arrived_at", "id"], {"_pd": "departed_at"}).select("id", (F.pmod((F.col("arrived_at") - F.col("_pd")) / 1000, F.lit(6000.0)) + 900).alias("lap"))
-    return M.release_fit(v.join(laps, "id", "left"), 11, NOW)
+    return M.release_fits(v.join(laps, "id", "left"), NOW)
 
 
 @R.q("m4_stop_models", "stop_visits")

@@ -98,9 +98,10 @@ def _a49b(p):
 
 
 @R.q("w13_classify_jumps", "looks positions arrivals", f"""WITH {_JR}, k AS (SELECT id jump_id, bus_id, pa lo, predicted_at hi, mv FROM r WHERE ABS(mv) >= 180),
-  a AS (SELECT DISTINCT jump_id FROM k JOIN arrivals ar ON ar.bus_id=k.bus_id AND ar.arrived_at > lo AND ar.arrived_at <= hi),
-  p AS (SELECT jump_id, ARG_MAX((lat,lon), (collected_at,ingest_seq)) FILTER (collected_at <= lo) x, ARG_MAX((lat,lon), (collected_at,ingest_seq)) y FROM k JOIN positions p ON p.bus_id=k.bus_id AND collected_at BETWEEN lo-60000 AND hi GROUP BY jump_id),
-  m AS (SELECT jump_id, {_m('x[1]','x[2]','y[1]','y[2]')} d FROM p)
+  a AS (SELECT jump_id FROM k ASOF JOIN (SELECT bus_id, arrived_at FROM arrivals) ar ON ar.bus_id=k.bus_id AND k.lo < ar.arrived_at WHERE ar.arrived_at <= hi),
+  pp AS (SELECT bus_id, collected_at, ARG_MAX(lat, ingest_seq) lat, ARG_MAX(lon, ingest_seq) lon FROM positions GROUP BY ALL),
+  px AS (SELECT jump_id, k.bus_id, lo, hi, p.lat xla, p.lon xlo FROM k ASOF JOIN pp p ON p.bus_id=k.bus_id AND p.collected_at <= k.lo WHERE p.collected_at >= lo-60000),
+  m AS (SELECT jump_id, {_m('xla','xlo','p.lat','p.lon')} d FROM px ASOF JOIN pp p ON p.bus_id=px.bus_id AND p.collected_at <= px.hi)
   SELECT k.jump_id, ROUND(mv,6) move_sec, CASE WHEN a.jump_id IS NOT NULL THEN 'arrival' WHEN d IS NULL THEN 'no fix' WHEN d >= 100 THEN 'moved far' WHEN d > 0 THEN 'moved near' ELSE 'same fix' END cause FROM k LEFT JOIN a USING (jump_id) LEFT JOIN m USING (jump_id)""")
 def _w13(p, pos, a):
     return rounded(S.classify_jumps(p, pos, a), 6)
@@ -223,11 +224,17 @@ def _w9(v, ring, stops, pos):
     return V.resolve_anchor_returns(v, ring, stops, pos, hop_ms=D)
 
 
-@R.q("w10_stop_skip_notices", "stop_visits ring stops positions", f"""WITH {_PASS}, p AS (SELECT * FROM ps WHERE verdict <> 'unknown' AND "at" BETWEEN {NOW-30*D} AND {NOW}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY route_id, stop_id ORDER BY "at" DESC, id DESC) rn FROM p),
-  gg AS (SELECT route_id, stop_id, COUNT(*) AS "of", COUNT(*) FILTER (verdict='skipped') skipped, MAX(CASE WHEN verdict='skipped' THEN "at" END) last_at, MAX(CASE WHEN rn=1 THEN verdict END) latest FROM r WHERE rn <= 3 GROUP BY ALL)
-  SELECT gg.route_id, gg.stop_id, skipped, "of", last_at FROM gg WHERE "of" >= 2 AND latest='skipped' AND skipped >= 2""")
-def _w10(v, ring, stops, pos):
-    return V.stop_skip_notices(_passes(v, ring, stops, pos), ring, stops, NOW, 30 * D).drop("alt")
+# Judged passes in which stretches of skips occur, so that notices are raised.
+@R.q("w10_stop_skip_notices", "arrivals ring stops", f"""WITH ps AS (SELECT id, route_id, stop_id, arrived_at AS "at", CASE WHEN id%7=0 THEN 'unknown' WHEN (id+stop_id)%5 < 2 + route_id%2 THEN 'skipped' ELSE 'served' END verdict FROM arrivals),
+  p AS (SELECT * FROM ps WHERE verdict <> 'unknown' AND "at" BETWEEN {NOW-30*D} AND {NOW}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY route_id, stop_id ORDER BY "at" DESC, id DESC) rn FROM p),
+  gg AS (SELECT route_id, stop_id, COUNT(*) AS "of", COUNT(*) FILTER (verdict='skipped') skipped, MAX(CASE WHEN verdict='skipped' THEN "at" END) last_at, MAX(CASE WHEN rn=1 THEN verdict END) latest FROM r WHERE rn <= 3 GROUP BY ALL),
+  fl AS (SELECT * FROM gg WHERE "of" >= 2 AND latest='skipped' AND skipped >= 2),
+  al AS (SELECT fl.route_id, fl.stop_id, arg_min(z.stop_id, (ALTM, z.stop_id)) alt FROM fl JOIN ring a ON a.route_id=fl.route_id AND a.stop_id=fl.stop_id JOIN ring z ON z.route_id=a.route_id AND (z.stop_index+1)%a.ring_size=a.stop_index
+    JOIN gg k ON k.route_id=z.route_id AND k.stop_id=z.stop_id AND k.latest='served' WHERE ALTM <= {V.ALT_M} GROUP BY ALL)
+  SELECT fl.route_id, fl.stop_id, skipped, "of", last_at, alt FROM fl LEFT JOIN al USING (route_id, stop_id)""".replace("ALTM", _m("a.lat", "a.lon", "z.lat", "z.lon")))
+def _w10(a, ring, stops):
+    judged = F.when(F.col("id") % 7 == 0, "unknown").when((F.col("id") + F.col("stop_id")) % 5 < 2 + F.col("route_id") % 2, "skipped").otherwise("served")
+    return V.stop_skip_notices(a.select("id", "route_id", "stop_id", F.col("arrived_at").alias("at"), judged.alias("verdict")), ring, stops, NOW, 30 * D)
 
 
 @R.q("a30_visit_catalog", "stop_visits ring", f"""SELECT {{LDAY(anchored_at)}} AS day, NULL::BIGINT route_id, NULL::BIGINT stop_id, COUNT(*) visits, 'day' grain, NULL::BOOLEAN AS current FROM stop_visits GROUP BY ALL
