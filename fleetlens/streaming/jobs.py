@@ -130,31 +130,61 @@ def lap_clock(arrivals: DataFrame) -> DataFrame:
     return keyed(arrivals, ["bus_name"], proc, "bus_name string, route_id long, stop_id long, arrived_at long, lap_sec double")
 
 
-def _fold_checkpoint(origin: int, release: int):
-    def fold(st: dict | None, row: tuple):
-        stop, at, seen = row
-        if st is None or seen - st["seen"] > 60_000:
-            st = dict(since=seen, seen=seen, origin=None, release=None)
-        st["seen"] = seen
-        if at is not None and at == at:
-            if stop == origin:
-                st["origin"], st["release"] = int(at), None
-            elif stop == release:
-                st["release"] = int(at)
-        ok = seen - st["since"] >= 600_000
-        fresh = lambda v: v if ok and v is not None and seen - v <= 45 * 60_000 else None
-        return st, [(seen, fresh(st["origin"]), fresh(st["release"]))]
+#: Continuity before a clock is trusted, age of an origin that still counts, and the hole that ends a clock.
+TRUST_MS, STALE_MS, CLOCK_GAP_MS = 600_000, 45 * 60_000, 60_000
+
+
+def _fold_checkpoint(source: int, wait: int, n: int, before_source_resets: bool):
+    """The rows of one poll of a vehicle, as (stop_index, departed_at, seen_at, phase, at_index, began_at).
+
+    state: first and last sighting, departure per place, the last departure from the waiting place, and the origin
+    that is known to have been released."""
+    ahead = lambda i: (i - source) % n
+    known = lambda v: v is not None and v == v
+
+    def fold(st: dict | None, rows: list[tuple]):
+        seen = int(rows[0][2])
+        if st is None or seen <= st["last"] or seen - st["last"] > CLOCK_GAP_MS:
+            st = dict(first=seen, last=seen, left={}, release=None, released=None)
+        st["last"] = seen
+        for place, departed, *_ in rows:
+            if known(departed) and st["first"] <= departed <= seen:
+                st["left"][str(int(place))] = int(departed)
+                if place == wait:
+                    st["release"] = int(departed)
+        out = []
+        for _, _, _, phase, index, began in rows:
+            if phase not in ("hold", "drive") or not known(index) or not 0 <= index < n:
+                continue
+            if before_source_resets and index < source:
+                st["left"], st["release"] = {}, None  # a new lap does not inherit the last one's clock
+            origin = st["left"].get(str(source))
+            if origin is None or not known(began) or origin > began or seen - st["first"] < TRUST_MS or seen - origin > STALE_MS:
+                continue
+            gone = [st["released"] == origin,  # said once, it holds until the next origin
+                    st["release"] is not None and origin < st["release"] <= began,
+                    ahead(index) > ahead(wait),
+                    index == wait and phase == "drive"]
+            if any(gone):
+                st["released"] = origin
+            out.append((seen, origin, int(index), phase, any(gone)))
+        return st, out
+
     return fold
 
 
-def checkpoint_clock(events: DataFrame, origin: int, release: int) -> DataFrame:
-    """Origin and release departures of a scoped route, trusted after ten minutes of continuity (T5).
+def checkpoint_clock(polls: DataFrame, source: int, wait: int, n: int, before_source_resets: bool = False) -> DataFrame:
+    """When each vehicle of a scoped route left its source, and whether it is past its waiting place (T5).
 
-    ``events``: route_id, bus_name, stop_id, departed_at (null on plain sightings), seen_at.
+    ``polls``: route_id, bus_name, seen_at, and either what the vehicle does (phase 'hold' or 'drive', at_index: the place it
+    holds at or drives from, began_at) or a finished departure (stop_index, departed_at); the rest null. One row out per poll
+    that the clock can vouch for: ten minutes without a hole, an origin of at most 45 minutes. A sighting that repeats or comes late
+    starts the clock anew, as a hole does.
     """
-    frame = lambda k, rows: pd.DataFrame([(*k, *r) for r in rows], columns=["route_id", "bus_name", "seen_at", "origin_at", "release_at"]).astype({"origin_at": "Int64", "release_at": "Int64"})
-    proc = KeyedFold(_fold_checkpoint(origin, release), ["seen_at"], ["stop_id", "departed_at", "seen_at"], frame, "seen_at")
-    return keyed(events, ["route_id", "bus_name"], proc, "route_id long, bus_name string, seen_at long, origin_at long, release_at long")
+    cols = ["stop_index", "departed_at", "seen_at", "phase", "at_index", "began_at"]
+    frame = lambda k, rows: pd.DataFrame([(*k, *r) for r in rows], columns=["route_id", "bus_name", "seen_at", "origin_at", "at_index", "phase", "released"])
+    proc = KeyedFold(_fold_checkpoint(source, wait, n, before_source_resets), ["seen_at"], cols, frame, "seen_at", poll=cols.index("seen_at"))
+    return keyed(polls, ["route_id", "bus_name"], proc, "route_id long, bus_name string, seen_at long, origin_at long, at_index long, phase string, released boolean")
 
 
 # --- T7, T8 ---------------------------------------------------------------------------------------

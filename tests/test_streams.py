@@ -64,11 +64,42 @@ def test_curb_stream_settles_and_expires(spark, tmp_path):
     assert sorted((r.forecast_id, r.curb_at, r.state) for r in got) == [(1, T0 + 60_000, "resolved"), (2, None, "unresolved")]
 
 
+POLLS = "route_id long, bus_name string, seen_at long, stop_index long, departed_at long, phase string, at_index long, began_at long"
+
+
+def clocked(spark, tmp_path, rows, name, **scope):
+    """rows: (second, phase, index, began) or (second, 'left', stop index, departed)."""
+    data = [(1, "#1", T0 + s * 1000, i, T0 + at * 1000, None, None, None) if phase == "left" else (1, "#1", T0 + s * 1000, None, None, phase, i, T0 + at * 1000) for s, phase, i, at in rows]
+    half = [r for r in data if r[2] <= T0 + 400_000], [r for r in data if r[2] > T0 + 400_000]
+    got = run(spark, tmp_path, [h for h in half if h], POLLS, lambda d: jobs.checkpoint_clock(d, **{"source": 2, "wait": 6, "n": 10, **scope}), name)
+    return {(r.seen_at - T0) // 1000: ((r.origin_at - T0) // 1000, r.at_index, r.phase, r.released) for r in got}
+
+
 def test_checkpoint_clock_trusts_after_ten_minutes(spark, tmp_path):
-    s = "route_id long, bus_name string, stop_id long, departed_at long, seen_at long"
-    rows = [(1, "#1", 11 if i == 0 else None, T0 if i == 0 else None, T0 + i * 50_000) for i in range(14)] + [(1, "#1", None, None, T0 + 14 * 50_000 + 61_000)]
-    got = {r.seen_at: r.origin_at for r in run(spark, tmp_path, [rows[:6], rows[6:]], s, lambda d: jobs.checkpoint_clock(d, 11, 121), "cc")}
-    assert got[T0 + 11 * 50_000] is None and got[T0 + 12 * 50_000] == T0 and got[T0 + 14 * 50_000 + 61_000] is None
+    rows = [(s, "drive", 3, 60) for s in range(0, 900, 30)] + [(60, "left", 2, 60)]
+    got = clocked(spark, tmp_path, rows, "c1")
+    assert min(got) == 600 and set(got.values()) == {(60, 3, "drive", False)} and len(got) == 10
+    # A hole of more than a minute, or a sighting that comes again, starts anew.
+    assert clocked(spark, tmp_path, [r for r in rows if not 500 < r[0] < 570], "c2") == {}
+    # An origin is too old after 45 minutes.
+    old = [(s, "drive", 3, 60) for s in range(0, 3000, 60)] + [(60, "left", 2, 60)]
+    assert max(clocked(spark, tmp_path, old, "c3")) == 60 + 2700
+
+
+def test_checkpoint_clock_knows_a_release(spark, tmp_path):
+    to = [(s, "drive", 3, 60) for s in range(0, 660, 30)] + [(60, "left", 2, 60)]
+    # Driving from the waiting place, past it, or its finished departure; and once released, holding before it changes nothing.
+    way = [(660, "hold", 6, 650), (690, "drive", 6, 680), (720, "hold", 3, 700), (750, "hold", 8, 740)]
+    got = clocked(spark, tmp_path, to + way, "c4")
+    assert [got[s][3] for s in (630, 660, 690, 720, 750)] == [False, False, True, True, True]
+    done = [(660, "hold", 6, 640), (690, "left", 6, 680), (690, "drive", 5, 685)]
+    assert clocked(spark, tmp_path, to + done, "c5")[690] == (60, 5, "drive", True)
+    # An origin later than what the vehicle does now says nothing; a new origin is not released.
+    again = to + [(660, "drive", 7, 650), (690, "left", 2, 690), (690, "drive", 7, 650), (720, "drive", 2, 690)]
+    got = clocked(spark, tmp_path, again, "c6")
+    assert got[660][3] is True and 690 not in got and got[720] == (690, 2, "drive", False)
+    lap = to + [(660, "drive", 1, 650), (690, "drive", 3, 60)]
+    assert 690 in clocked(spark, tmp_path, lap, "c7") and 690 not in clocked(spark, tmp_path, lap, "c8", before_source_resets=True)
 
 
 def test_position_feed_coerces_and_drops(spark, tmp_path):
