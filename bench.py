@@ -14,7 +14,7 @@ HEADLINE = [
     "a15_scorecard", "a16_scorecard_waits", "j7_truth_join", "a1_segment_stats", "a2_dwell_stats", "a3_stand_tables",
     "j17_expected_segment", "a14_accuracy", "a17_paired_summary", "a18_official_comparison", "a20_rider_history", "a25_search_report",
     "j10_positions_in_window", "j14_nearest_stop", "w3_still_runs", "w4_frozen_runs", "w8_classify_passes", "t2a_v1_transitions",
-    "a49_jump_stats", "p1_sanitize_positions", "w19_recent_speed", "a27_emit_alerts",
+    "a49_jump_stats", "p1_sanitize_positions", "w19_recent_speed", "a27_emit_alerts", "m6_calibrate_asof_hourly",
 ]
 
 
