@@ -20,6 +20,8 @@ from fleetlens.llm.common import let
 
 DELETE, REROLE, INSERT, CUT_OFF = 4, 3, 3, 3
 BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
+#: Column of ``damage`` for ``edits``: false for rows that only name their conversation.
+THERE = "__there"
 _SPACE = " \t\n\x0b\x0c\r"
 #: Modulus and factor of the rolling hash (a Mersenne prime); rows after which a finished part of the edits is looked for.
 MODULUS, FACTOR, PENDING = (1 << 61) - 1, 0x1F3D5B79, 512
@@ -263,19 +265,19 @@ def edits(rows: DataFrame) -> DataFrame:
     """The cheapest edits of every conversation of ``rows`` (conv_id, turn, role, text), in order within it.
 
     Each row is one edit: ``edit`` (K keep, R rerole, D delete, I insert), the ``role`` it leads to (null for D),
-    ``text``, ``turn``, the role it ``was``, the ``fault`` of the row. A row whose column ``there`` is false only
+    ``text``, ``turn``, the role it ``was``, the ``fault`` of the row. A row whose column THERE is false only
     names its conversation; one without other rows yields a single row with a null edit. Rows go by turn (nulls
     first), ties by role and text. Null roles and texts count as one space, conversations with a null id are one.
 
     One exchange by conversation; the order is Spark's sort, which spills. A conversation streams through its
     task and only rows whose edits are still open stay in memory, so its length is not bounded by memory."""
-    d = rows if "there" in rows.columns else rows.withColumn("there", F.lit(True))
+    d = rows if THERE in rows.columns else rows.withColumn(THERE, F.lit(True))
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
-    d = d.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"), "there")
+    d = d.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"), THERE)
     d = d.repartition("conv_id")
-    same = W.partitionBy("conv_id", "role", "text", "there").orderBy("turn")
+    same = W.partitionBy("conv_id", "role", "text", THERE).orderBy("turn")
     d = d.withColumn("copy", F.row_number().over(same)).withColumn("fault", fault_of(F.col("text"), F.col("copy") > 1))
-    d = d.sortWithinPartitions("conv_id", "turn", "role", "text", "copy").select("conv_id", "turn", "role", "text", "fault", "there")
+    d = d.sortWithinPartitions("conv_id", "turn", "role", "text", "copy").select("conv_id", "turn", "role", "text", "fault", THERE)
     return d.mapInArrow(_fold, _EDITS_DDL)
 
 
@@ -343,10 +345,10 @@ def digest(script: DataFrame) -> DataFrame:
 
 def damage(rows: DataFrame) -> DataFrame:
     """Faults planted by crc32 of ``conv_id:turn`` modulo 20: 0 drops the row, 1 empties its text, 2 removes its
-    stops, 3 repeats it, 4 makes it the user's. Nulls are one space. Dropped rows stay as rows that are not ``there``."""
+    stops, 3 repeats it, 4 makes it the user's. Nulls are one space. Dropped rows stay as rows whose THERE is false."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     d = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"),
                     (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20).alias("fate"))
     new_text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
     return d.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), new_text.alias("text"),
-                    (F.col("fate") != 0).alias("there"), F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+                    (F.col("fate") != 0).alias(THERE), F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -90,9 +91,12 @@ def test_repair_of_odd_rows(spark):
     texts = ["Yes.", "No", "", None, " \n", "A? b", "Why?\t", "\xa0", "x" * 60_000 + ".", "é!"]
     rows = [(rng.choice([None, *range(60)]), rng.choice([None, -3, *range(9)]), rng.choice(roles[: rng.choice([3, 10])]), rng.choice(texts)) for _ in range(900)]
     rows += [(500, t, "user", "Same.") for t in range(400)] + [(501, t, rng.choice(roles[:3]), f"{t}.") for t in range(3000)] + [(502, None, "user", "q")] * 5
-    d = spark.createDataFrame([(*r, "k", 1) for r in rows], "conv_id long, turn long, role string, text string, edit string, fault int")
+    d = spark.createDataFrame([(*r, "k", 1, False) for r in rows], "conv_id long, turn long, role string, text string, edit string, fault int, there boolean")
     assert got(d) == brute(rows)
     assert got(d.limit(0)) == []
+    # The operator itself, on rows as they are: what it returns is repaired.
+    whole = repair.edits(d.where("conv_id = 501"))
+    assert re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in repair.repaired(d.where("conv_id = 501")).collect())) and whole.where("edit = 'K'").count() > 500
 
 
 def test_conversation_that_loses_all_rows(spark):
