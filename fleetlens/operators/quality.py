@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import clock
 from fleetlens.functions import exprs as E
-from fleetlens.functions.geo import angle_between, bearing, metres
+from fleetlens.functions.geo import angle_between, bearing, metres, point_to_segment
 from fleetlens.functions.quantiles import grouped_quantiles
 from fleetlens.operators import scan
 from fleetlens.operators.asof import asof_prev, truth_join
@@ -195,44 +195,60 @@ def baseline_hops(legs: DataFrame) -> DataFrame:
     return legs.groupBy(*HOP).agg(F.count(F.lit(1)).alias("legs"), F.avg("leg_sec").alias("leg_sec"), F.avg("hold_sec").alias("hold_sec"), F.avg("drive_sec").alias("drive_sec"))
 
 
-def fold_leg_agreement(pos: DataFrame, census: DataFrame, ring: DataFrame, hop_sec: DataFrame, truth_legs: DataFrame, near_m: float = 120.0, look_ms: int = 45_000) -> DataFrame:
-    """Which of several legs near a fix best explains the official horizons just seen (A55)?
+#: One moment of a vehicle per stride; rows of the feed's cycle around it; seconds beyond which the feed lists nothing.
+STRIDE_MS, CYCLE_BACK_MS, CYCLE_AHEAD_MS, LISTED_SEC = 15_000, 37_500, 7_500, 1800.0
 
-    Candidate legs come from the route's ring array on the fix row. Each candidate prices the
-    downstream stops by summed hop times; a stop the feed did not list costs what is left of 1800 s.
-    ``hop_sec``: route_id, stop_index, sec. ``truth_legs``: bus_name, from_index, lo, hi.
-    """
-    h = ring.join(hop_sec, ["route_id", "stop_index"]).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", "stop_id", "lat", "lon", "sec"))).alias("ring"))
-    p = pos.select("bus_name", "route_id", "ingest_seq", "collected_at", "lat", "lon", "last_stop_id").join(h, "route_id")
+
+def leg_inference(pos: DataFrame, feed: DataFrame, ring: DataFrame, hops: DataFrame, near_m: float = 150.0) -> DataFrame:
+    """Which of several legs near a fix does the feed's set of promises fit (A55)?
+
+    ``feed``: bus, stop_id, at, sec. ``ring`` may carry ``focus`` (a stop polled every cycle). ``hops``: route_id,
+    stop_index, sec (of the leg that begins there), stand (at that stop). A moment is ambiguous where two legs or more
+    pass within ``near_m``. A leg prices every stop ahead from its middle; a promise costs what it differs, a focus stop
+    that is not listed what is left of half an hour. Beside it: the leg nearest by its segment, and the one whose bearing agrees
+    with the heading. The route's ring travels on the fix row, so legs are tried within the row."""
+    r = ring if "focus" in ring.columns else ring.withColumn("focus", F.lit(False))
+    h = r.join(hops, ["route_id", "stop_index"]).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", "stop_id", "lat", "lon", "sec", "stand", "focus"))).alias("ring"))
+    key = F.struct("collected_at", "ingest_seq")
+    p = pos.withColumn("_s", F.floor(F.col("collected_at") / STRIDE_MS)).groupBy("bus_name", "route_id", "_s").agg(F.min_by(F.struct("ingest_seq", "collected_at", "lat", "lon", "heading"), key).alias("p"))
+    p = p.select("bus_name", "route_id", "p.*").join(h, "route_id")
     n = F.size("ring")
-    cand = F.filter(F.transform("ring", lambda s: F.struct(s["stop_index"].alias("i"), (metres(F.col("lat"), F.col("lon"), s["lat"], s["lon"])).alias("d"))), lambda c: c["d"] <= near_m)
-    p = p.withColumn("cand", cand).where(F.size("cand") >= 1).withColumn("cand", F.array_distinct(F.flatten(F.transform("cand", lambda c: F.array(F.pmod(c["i"] - 1, n), c["i"]))))).where(F.size("cand") >= 2)
+    at = lambda i: F.get(F.col("ring"), F.pmod(i, n).cast("int"))
+
+    def leg(i: Column) -> Column:
+        a, b = at(i), at(i + 1)
+        east = F.cos(F.radians("lat")) * 111_320.0
+        x = lambda s: (s["lon"] - F.col("lon")) * east
+        y = lambda s: (s["lat"] - F.col("lat")) * 111_320.0
+        d, _ = point_to_segment(F.lit(0.0), F.lit(0.0), x(a), y(a), x(b), y(b))
+        return F.struct(d.alias("d"), angle_between(F.col("heading"), bearing(a["lat"], a["lon"], b["lat"], b["lon"])).alias("turn"), i.alias("i"))
+
+    p = p.withColumn("legs", F.filter(F.transform(F.sequence(F.lit(0), n - 1), leg), lambda x: x["d"] <= near_m)).where(F.size("legs") >= 2)
     bus = E.norm_bus_name("bus_name")
-    c = census.where(F.col("bus_name").isNotNull() & F.col("eta_sec").isNotNull()).select(bus.alias("bus"), "stop_id", "sampled_at", F.col("eta_sec").cast("double").alias("eta"))
-    iv = p.withColumn("bus", bus).withColumn("lo", F.col("collected_at") - look_ms)
-    j = interval_join(iv.select("bus", "ingest_seq", "lo", "collected_at"), c, ["bus"], "lo", "collected_at", "sampled_at", look_ms)
-    seen = j.groupBy("ingest_seq", "stop_id").agg(F.max_by("eta", "sampled_at").alias("eta")).groupBy("ingest_seq").agg(
-        F.map_from_entries(F.collect_list(F.struct("stop_id", "eta"))).alias("seen"))
-    d = iv.join(seen, "ingest_seq")
+    iv = p.withColumn("bus", bus).withColumn("lo", F.col("collected_at") - CYCLE_BACK_MS).withColumn("hi", F.col("collected_at") + CYCLE_AHEAD_MS)
+    j = interval_join(iv.select("bus", "ingest_seq", "lo", "hi"), feed.select("bus", "stop_id", F.col("at").alias("row_at"), "sec"), ["bus"], "lo", "hi", "row_at", 60_000)
+    seen = j.groupBy("ingest_seq", "stop_id").agg(F.max(F.struct("row_at", "sec")).alias("u")).groupBy("ingest_seq").agg(F.map_from_entries(F.collect_list(F.struct("stop_id", "u.sec"))).alias("seen"))
 
     def cost(i: Column) -> Column:
-        walk = F.sequence(F.lit(1), n - 1)
-        start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("c"))
-
-        def step(a, k):
-            s = F.get(F.col("ring"), F.pmod(i + k - 1, n).cast("int"))
-            stop = F.get(F.col("ring"), F.pmod(i + k, n).cast("int"))["stop_id"]
-            t = a["t"] + s["sec"]
-            seen_eta = F.try_element_at("seen", stop)
-            return F.struct(t.alias("t"), (a["c"] + F.when(seen_eta.isNotNull(), F.abs(seen_eta - t)).otherwise(F.greatest(F.lit(0.0), 1800 - t))).alias("c"))
-
-        return F.aggregate(walk, start, step)["c"]
-
-    best = F.array_min(F.transform("cand", lambda i: F.struct(cost(i).alias("c"), i.alias("i"))))["i"]
-    d = d.withColumn("inferred", best).withColumn("nearest", F.get("cand", F.lit(0)))
-    t = interval_join(truth_legs, d.select("bus_name", "ingest_seq", "collected_at", "inferred", "nearest", "cand"), ["bus_name"], "lo", "hi", "collected_at", 30 * MIN_MS)
-    ok = t.where(F.array_contains("cand", F.col("from_index")))
-    return ok.agg(F.count(F.lit(1)).alias("moments"), _n(F.col("inferred") == F.col("from_index")).alias("inferred_right"), _n(F.col("nearest") == F.col("from_index")).alias("nearest_right"))
+        def step(acc, k):
+            s, stop = at(i + k - 1), at(i + k)
+            t = acc["t"] + F.when(k == 1, s["sec"] / 2).otherwise(s["stand"] + s["sec"])
+            told = F.try_element_at("seen", stop["stop_id"])
+            return F.struct(t.alias("t"), (acc["c"] + F.when(told.isNotNull(), F.abs(told - t)).when(stop["focus"], F.greatest(F.lit(0.0), LISTED_SEC - t)).otherwise(0.0)).alias("c"))
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("c")), step)["c"]
+
+    d = iv.join(seen, "ingest_seq")
+    least = lambda f: F.array_min(F.transform("legs", f))["i"]
+    return d.select("bus_name", "route_id", "ingest_seq", "collected_at", F.transform("legs", lambda x: x["i"]).alias("legs"),
+                    least(lambda x: F.struct(F.round(cost(x["i"]), 6).alias("c"), x["i"].alias("i"))).alias("inferred"), least(lambda x: F.struct(F.round(x["d"], 6).alias("d"), x["i"].alias("i"))).alias("nearest"),
+                    least(lambda x: F.struct(F.round(x["turn"], 6).alias("turn"), x["i"].alias("i"))).alias("heading"))
+
+
+def fold_leg_agreement(inferred: DataFrame, truth_legs: DataFrame) -> DataFrame:
+    """How often each way names the leg that the vehicle was on (A55). ``truth_legs``: bus_name, from_index, lo, hi."""
+    t = interval_join(truth_legs, inferred, ["bus_name"], "lo", "hi", "collected_at", 30 * MIN_MS).where(F.array_contains("legs", F.col("from_index").cast("int")))
+    return t.agg(F.count(F.lit(1)).alias("moments"), *[F.coalesce(_n(F.col(c) == F.col("from_index")), F.lit(0)).alias(f"{c}_right") for c in ("inferred", "nearest", "heading")])
 
 
 def heading_agreement(pos: DataFrame, min_m: float = 10.0) -> DataFrame:

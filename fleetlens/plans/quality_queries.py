@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions.quantiles import grouped_quantiles
 from fleetlens.operators import berths as B
 from fleetlens.operators import calibrate as C
 from fleetlens.operators import quality as Q
@@ -187,12 +188,36 @@ def _a53h(l):
     return rounded(Q.baseline_hops(l), 5)
 
 
-@R.q("a55_fold_leg_agreement", "positions arrivals ring")
-def _a55(pos, a, ring):
-    hop = ring.select("route_id", "stop_index", F.lit(60.0).alias("sec"))
-    c = a.select("bus_name", "stop_id", (F.col("arrived_at") - 20_000).alias("sampled_at"), F.lit(30).alias("eta_sec"))
-    legs = a.select("bus_name", F.col("stop_index").alias("from_index"), (F.col("arrived_at") - 30_000).alias("lo"), (F.col("arrived_at") + 30_000).alias("hi"))
-    return Q.fold_leg_agreement(pos, c, ring, hop, legs, near_m=450.0)
+_A55 = f"""WITH hp AS (SELECT r.route_id, r.stop_index, COALESCE(l.sec,60e0) sec, COALESCE(v.stand,0e0) stand FROM ring r LEFT JOIN (SELECT route_id, from_index stop_index, QUANTILE_CONT(leg_sec,0.5) sec FROM legs WHERE hops=1 GROUP BY ALL) l USING (route_id, stop_index)
+    LEFT JOIN (SELECT route_id, stop_index, QUANTILE_CONT(stand_sec,0.5) stand FROM stop_visits WHERE outcome='stopped' AND stand_sec IS NOT NULL GROUP BY ALL) v USING (route_id, stop_index)),
+  tm AS (SELECT a.route_id, a.stop_index i, s.stop_id, s.stop_id%2=0 focus, SUM(CASE WHEN k=1 THEN h.sec/2 ELSE h.stand+h.sec END) OVER (PARTITION BY a.route_id, a.stop_index ORDER BY k) t FROM (SELECT *, UNNEST(range(1, ring_size+1)) k FROM ring) a
+    JOIN ring s ON s.route_id=a.route_id AND s.stop_index=(a.stop_index+k)%a.ring_size JOIN hp h ON h.route_id=a.route_id AND h.stop_index=(a.stop_index+k-1)%a.ring_size),
+  fx AS (SELECT bus_name, route_id, MIN((collected_at, ingest_seq)) z FROM positions GROUP BY bus_name, route_id, collected_at//15000),
+  fp AS (SELECT p.* FROM positions p JOIN fx ON fx.z[2]=p.ingest_seq),
+  lg AS (SELECT p.ingest_seq, p.bus_name, p.collected_at, p.route_id, a.stop_index i, (a.lon-p.lon)*cos(radians(p.lat))*111320 ax, (a.lat-p.lat)*111320 ay, (b.lon-p.lon)*cos(radians(p.lat))*111320 bx, (b.lat-p.lat)*111320 byy,
+    LEAST(ABS(p.heading-(DEGREES(ATAN2((b.lon-a.lon)*COS(RADIANS((a.lat+b.lat)/2)), b.lat-a.lat))+720)%360)%360, 360-ABS(p.heading-(DEGREES(ATAN2((b.lon-a.lon)*COS(RADIANS((a.lat+b.lat)/2)), b.lat-a.lat))+720)%360)%360) turn FROM fp p JOIN ring a ON a.route_id=p.route_id JOIN ring b ON b.route_id=a.route_id AND b.stop_index=(a.stop_index+1)%a.ring_size),
+  lt AS (SELECT *, GREATEST(0, LEAST(1, ((0-ax)*(bx-ax)+(0-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) t FROM lg),
+  ld AS (SELECT *, sqrt((ax+t*(bx-ax))*(ax+t*(bx-ax))+(ay+t*(byy-ay))*(ay+t*(byy-ay))) d FROM lt),
+  cd AS (SELECT *, COUNT(*) OVER (PARTITION BY ingest_seq) legs FROM ld WHERE d <= 150),
+  fd AS (SELECT LTRIM(bus_name,'#') bus, stop_id, arrived_at-20000+5000*(id%4) AS "at", CAST(20+id%90 AS DOUBLE) sec FROM arrivals),
+  us AS (SELECT p.ingest_seq, f.stop_id, MAX((f."at", f.sec))[2] u FROM (SELECT DISTINCT ingest_seq, bus_name, collected_at FROM cd WHERE legs >= 2) p JOIN fd f ON f.bus=LTRIM(p.bus_name,'#') AND f."at" BETWEEN p.collected_at-37500 AND p.collected_at+7500 GROUP BY ALL),
+  co AS (SELECT c.ingest_seq, c.bus_name, c.collected_at, c.i, c.d, c.turn, SUM(CASE WHEN us.u IS NOT NULL THEN ABS(us.u-tm.t) WHEN tm.focus THEN GREATEST(0, 1800-tm.t) ELSE 0 END) cost FROM cd c JOIN tm ON tm.route_id=c.route_id AND tm.i=c.i
+    LEFT JOIN us ON us.ingest_seq=c.ingest_seq AND us.stop_id=tm.stop_id WHERE c.legs >= 2 AND c.ingest_seq IN (SELECT ingest_seq FROM us) GROUP BY ALL),
+  mo AS (SELECT ingest_seq, bus_name, collected_at, LIST(i) legs, arg_min(i, (ROUND(cost,6), i)) inferred, arg_min(i, (ROUND(d,6), i)) nearest, arg_min(i, (ROUND(turn,6), i)) heading FROM co GROUP BY ALL),
+  tr AS (SELECT bus_name, stop_index from_index, arrived_at-30000 lo, arrived_at+30000 hi FROM arrivals)
+  SELECT COUNT(*) moments, COUNT(*) FILTER (inferred=from_index) inferred_right, COUNT(*) FILTER (nearest=from_index) nearest_right, COUNT(*) FILTER (heading=from_index) heading_right
+  FROM mo JOIN tr ON tr.bus_name=mo.bus_name AND mo.collected_at BETWEEN lo AND hi WHERE list_contains(legs, from_index)"""
+
+
+@R.q("a55_fold_leg_agreement", "positions arrivals ring legs stop_visits", _A55)
+def _a55(pos, a, ring, legs, visits):
+    place = ["route_id", "stop_index"]
+    sec = grouped_quantiles(legs.where("hops = 1").withColumnRenamed("from_index", "stop_index"), place, "leg_sec", {"sec": (0.5, "linear")}).drop("_n")
+    stand = grouped_quantiles(visits.where("outcome = 'stopped'"), place, "stand_sec", {"stand": (0.5, "linear")}).drop("_n")
+    hops = ring.select(*place).join(sec, place, "left").join(stand, place, "left").fillna({"sec": 60.0, "stand": 0.0})
+    feed = a.select(F.regexp_replace("bus_name", "^#", "").alias("bus"), "stop_id", (F.col("arrived_at") - 20_000 + 5000 * (F.col("id") % 4)).alias("at"), (20 + F.col("id") % 90).cast("double").alias("sec"))
+    truth = a.select("bus_name", F.col("stop_index").alias("from_index"), (F.col("arrived_at") - 30_000).alias("lo"), (F.col("arrived_at") + 30_000).alias("hi"))
+    return Q.fold_leg_agreement(Q.leg_inference(pos, feed, ring.withColumn("focus", F.col("stop_id") % 2 == 0), hops), truth)
 
 
 _BR = "(DEGREES(ATAN2(({d}-{b})*COS(RADIANS(({a}+{c})/2)), {c}-{a}))+720)%360"
