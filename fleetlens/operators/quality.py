@@ -13,8 +13,8 @@ from fleetlens.operators import scan
 from fleetlens.operators.asof import asof_prev, truth_join
 from fleetlens.operators.calibrate import HOP, plausible_travel
 from fleetlens.operators.ranges import MIN_MS, interval_join
-from fleetlens.operators.sequence import T_ORDER, TRACK, frozen_runs, presence_runs, proximity_arrivals, still_runs
-from fleetlens.operators.topology import next_stop, ring_arrays
+from fleetlens.operators.sequence import T_ORDER, TRACK, proximity_arrivals, still_runs
+from fleetlens.operators.topology import ring_arrays
 
 
 def _n(c: Column) -> Column:

@@ -14,6 +14,7 @@ from fleetlens.plans.calibrate_queries import _CH
 from fleetlens.plans.model_queries import _FANR, _P
 from fleetlens.plans.network_queries import _m, _paths
 from fleetlens.plans.reg import NOW, NOW_DOW, NOW_HOUR, Registry, rounded
+from fleetlens.plans.sequence_queries import STILL, near_ctes
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracles
@@ -52,9 +53,14 @@ def _a35(pos, ring):
     return Q.feed_priors(pos, ring)
 
 
-@R.q("a36_emission_rates", "positions ring")
+@R.q("a36_emission_rates", "positions ring", f"""WITH {STILL}, d AS (SELECT p.*, s.still, EXISTS (SELECT 1 FROM ring r WHERE r.route_id=p.route_id AND {_m('p.lat','p.lon','r.lat','r.lon')} <= 75) zone FROM positions p JOIN still s USING (ingest_seq)),
+  l AS (SELECT *, LEAD(collected_at) OVER w nt, LEAD(lat) OVER w nla, LEAD(lon) OVER w nlo, LEAD(still) OVER w ns FROM d WINDOW w AS (PARTITION BY bus_name ORDER BY collected_at, ingest_seq)),
+  x AS (SELECT *, lat=nla AND lon=nlo froz, (nt-collected_at)/1000e0 sec FROM l WHERE nt > collected_at AND nt-collected_at <= 60000)
+  SELECT ROUND(COUNT(*) FILTER (still AND froz)/COUNT(*) FILTER (still),7) p_repeat_stand, ROUND(COUNT(*) FILTER (NOT still AND froz)/COUNT(*) FILTER (NOT still),7) p_repeat_move,
+    ROUND(COUNT(*) FILTER (NOT still AND zone AND froz)/COUNT(*) FILTER (NOT still AND zone),7) p_repeat_move_zone, ROUND(COUNT(*) FILTER (NOT still AND ns)/SUM(sec) FILTER (NOT still),7) hold_enter_per_s,
+    ROUND(COUNT(*) FILTER (still AND NOT ns)/SUM(sec) FILTER (still),7) hold_leave_per_s, COUNT(*) FILTER (still) stand_pairs, COUNT(*) FILTER (NOT still) move_pairs FROM x""")
 def _a36(pos, ring):
-    return Q.emission_rates(pos, ring)
+    return rounded(Q.emission_rates(pos, ring))
 
 
 @R.q("a37_visit_rates", "stop_visits", """SELECT COUNT(*) stopped, ROUND(SUM(shuffles)/SUM(rest_polls),7) shuffle_per_poll, ROUND(COUNT(*)/(COUNT(*)+SUM(shuffles)),7) p_depart_on_fresh FROM stop_visits WHERE outcome='stopped' AND rest_polls>0""")
@@ -237,6 +243,10 @@ def _a56f(pos, ring):
     return Q.fold_frames(pos, ring, near_m=500.0)
 
 
-@R.q("a60_curb_vs_feed", "positions ring")
+@R.q("a60_curb_vs_feed", "positions ring", f"""WITH {near_ctes(45)}, c AS (SELECT bus_name, stop_id, CAST(FLOOR(entered_at) AS BIGINT) t FROM hit),
+  fl AS (SELECT bus_name, last_stop_id stop_id, collected_at ft FROM (SELECT *, LAG(last_stop_id) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) ps FROM positions) WHERE ps <> last_stop_id),
+  a AS (SELECT stop_id, COUNT(*) curb_visits, COUNT(*) FILTER (NOT EXISTS (SELECT 1 FROM fl WHERE fl.bus_name=c.bus_name AND fl.stop_id=c.stop_id AND ft BETWEEN t-120000 AND t+300000)) unconfirmed FROM c GROUP BY stop_id),
+  b AS (SELECT stop_id, COUNT(*) flips, COUNT(*) FILTER (NOT EXISTS (SELECT 1 FROM c WHERE c.bus_name=fl.bus_name AND c.stop_id=fl.stop_id AND t BETWEEN ft-300000 AND ft+120000)) no_fix FROM fl GROUP BY stop_id)
+  SELECT stop_id, COALESCE(curb_visits,0) curb_visits, COALESCE(unconfirmed,0) unconfirmed, COALESCE(flips,0) flips, COALESCE(no_fix,0) no_fix FROM a FULL JOIN b USING (stop_id)""")
 def _a60(pos, ring):
     return Q.curb_vs_feed(pos, ring)

@@ -30,12 +30,16 @@ def _w1(p):
     return latest_by(p, ["bus_name"], "collected_at", "ingest_seq").select("bus_name", "ingest_seq", "collected_at")
 
 
-@R.q("w3_still_runs", "positions", """WITH t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) rn, SUM(CASE WHEN pt IS NULL OR collected_at-pt > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) se
+# Whether each fix lies in a forward ball that lasts: every pair of fixes of a stretch.
+STILL = """t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) rn, SUM(CASE WHEN pt IS NULL OR collected_at-pt > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) se
     FROM (SELECT *, LAG(collected_at) OVER (PARTITION BY bus_name ORDER BY collected_at, ingest_seq) pt FROM positions)),
   p AS (SELECT a.bus_name, a.se, a.rn i, b.rn j, b.collected_at-a.collected_at dt, 6371000*SQRT(POWER(RADIANS(b.lon-a.lon)*COS(RADIANS((a.lat+b.lat)/2)),2)+POWER(RADIANS(b.lat-a.lat),2)) <= 25 ok FROM t a JOIN t b ON a.bus_name=b.bus_name AND a.se=b.se AND b.rn >= a.rn),
   e AS (SELECT bus_name, i, MIN(CASE WHEN NOT ok THEN j END) brk FROM p GROUP BY ALL),
-  r AS (SELECT p.bus_name, p.i, MAX(p.j) j, MAX(dt) dt FROM p JOIN e ON e.bus_name=p.bus_name AND e.i=p.i WHERE brk IS NULL OR p.j < brk GROUP BY ALL)
-  SELECT t.ingest_seq, EXISTS (SELECT 1 FROM r WHERE r.bus_name=t.bus_name AND r.dt >= 15000 AND t.rn BETWEEN r.i AND r.j) still FROM t""")
+  r AS (SELECT p.bus_name, p.i, MAX(p.j) j, MAX(dt) dt FROM p JOIN e ON e.bus_name=p.bus_name AND e.i=p.i WHERE brk IS NULL OR p.j < brk GROUP BY ALL),
+  still AS (SELECT t.ingest_seq, EXISTS (SELECT 1 FROM r WHERE r.bus_name=t.bus_name AND r.dt >= 15000 AND t.rn BETWEEN r.i AND r.j) still FROM t)"""
+
+
+@R.q("w3_still_runs", "positions", f"WITH {STILL} SELECT ingest_seq, still FROM still")
 def _w3(p):
     return S.still_runs(p).select("ingest_seq", "still")
 
@@ -120,14 +124,25 @@ def _w19(p):
     return rounded(S.recent_speed(p).select("ingest_seq", "speed_mps"), 5)
 
 
-@R.q("w21_proximity_arrivals", "positions ring")
+def near_ctes(enter_m: float, exit_m: float = 120.0) -> str:
+    """``hit``: entries near a stop, by the nearest point of each step."""
+    return f"""tw AS (SELECT *, LAG(collected_at) OVER w pt, LAG(lat) OVER w pla, LAG(lon) OVER w plo FROM positions WINDOW w AS (PARTITION BY bus_name ORDER BY collected_at, ingest_seq)),
+  nx AS (SELECT tw.*, s.stop_id, (plo-s.lon)*111320*cos(radians(s.lat)) ax, (pla-s.lat)*111320 ay, (tw.lon-s.lon)*111320*cos(radians(s.lat)) bx, (tw.lat-s.lat)*111320 byy, COALESCE(collected_at-pt <= 60000, false) linked FROM tw JOIN ring s ON s.route_id=tw.route_id),
+  nt AS (SELECT *, sqrt(bx*bx+byy*byy) far, CASE WHEN (bx-ax)*(bx-ax)+(byy-ay)*(byy-ay) > 0 THEN GREATEST(0, LEAST(1, ((0-ax)*(bx-ax)+(0-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) ELSE 0 END t FROM nx),
+  nf AS (SELECT *, CASE WHEN CASE WHEN linked THEN sqrt((ax+t*(bx-ax))*(ax+t*(bx-ax))+(ay+t*(byy-ay))*(ay+t*(byy-ay))) ELSE far END <= {enter_m} THEN 1 WHEN far >= {exit_m} THEN 0 END flag FROM nt),
+  nl AS (SELECT *, LAG(flag) OVER (PARTITION BY bus_name, stop_id ORDER BY collected_at, ingest_seq) pf FROM nf WHERE flag IS NOT NULL),
+  hit AS (SELECT bus_name, bus_id, route_id, stop_id, CASE WHEN linked THEN pt+t*(collected_at-pt) ELSE collected_at END entered_at, ingest_seq FROM nl WHERE flag=1 AND COALESCE(pf=0, true))"""
+
+
+@R.q("w21_proximity_arrivals", "positions ring", f"WITH {near_ctes(50)} SELECT bus_name, bus_id, route_id, stop_id, ROUND(entered_at, 3) entered_at, ingest_seq FROM hit")
 def _w21(p, ring):
-    return S.proximity_arrivals(p, ring)
+    return rounded(S.proximity_arrivals(p, ring), 3)
 
 
-@R.q("w21_pair_proximity", "positions ring arrivals")
+@R.q("w21_pair_proximity", "positions ring arrivals", f"""WITH {near_ctes(50)}, g AS (SELECT a.id, arg_min(h.entered_at, (ABS(h.entered_at-a.arrived_at), h.entered_at)) entered_at FROM arrivals a JOIN hit h ON h.bus_name=a.bus_name AND h.stop_id=a.stop_id
+    AND h.entered_at BETWEEN a.arrived_at-90000 AND a.arrived_at+300000 GROUP BY a.id) SELECT a.id, a.arrived_at, ROUND(g.entered_at, 3) entered_at FROM arrivals a LEFT JOIN g USING (id)""")
 def _w21p(p, ring, a):
-    return S.pair_proximity(S.proximity_arrivals(p, ring), a)
+    return rounded(S.pair_proximity(S.proximity_arrivals(p, ring), a), 3)
 
 
 @R.q("w22_parked_episodes", "positions ring", f"""WITH n AS (SELECT p.*, s.stop_id ns, ROUND({_m('p.lat','p.lon','s.lat','s.lon')},6) d FROM positions p JOIN ring s ON s.route_id=p.route_id QUALIFY ROW_NUMBER() OVER (PARTITION BY ingest_seq ORDER BY ROUND({_m('p.lat','p.lon','s.lat','s.lon')},6), s.stop_index)=1),
